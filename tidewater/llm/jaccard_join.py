@@ -15,9 +15,8 @@ cost of both, taken over all documents, is least.
 Links. Documents with one set are a class. Each class is first compared with the least
 class in each of its lists only (very frequent elements are dealt into salted parts that
 are linked through their own least classes), and the links found are contracted to
-components. Then all pairs that share a list entry, could still reach the overlap by
-size and place, and are in different components are compared; pairs inside a component
-can't change it. A bitmap of each set bounds the symmetric difference from below, and
+components. Then all pairs that share a list and are in different components are compared,
+in blocks; pairs inside a component can't change it. A bitmap of each set bounds the symmetric difference from below, and
 what is left is checked on the texts. So a group of near copies costs about its size,
 and no link between components is missed.
 
@@ -47,6 +46,8 @@ SKETCH_BITS, BLOCKS = 20, 256
 BITMAP_LONGS = 16
 #: Sets above this size are heavy without looking at costs: their subsets outnumber any list.
 MOST_LIGHT = 200
+#: Members of a block of a hub's; two blocks are compared at a time.
+CELL = 256
 #: Rows of one list that one task may have to sort before it is salted.
 PART = 4096
 LEVEL = 1.25
@@ -327,20 +328,45 @@ def _repeats(wanted: DataFrame, docs: DataFrame) -> bool:
 
 
 def _across(shared: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes in different components that share a list entry and are possible by size and place."""
-    of = classes.join(labels, classes["rep"] == labels["node"], "left").select("c", F.coalesce("label", "rep").alias("label"))
-    rows = shared.select("key", "c", "n", "bound").distinct().join(of, "c")
-    parts = rows.groupBy("key", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("bound").alias("top"))
-    mixed = parts.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rows = stored(rows.join(mixed, "key", "left_semi"), "mixed")
-    parts = rows.groupBy("key", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("bound").alias("top"))
-    one = parts.select("key", *[F.col(x).alias(f"{x}1") for x in ("label", "lo", "hi", "top")])
-    two = parts.select("key", *[F.col(x).alias(f"{x}2") for x in ("label", "lo", "hi", "top")])
-    met = one.join(two, "key").where("label1 < label2 AND 5 * hi1 >= 4 * lo2 AND 5 * hi2 >= 4 * lo1 AND 9 * least(top1, top2) >= 4 * (lo1 + lo2)").select("key", "label1", "label2")
-    left = rows.select("key", F.col("label").alias("label1"), F.col("c").alias("a"), F.col("n").alias("na"), F.col("bound").alias("ba"))
-    right = rows.select("key", F.col("label").alias("label2"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("bound").alias("bb"))
-    pairs = met.join(left, ["key", "label1"]).join(right, ["key", "label2"]).where(_possible(F.col("na"), F.col("nb"), F.col("ba"), F.col("bb")))
-    return pairs.select("a", "b").distinct()
+    """Pairs (a, b) of classes in different components that share a list and may link by size and bitmap.
+
+    A list's hub is its least class. Classes that share a list share its hub, so it is enough to
+    compare the members of each hub, once for all its lists; lists of a hub and one more class
+    were compared before. Members are dealt into blocks of about ``CELL``, and each pair of
+    blocks is compared in a group of its own, which gives out pairs that may link only.
+    """
+    parts = shared.where("salt > 0").groupBy("key").agg(F.min("fc").alias("over"))
+    rows = shared.select("key", "c", "fc").join(parts, "key", "left").select("key", "c", F.coalesce("over", "fc").alias("hub"))
+    of = classes.join(labels, classes["rep"] == labels["node"], "left").select("c", F.coalesce("label", "rep").alias("label"), "n", "bits")
+    rows = rows.join(of.select("c", "label"), "c")
+    lists = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.when(F.col("c") != F.col("hub"), F.col("c"))).alias("p"), F.max("c").alias("q"))
+    mixed = lists.where("x <> y AND p <> q").select("key")
+    members = rows.join(mixed, "key", "left_semi").select("hub", "c").distinct()
+    members = stored(members.join(of, "c"), "members")
+    sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    dealt = members.join(sizes.select("hub", "blocks"), "hub").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "n", "label", "bits")
+    return dealt.groupBy("hub", "i", "j").applyInArrow(_compare, "a long, b long").distinct()
+
+
+def _compare(cell: pa.Table) -> pa.Table:
+    """All pairs of a cell at once: by label, size ratio and the bitmaps' bound."""
+    i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+    c, n, block = (cell.column(x).to_numpy() for x in ("c", "n", "block"))
+    label = np.unique(np.array(cell.column("label").to_pylist()), return_inverse=True)[1]
+    bits = np.array(cell.column("bits").to_pylist(), np.int64).reshape(len(c), BITMAP_LONGS).view(U64)
+    left = np.flatnonzero(block == i)
+    right = left if i == j else np.flatnonzero(block == j)
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for x in left:
+        y = right[right > x] if i == j else right
+        y = y[(label[y] != label[x]) & (5 * np.minimum(n[y], n[x]) >= 4 * np.maximum(n[y], n[x]))]
+        both = (n[y] + n[x]).astype(np.int64)
+        y = y[9 * (both - np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)) >= 8 * both]
+        out.append((np.full(len(y), c[x]), c[y]))
+    a, b = (np.concatenate(k) for k in zip(*out, strict=True))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
