@@ -47,7 +47,9 @@ BITMAP_LONGS = 16
 #: Sets above this size are heavy without looking at costs: their subsets outnumber any list.
 MOST_LIGHT = 200
 #: Members of a block of a hub's; two blocks are compared at a time.
-CELL = 256
+CELL, CELL_SHINGLES = 256, 1 << 18
+#: Elements of an incidence matrix that is held at a time.
+COLUMNS = 4096
 #: Rows of one list that one task may have to sort before it is salted.
 PART = 4096
 LEVEL = 1.25
@@ -296,8 +298,7 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
     links = stored(_linked(stars, classes, texts), "links")
     labels = components(links)
 
-    rest = stored(_across(shared, classes, labels), "rest")
-    more = stored(_linked(rest, classes, texts), "more")
+    more = stored(_across(shared, classes, labels, texts), "more")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
@@ -327,46 +328,86 @@ def _repeats(wanted: DataFrame, docs: DataFrame) -> bool:
     return not docs.select("doc_id").where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
-def _across(shared: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes in different components that share a list and may link by size and bitmap.
+def _across(shared: DataFrame, classes: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) between components, enough to connect all that are linked.
 
     A list's hub is its least class. Classes that share a list share its hub, so it is enough to
     compare the members of each hub, once for all its lists; lists of a hub and one more class
-    were compared before. Members are dealt into blocks of about ``CELL``, and each pair of
-    blocks is compared in a group of its own, which gives out pairs that may link only.
+    were compared before. Members are dealt into blocks of bounded number and size, and each
+    pair of blocks is a cell. A cell first drops members that can link with no other one by
+    label, size and bitmap; the texts of what is left are then compared exactly.
     """
     parts = shared.where("salt > 0").groupBy("key").agg(F.min("fc").alias("over"))
     rows = shared.select("key", "c", "fc").join(parts, "key", "left").select("key", "c", F.coalesce("over", "fc").alias("hub"))
-    of = classes.join(labels, classes["rep"] == labels["node"], "left").select("c", F.coalesce("label", "rep").alias("label"), "n", "bits")
+    of = classes.join(labels, classes["rep"] == labels["node"], "left").select("c", "cb", "rep", F.coalesce("label", "rep").alias("label"), "n", "bits")
     rows = rows.join(of.select("c", "label"), "c")
     lists = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.when(F.col("c") != F.col("hub"), F.col("c"))).alias("p"), F.max("c").alias("q"))
     mixed = lists.where("x <> y AND p <> q").select("key")
     members = rows.join(mixed, "key", "left_semi").select("hub", "c").distinct()
-    members = stored(members.join(of, "c"), "members")
-    sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    members = stored(members.join(of.select("c", "label", "n", "bits"), "c"), "members")
+    sizes = members.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum("n") / CELL_SHINGLES)).cast("int").alias("blocks"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
     dealt = members.join(sizes.select("hub", "blocks"), "hub").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "n", "label", "bits")
-    return dealt.groupBy("hub", "i", "j").applyInArrow(_compare, "a long, b long").distinct()
+    may = stored(dealt.groupBy("hub", "i", "j").applyInArrow(_possible_members, "hub long, i int, j int, c long"), "possible")
+    cells = may.join(of.select("c", "cb", "rep", "label"), "c").join(texts, ["c", "cb"]).select("hub", "i", "j", "rep", "label", "text")
+    kind = classes.schema["rep"].dataType.simpleString()
+    return cells.groupBy("hub", "i", "j").applyInArrow(_cell_links, f"u {kind}, v {kind}").distinct()
 
 
-def _compare(cell: pa.Table) -> pa.Table:
-    """All pairs of a cell at once: by label, size ratio and the bitmaps' bound."""
+def _possible_members(cell: pa.Table) -> pa.Table:
+    """The members of a cell that may link with one of another label, by size ratio and the bitmaps' bound."""
     i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
-    c, n, block = (cell.column(x).to_numpy() for x in ("c", "n", "block"))
+    n, block = cell.column("n").to_numpy(), cell.column("block").to_numpy()
     label = np.unique(np.array(cell.column("label").to_pylist()), return_inverse=True)[1]
-    bits = np.array(cell.column("bits").to_pylist(), np.int64).reshape(len(c), BITMAP_LONGS).view(U64)
+    bits = np.array(cell.column("bits").to_pylist(), np.int64).reshape(len(n), BITMAP_LONGS).view(U64)
     left = np.flatnonzero(block == i)
     right = left if i == j else np.flatnonzero(block == j)
-    out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    good = np.zeros(len(n), bool)
     for x in left:
-        y = right[right > x] if i == j else right
-        y = y[(label[y] != label[x]) & (5 * np.minimum(n[y], n[x]) >= 4 * np.maximum(n[y], n[x]))]
-        both = (n[y] + n[x]).astype(np.int64)
+        y = right[label[right] != label[x]]
+        y = y[5 * np.minimum(n[y], n[x]) >= 4 * np.maximum(n[y], n[x])]
+        both = n[y].astype(np.int64) + n[x]
         y = y[9 * (both - np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)) >= 8 * both]
-        out.append((np.full(len(y), c[x]), c[y]))
-    a, b = (np.concatenate(k) for k in zip(*out, strict=True))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        good[y] = True
+        good[x] |= len(y) > 0
+    return cell.select(["hub", "i", "j", "c"]).filter(pa.array(good))
+
+
+def _cell_links(cell: pa.Table) -> pa.Table:
+    """Exact overlaps of all pairs of a cell; of the links, as many as connect what they connect."""
+    sets = [shingle_set(t, WORDS) for t in cell.column("text").to_pylist()]
+    label = np.unique(np.array(cell.column("label").to_pylist()), return_inverse=True)[1]
+    sizes = np.array([len(h) for h in sets])
+    _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    keep = count[element] > 1  # an element of one set is in no overlap
+    place = (np.cumsum(count > 1) - 1)[element[keep]]
+    owner = owner[keep]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    overlap = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        a, b = np.searchsorted(place, [start, start + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[a:b], place[a:b] - start] = 1
+        overlap += has @ has.T
+    x, y = np.nonzero(np.triu((9 * overlap >= 4 * (sizes[:, None] + sizes[None, :])) & (label[:, None] != label[None, :])))
+    root = list(range(int(label.max()) + 1))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    links = []
+    for k in range(len(x)):
+        s, t = find(label[x[k]]), find(label[y[k]])
+        if s != t:
+            root[t] = s
+            links.append(k)
+    rep = cell.column("rep")
+    return pa.table({"u": rep.take(pa.array(x[links], pa.int64())), "v": rep.take(pa.array(y[links], pa.int64()))})
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
