@@ -34,64 +34,82 @@ from .common import stored
 SHORT = 40
 #: A space that ends or breaks a run of white space is no safe boundary unless something visible follows.
 SAFE = re.compile(r"(?<!\s) (?!$)|(?<=\s) (?=\S)")
+SPACES = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+BEFORE_SPACE = [" " + c for c in SPACES if c.isascii()], [" " + c for c in SPACES if not c.isascii()]
 ENDS = re.compile(r"(.*[A-Za-z])([.,;:!?]+)")
-UNSAFE = re.compile(r"\s (?:\s|$)| $|^ ")
 
 
-class ByteEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable Latin-1 as it is, others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+LETTERS = byte_letters()
 
-    A word with the space before it is cut out by the pre-tokeniser's pattern in any
-    surroundings, if visible text is on either side of the space; words are therefore
-    encoded by themselves and short ones remembered, up to ``remember`` per worker.
+
+class Words(dict):
+    """Ids of words after ``lead`` (a space or nothing), as little-endian unsigned 32-bit bytes; short words are remembered.
+
+    The pre-tokeniser cuts before and after a word, and in it between letters and the marks after
+    them, and around a single line feed; so parts are coded apart. A word of plain letters is
+    one pre-token and goes right to the library's model.
     """
 
+    def __init__(self, tokenizer, lead: str, remember: int, heads: Words | None = None) -> None:
+        super().__init__()
+        self.tokenizer, self.model, self.lead, self.remember, self.heads = tokenizer, tokenizer.model, lead, remember, heads if heads is not None else self
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def code(self, word: str) -> bytes:
+        if word.isalpha() and max(word) < "\u0250":  # letters in every version of Unicode
+            coded = (self.lead + word).encode().decode("latin-1").translate(LETTERS)
+            return array("I", [t.id for t in self.model.tokenize(coded)]).tobytes()
+        if "\n" in word:
+            parts = word.split("\n")
+            if all(p and not any(map(str.isspace, p)) for p in parts):
+                feed = self.heads["\n"]
+                return feed.join([self[parts[0]], *[self.heads[p] for p in parts[1:]]])
+        elif m := ENDS.fullmatch(word):
+            return self[m[1]] + self.heads[m[2]]
+        return self.whole(self.lead + word)
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.code(word) if word != "\n" else self.whole(self.lead + word)
+        if len(word) <= SHORT:
+            if len(self) >= self.remember:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+class ByteEncoder:
+    """Ids of texts as little-endian unsigned 32-bit bytes, word by word where that is the same as at once."""
+
     def __init__(self, tokenizer_file: str, remember: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.remember, self.first, self.next = remember, {}, {}
-
-    def encode(self, chunks: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of words with a space before them. Marks after a letter are cut off by the pattern too, so they are coded apart."""
-        ends = {c: m.groups() for c in new if (m := ENDS.fullmatch(c))}
-        bare = list(new.difference(ends) | {core for core, _ in ends.values()}.difference(self.next))
-        marks = list({mark for _, mark in ends.values()})
-        got = dict(zip(bare, self.encode([" " + c for c in bare]), strict=True))
-        tails = dict(zip(marks, self.encode(marks), strict=True))
-        got.update({c: (got.get(core) or self.next[core]) + tails[mark] for c, (core, mark) in ends.items()})
-        return got
-
-    def chunks(self, text: str) -> list[str] | None:
-        """The parts between safe spaces; None if the text is to be encoded whole."""
+        self.heads = Words(self.tokenizer, "", remember // 4)
+        self.words = Words(self.tokenizer, " ", remember, self.heads)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """By the library at once."""
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def one(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return None
-        return SAFE.split(text) if UNSAFE.search(text) else text.split(" ")
+            return self.words.whole(text)
+        plain = text[:1] != " " and text[-1:] != " " and not any(x in text for x in BEFORE_SPACE[0]) and (text.isascii() or not any(x in text for x in BEFORE_SPACE[1]))
+        first, *rest = text.split(" ") if plain else SAFE.split(text)
+        return self.heads[first] + b"".join(map(self.words.__getitem__, rest))
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        rows = [self.chunks(t) for t in texts]
-        if len(self.next) > self.remember:
-            self.next.clear()
-        known = self.next
-        got = self.learn({c for r in rows if r for c in r[1:]}.difference(known))
-        long = {c: g for c, g in got.items() if len(c) > SHORT}
-        known.update((c, g) for c, g in got.items() if len(c) <= SHORT)
-        whole = [t for r, t in zip(rows, texts, strict=True) if r is None]
-        heads = [r[0] for r in rows if r is not None]
-        whole_ids, head_ids = iter(self.encode(whole)), iter(self.encode(heads))
-        out = []
-        for r in rows:
-            if r is None:
-                out.append(next(whole_ids))
-            elif long:
-                out.append(next(head_ids) + b"".join([known[c] if c in known else long[c] for c in r[1:]]))
-            else:
-                out.append(next(head_ids) + b"".join(map(known.__getitem__, r[1:])))
-        return out
+        return list(map(self.one, texts))
 
 
 @lru_cache(maxsize=2)
