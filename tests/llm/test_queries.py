@@ -1,0 +1,23 @@
+"""Queries with SQL against DuckDB."""
+
+import duckdb
+import pytest
+
+from tidewater.llm.queries import ORACLE_SQL, QUERIES
+
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = QUERIES[name](spark, sf)
+    columns = sorted(got.columns)
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want))
+
+
+def test_every_operator_has_a_query():
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")) == list(range(1, 11)) and "pipeline" in QUERIES

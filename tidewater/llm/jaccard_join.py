@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 from .components import components
 from .shingles import U64, numbers, scramble, shingle_set
 
@@ -84,7 +84,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        for b in batches:
+        for b in slices(batches):
             n, c, cb, bits = [], [], [], []
             for text in b.column("text").to_pylist():
                 h = shingle_set(text, WORDS)
@@ -177,7 +177,7 @@ def _costs(docs: DataFrame, signer) -> dict[int, tuple[float, float]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign, cost = signer.value, np.zeros((MOST_LIGHT + 1, 2))
-        for b in batches:
+        for b in slices(batches):
             for text in b.column("text").to_pylist():
                 if text and len(text) <= 200 * MOST_LIGHT:
                     h = shingle_set(text, WORDS)
@@ -207,7 +207,7 @@ def _signatures(docs: DataFrame, signer, boundary: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign, seen = signer.value, set()
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text in b.column("text").to_pylist():
                 h = shingle_set(text, WORDS)
@@ -248,7 +248,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
     id_type = classes.schema["rep"].dataType.simpleString()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in slices(batches, 256):
             good, last, h = [], None, None
             for i, (s, t) in enumerate(zip(x.column("text_a").to_pylist(), x.column("text_b").to_pylist(), strict=True)):
                 g = shingle_set(s, WORDS)
@@ -316,7 +316,7 @@ def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     rows = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("text", "c", "cb")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             keep = [_class_of(shingle_set(t, WORDS)) == (c, d) for t, c, d in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
 

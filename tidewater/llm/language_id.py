@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, stored
 from .shingles import U64, numbers, scramble
 
 BITS, ORDERS, BLOCKS = 17, (1, 2, 3), 64
@@ -224,5 +224,5 @@ def keep_identified(docs: DataFrame, per_language: int = 400) -> DataFrame:
     if docs.isEmpty():
         return docs
     predict = predictor(docs.sparkSession, train(docs, per_language))
-    marked = docs.withColumn("__language", predict(docs["text"]))
-    return marked.where(F.col("__language.lang_pred") != UNKNOWN).drop("__language")
+    mark = free_name(docs, "_language")
+    return docs.withColumn(mark, predict(docs["text"])).where(F.col(f"{mark}.lang_pred") != UNKNOWN).drop(mark)

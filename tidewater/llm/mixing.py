@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, stored
+from .common import SPACE_CLASS, free_name, stored
 
 #: Weights of the sources in code point order, repeating (fixed values of the contract).
 WEIGHTS = (5, 2, 1)
@@ -79,4 +79,6 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 17) -> D
     rates = source_targets(sizes, weights, most).select(F.col("source").alias("_source"), _rate().alias("_rate"))
     rates = stored(rates, "rates")  # one row per source
     n = copies(docs["doc_id"], F.col("_rate"), seed)
-    return docs.join(rates, docs["source"].eqNullSafe(rates["_source"])).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select(*[docs[c] for c in docs.columns])
+    copy = free_name(docs, "_copy")
+    both = docs.join(rates, docs["source"].eqNullSafe(rates["_source"]))
+    return both.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), n.cast("int"))).alias(copy)).drop(copy)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 
 SHORT = 40
 #: A space that ends or breaks a run of white space is no safe boundary unless something visible follows.
@@ -135,7 +135,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int, bat
         from .token_counts import by_bytes
 
         encode = encoder(tokenizer_file).batch
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             row, piece, start, length, crc = [], [], [], [], []
             at = 0

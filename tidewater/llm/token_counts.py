@@ -18,6 +18,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 MARK = "▁"  # the library's sign for a space
 #: A space (or its mark) after something else, with something else after it.
 SAFE = re.compile(r"[^ ▁][ ](?=[^ ▁])")
@@ -73,7 +75,7 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, batch_byte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(model_file).count
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             n = [x for i, j in by_bytes(texts, batch_bytes) for x in count(texts[i:j])]
             n_bytes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
