@@ -77,6 +77,8 @@ def alerts(metrics: DataFrame, short: str = "1 minute", long: str = "5 minutes",
     an alert), cogroup, inner_join and own_join for both, sql for none but a divisor.
     inclusive: a ratio of exactly 0.9 or 1.1 is an alert too.
     """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy is one of {STRATEGIES}")
     ends = [key, "window_end"]
     fast = windowed_pace(metrics, WindowSpec(short), key).withColumnRenamed("pace", "short_pace")
     slow = windowed_pace(metrics, WindowSpec(long, short), key).withColumnRenamed("pace", "long_pace")
@@ -90,12 +92,10 @@ def alerts(metrics: DataFrame, short: str = "1 minute", long: str = "5 minutes",
     elif strategy == "own_join":  # both sides in one exchange: tagged rows, grouped
         tagged = fast.select(*ends, "short_pace", F.lit(None).cast("double").alias("long_pace")).unionByName(slow.select(*ends, F.lit(None).cast("double").alias("short_pace"), "long_pace"))
         both = tagged.groupBy(*ends).agg(F.max("short_pace").alias("short_pace"), F.max("long_pace").alias("long_pace")).where("short_pace > 0 AND long_pace > 0")
-    elif strategy == "sql":
+    else:
         from ..plans.sql import run_sql
 
         both = run_sql(metrics.sparkSession, f"SELECT {key}, window_end, short_pace, long_pace FROM fast NATURAL JOIN slow", fast=fast, slow=slow)
-    else:
-        raise ValueError(f"strategy is one of {STRATEGIES}")
     ratio = F.try_divide(F.col("short_pace"), F.col("long_pace"))
     inside = (ratio > 0.9) & (ratio < 1.1) if inclusive else (ratio >= 0.9) & (ratio <= 1.1)
     return both.withColumn("ratio", ratio).where(ratio.isNotNull() & ~inside).select(*ends, "ratio", (ratio > 1).alias("is_up"))
