@@ -179,7 +179,7 @@ def _costs(docs: DataFrame, signer) -> dict[int, tuple[float, float]]:
         sign, cost = signer.value, np.zeros((MOST_LIGHT + 1, 2))
         for b in slices(batches):
             for text in b.column("text").to_pylist():
-                if text and len(text) <= 200 * MOST_LIGHT:
+                if text and len(text) <= 24 * MOST_LIGHT:
                     h = shingle_set(text, WORDS)
                     if 2 <= len(h) <= MOST_LIGHT:
                         _, _, f = sign.singles(h)
@@ -188,7 +188,8 @@ def _costs(docs: DataFrame, signer) -> dict[int, tuple[float, float]]:
         at = np.flatnonzero(cost.sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(cost[at, 0]), pa.array(cost[at, 1])], ["n", "single", "pair"])
 
-    # Longer texts than 200 characters a shingle count as heavy here; that is a matter of cost only.
+    # Texts of more than 24 characters for each of the most shingles count as heavy here. That only moves the
+    # boundary, which results don't depend on; all texts are signed.
     got = docs.select("text").mapInArrow(run, "n long, single double, pair double").groupBy("n").agg(F.sum("single").alias("single"), F.sum("pair").alias("pair")).collect()
     return {r["n"]: (r["single"], r["pair"]) for r in got}
 
