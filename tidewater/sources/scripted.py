@@ -1,7 +1,7 @@
 """A scripted stream: rows in given micro-batches, so tests can say what arrives when.
 
-Watermarks are moved as any stream's are, by event times: ``advance(to, delay)`` is a row under the key
-WATERMARK that holds the watermark at ``to``; queries drop it with ``without_marks``.
+Watermarks are moved as any stream's are, by event times: a row under the key WATERMARK in a batch of its
+own. Such rows are to be dropped where results are read: the planner moves a filter below the watermark.
 """
 
 from __future__ import annotations
@@ -53,8 +53,3 @@ def scripted(spark: SparkSession, ddl: str, batches: list[list[tuple]]) -> DataF
     spark.dataSource.register(ScriptedSource)
     df = spark.readStream.format("scripted").option("ddl", ddl).option("batches", json.dumps(batches)).load()
     return df.withColumn("ts", F.timestamp_millis("ts_ms")) if "ts_ms" in df.columns else df
-
-
-def without_marks(df: DataFrame, key: str = "key") -> DataFrame:
-    """Drops marks here: the condition counts as random, so the planner can't move it below a watermark that marks are to advance."""
-    return df.where(F.when(F.rand(0) >= 0, F.col(key) != WATERMARK).otherwise(False))
