@@ -302,6 +302,55 @@ def test_salvage_recovers_later_records_and_logs_gaps():
     assert list(warc.salvage(b"")) == [] and [x[0] for x in warc.salvage(b"nothing here")] == ["gap"]
 
 
+@pytest.mark.parametrize("step", [1, 7, 1 << 14])
+def test_salvage_is_that_of_a_plain_reader_under_damage(monkeypatch, step):
+    def whole(data, at):
+        z = zlib.decompressobj(wbits=31)
+        try:
+            plain = z.decompress(data[at:])
+        except zlib.error:
+            return None
+        return (plain, len(data) - len(z.unused_data)) if z.eof else None
+
+    def plain_reader(data):
+        at, lost = 0, 0
+        while at < len(data):
+            got = whole(data, at) if data.startswith(warc.MAGIC, at) else None
+            try:
+                n, end = (len(warc._records_of(got[0])), got[1]) if got else (1, warc.parse_record(data, at)[2])
+            except warc.Bad:
+                at, lost = at + 1, lost + 1
+                continue
+            yield from [("record", at, end)] * n
+            at = end
+        yield "lost", lost, None
+
+    monkeypatch.setattr(warc, "STEP", step)
+    rng = np.random.default_rng(3)
+    for trial in range(20):
+        parts = []
+        for i in range(8):
+            payload = rng.bytes(int(rng.integers(0, 400)))
+            r = warc.record("response", i, "u", payload, len(payload), warc.digest(payload), None)
+            parts.append(r if trial % 3 == 0 else warc.member(r))
+        data = bytearray(b"".join(parts))
+        for at in rng.integers(0, len(data), trial % 5):
+            data[at] ^= 1 << int(rng.integers(8))
+        data = bytes(data[: len(data) - (trial % 4) * 5])
+        found = list(warc.salvage(data))
+        *records, (_, lost, _) = plain_reader(data)
+        assert [x[:3] for x in found if x[0] == "record"] == records
+        assert sum(x[2] - x[1] for x in found if x[0] == "gap") == lost
+
+
+def test_archives_hold_a_bounded_number_of_records(spark, tmp_path):
+    pages = spark.range(10).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html")).coalesce(1)
+    path = f"file://{tmp_path}/archives"
+    warc.write_archives(pages, path, records_per_file=4)
+    rows = warc.read_archives(spark, path).groupBy("file").count().collect()
+    assert sum(r["count"] for r in rows) == 10 and max(r["count"] for r in rows) <= 4
+
+
 # ---- 7
 
 

@@ -33,6 +33,8 @@ from .common import fresh_path, stored
 VERSION, EMPTY_MEMBER = b"WARC/1.1\r\n", bytes.fromhex("1f8b08000000000000030300" + "00" * 8)
 MAGIC = b"\x1f\x8b\x08"
 MOST_PLAIN = 1 << 24
+#: Bytes that the decompressor is fed at a time.
+STEP = 1 << 14
 DATE = b"2024-01-01T00:00:00Z"
 
 
@@ -82,8 +84,8 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return rows.join(shared, ["sha1", "size"], "left").select("page_id", "url", "html", "size", "sha1", F.when(F.col("first") < F.col("page_id"), F.col("first")).when(F.col("page_id").isNull(), F.col("first")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Writes pages (page_id, url, html) as files of gzip members under ``path``."""
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = 4096) -> None:
+    """Writes pages (page_id, url, html) as files of gzip members under ``path``. A file is read as a whole, so its records are bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,7 +97,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     plan = plan_records(pages, least_bytes).select("page_id", "url", "html", "size", "sha1", "refers_to")
-    plan.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").text(path)
+    plan.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 class Bad(Exception):
@@ -131,15 +133,17 @@ def parse_record(plain: bytes, at: int = 0) -> tuple[dict[str, bytes], bytes, in
 
 
 def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """A gzip member at ``at`` and where it ends."""
-    z = zlib.decompressobj(wbits=31)
-    try:
-        plain = z.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise Bad(f"member: {str(e)[:80]}") from None
-    if not z.eof:
-        raise Bad("member doesn't end")
-    return plain, len(data) - len(z.unused_data)
+    """A gzip member at ``at`` and where it ends. It is fed in steps, so what follows it isn't copied."""
+    z, view, out = zlib.decompressobj(wbits=31), memoryview(data), []
+    while not z.eof:
+        if at >= len(data):
+            raise Bad("member doesn't end")
+        try:
+            out.append(z.decompress(view[at : at + STEP]))
+        except zlib.error as e:
+            raise Bad(f"member: {str(e)[:80]}") from None
+        at = min(at + STEP, len(data))
+    return b"".join(out), at - len(z.unused_data)
 
 
 def _records_of(plain: bytes) -> list[tuple[dict[str, bytes], bytes]]:
@@ -161,14 +165,18 @@ def _unit(data: bytes, at: int) -> tuple[list, int]:
 def salvage(data: bytes) -> Iterator[tuple]:
     """("record", start, end, headers, block) and ("gap", start, end, reason, None), in order; they cover the file."""
     at, gap, reason = 0, None, ""
+    places = dict.fromkeys((MAGIC, b"WARC/1."), -1)  # the next of each; searched for again only once it is passed
     while at < len(data):
         try:
             records, end = _unit(data, at)
         except Bad as e:
             if gap is None:
                 gap, reason = at, str(e)
-            places = [x for x in (data.find(MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
-            at = min(places, default=len(data))
+            for mark, place in places.items():
+                if place <= at:
+                    place = data.find(mark, at + 1)
+                    places[mark] = place if place >= 0 else len(data)
+            at = min(places.values())
             continue
         if gap is not None:
             yield "gap", gap, at, reason, None
