@@ -1,0 +1,78 @@
+"""Hot keys dealt into blocks give what one window over the key gives."""
+
+import random
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidewater.operators import aggregates as A
+from tidewater.operators import changelog_join as C
+from tidewater.operators import late_split as L
+from tidewater.operators import ordered as O
+from tidewater.operators import tracks
+
+
+def same(a, b):
+    key = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    assert key(a) == key(b)
+
+
+@pytest.fixture(scope="module")
+def timed(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["hot"] * 6 + ["a", "b", None]), i, r.choice([None, r.randint(-50, 50)]), r.randint(-10**6, 10**6), "w" * r.randint(0, 6)) for i in range(300)]
+    rows += [("far", 1000 + i, i, 10**12 * (i % 2), "x") for i in range(9)]
+    return spark.createDataFrame(rows, "k string, id long, v int, t long, word string").repartition(5)
+
+
+@pytest.mark.parametrize("hot_rows", [1, 4, 40, 10**6])
+@pytest.mark.parametrize("per", [("k",), ()])
+def test_running(timed, hot_rows, per):
+    order = [F.col("t"), F.col("id")]
+    measures = {"most": ("max", F.struct("v", "word")), "total": ("sum", F.col("v"))}
+    got = O.running(timed, per, order, hot_rows=hot_rows, **measures)
+    w = Window.partitionBy(*per).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    same(got, timed.select("*", F.max(F.struct("v", "word")).over(so_far).alias("most"), F.sum("v").over(so_far).alias("total")))
+    got = O.running(timed, per, order, inclusive=False, hot_rows=hot_rows, **measures)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    same(got, timed.select("*", F.max(F.struct("v", "word")).over(before).alias("most"), F.sum("v").over(before).alias("total")))
+
+
+@pytest.mark.parametrize("hot_rows", [1, 4, 40])
+def test_neighbours(timed, hot_rows):
+    w = Window.partitionBy("k").orderBy("t")
+    for ahead, f in ((False, F.lag), (True, F.lead)):
+        got = O.neighbour(O.deal(timed, ("k",), F.col("t"), hot_rows), ("k",), "t", F.col("id"), "near", ahead).drop(O.HOT, O.BLOCK)
+        once = timed.groupBy("k", "t").count().where("count > 1")  # equal times have no order of their own
+        assert once.where("k <> 'far'").isEmpty()
+        same(got.where("k IS NULL OR k <> 'far'"), timed.withColumn("near", f("id").over(w)).where("k IS NULL OR k <> 'far'"))
+
+
+def test_blocks_are_many_and_in_order(timed):
+    dealt = O.deal(timed.where("k = 'hot'"), ("k",), F.col("t"), 10)
+    spans = dealt.groupBy(O.BLOCK).agg(F.min("t").alias("low"), F.max("t").alias("high")).orderBy(O.BLOCK).collect()
+    assert len(spans) > 10 and all(x.high < y.low for x, y in zip(spans, spans[1:], strict=False))
+    assert O.deal(timed, ("k",), F.col("t"), 10**6).where(f"{O.HOT} OR {O.BLOCK} <> 0").isEmpty()
+    assert O.deal(timed.limit(0), ("k",), F.col("t"), 1).count() == 0
+
+
+def test_small_tables_are_left_as_they_are(spark, sf):
+    small = spark.read.parquet(f"{sf}/events.parquet")
+    assert O.deal(small, ("user_id",), F.col("event_id")).columns == small.columns
+    assert not O.deal(small, ("user_id",), F.col("event_id"), 2).where(O.HOT).isEmpty()
+
+
+def test_operators_on_hot_keys(spark, timed):
+    p = timed.select(F.coalesce("k", F.lit("n")).alias("key"), (F.col("id") * 0.01).alias("lat"), (F.col("id") % 7 * 0.01).alias("lon"), "t").withColumnRenamed("t", "ts")
+    near = lambda df: df.withColumn("distance", F.round("distance", 4))
+    same(near(tracks.tracker_metrics(p, hot_rows=3)), near(tracks.tracker_metrics(p, hot_rows=None)))
+    same(tracks.to_metric(p.where("key <> 'far'"), hot_rows=3), tracks.to_metric(p.where("key <> 'far'"), hot_rows=None))
+    same(L.replay_split(timed, F.col("id"), 1000, 500, 10, ("k",), "t", hot_rows=5), L.replay_split(timed, F.col("id"), 1000, 500, 10, ("k",), "t", hot_rows=None))
+    order = [F.col("t"), F.col("id")]
+    for f in (A.running_longest, A.running_mean_length):
+        same(f(timed, "word", order, ("k",), hot_rows=5), f(timed, "word", order, ("k",), hot_rows=None))
+    changes = timed.where("k <> 'far'").select(F.col("k").alias("pk"), F.substring("word", 1, 1).alias("join_key"), F.col("id").alias("value"), F.timestamp_millis("t").alias("ts"))
+    for f in (C.versions, C.rekeyed):
+        same(f(changes, hot_rows=4), f(changes, hot_rows=None))

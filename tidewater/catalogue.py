@@ -19,6 +19,7 @@ from .operators import aggregates as A
 from .operators import changelog_join as C
 from .operators import enrich as E
 from .operators import late_split as L
+from .operators import ordered as O
 from .operators import pi, tracks
 from .operators.windowing import WindowSpec
 from .plans.sql import longest_word_udaf, run_sql, tokenize_udf
@@ -154,11 +155,9 @@ def running_max_len(spark, sf_dir):
 
 @query(f"SELECT event_id, struct_extract(max(struct_pack(n := length(event_type), word := event_type)) {_FRAME}, 'word') AS longest, max(ts) {_FRAME} AS latest FROM events")
 def running_max_len_timestamped(spark, sf_dir):
-    from pyspark.sql import Window
-
-    so_far = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    df = A.running_longest(events(spark, sf_dir), "event_type", [F.col("ts"), F.col("event_id")], ("user_id",))
-    return df.select("event_id", "longest", F.max("ts").over(so_far).cast("timestamp_ntz").alias("latest"))
+    word = F.col("event_type")
+    df = O.running(events(spark, sf_dir), ("user_id",), [F.col("ts"), F.col("event_id")], longest=("max", F.struct(F.length(word), word)), latest=("max", F.col("ts")))
+    return df.select("event_id", F.col("longest.event_type").alias("longest"), ntz("latest"))
 
 
 @query(f"SELECT event_id, round(avg(length(event_type)) {_FRAME}, 6) AS mean_length FROM events")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import HOT_ROWS, running
+
 
 def count_per_element(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("cnt"))
@@ -46,19 +48,17 @@ def top_k_array(k: int, by: str = "cnt", item: str = "word") -> Column:
     return F.slice(F.sort_array(F.collect_list(F.struct(by, item)), asc=False), 1, k)
 
 
-def _so_far(order: list[Column], per: tuple[str, ...] = ()):
-    return Window.partitionBy(*per).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def running_longest(df: DataFrame, word: str, order: list[Column], per: tuple[str, ...] = ()) -> DataFrame:
-    """A result for each element: the longest word so far, the first of them on ties (later equals change nothing)."""
+def running_longest(df: DataFrame, word: str, order: list[Column], per: tuple[str, ...] = (), hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """A result for each element: the longest word so far, the greatest of them on ties."""
     w = F.col(word)
-    best = F.max(F.struct(F.length(w).alias("n"), w.alias("word"))).over(_so_far(order, per))
-    return df.withColumn("longest", best["word"])
+    rows = running(df, per, order, hot_rows=hot_rows, longest=("max", F.struct(F.length(w).alias("n"), w.alias("word"))))
+    return rows.withColumn("longest", F.col("longest.word"))
 
 
-def running_mean_length(df: DataFrame, word: str, order: list[Column], per: tuple[str, ...] = ()) -> DataFrame:
-    return df.withColumn("mean_length", F.avg(F.length(word)).over(_so_far(order, per)))
+def running_mean_length(df: DataFrame, word: str, order: list[Column], per: tuple[str, ...] = (), hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    n = F.length(word)
+    rows = running(df, per, order, hot_rows=hot_rows, _chars=("sum", n.cast("long")), _words=("sum", n.isNotNull().cast("long")))
+    return rows.withColumn("mean_length", F.try_divide("_chars", "_words")).drop("_chars", "_words")
 
 
 def pace(length: str = "length", duration: str = "duration") -> Column:

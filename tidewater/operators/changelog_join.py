@@ -8,24 +8,27 @@ changes of the join key, of a value, and deletes alike.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import HOT_ROWS, deal, neighbour
 
-def versions(changes: DataFrame) -> DataFrame:
+
+def versions(changes: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """pk, join_key, value, start, end (null: still holds). Deletes end a version without starting one."""
-    end = F.lead("ts").over(Window.partitionBy("pk").orderBy("ts"))
+    dealt = deal(changes, ("pk",), F.unix_micros(F.col("ts").cast("timestamp")), hot_rows)
+    changes, end = neighbour(dealt, ("pk",), "ts", F.col("ts"), "_end", ahead=True), F.col("_end")
     gone = F.coalesce(F.col("is_delete"), F.lit(False)) if "is_delete" in changes.columns else F.lit(False)
     return changes.select("pk", "join_key", "value", F.col("ts").alias("start"), end.alias("end"), gone.alias("gone")).where("NOT gone").drop("gone")
 
 
-def changelog_join(left: DataFrame, right: DataFrame, bucket_s: int | None = None) -> DataFrame:
+def changelog_join(left: DataFrame, right: DataFrame, bucket_s: int | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """sign, join_key, left_pk, right_pk, left_value, right_value, ts.
 
     bucket_s: width of time buckets. With it, versions meet by join key and bucket (each pair in
     the bucket of its start), so few join keys don't make few large groups.
     """
-    lv, rv = versions(left), versions(right)
+    lv, rv = versions(left, hot_rows), versions(right, hot_rows)
     names = lambda df, side: df.select("join_key", *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c != "join_key"])
     lv, rv = names(lv, "left"), names(rv, "right")
     on = ["join_key"]
@@ -43,9 +46,9 @@ def changelog_join(left: DataFrame, right: DataFrame, bucket_s: int | None = Non
     return out.select("e.sign", "join_key", "left_pk", "right_pk", "left_value", "right_value", "e.ts")
 
 
-def rekeyed(changes: DataFrame) -> DataFrame:
+def rekeyed(changes: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """A changelog with explicit deletes: when a pk's join key changes, its row under the old one is deleted first."""
-    own = Window.partitionBy("pk").orderBy("ts")
-    rows = changes.withColumn("old", F.lag("join_key").over(own))
+    dealt = deal(changes, ("pk",), F.unix_micros(F.col("ts").cast("timestamp")), hot_rows)
+    rows = neighbour(dealt, ("pk",), "ts", F.col("join_key"), "old")
     moved = rows.where("old <> join_key").select("pk", F.col("old").alias("join_key"), F.lit(None).cast(dict(changes.dtypes)["value"]).alias("value"), "ts", F.lit(True).alias("is_delete"))
     return rows.select("pk", "join_key", "value", "ts", F.lit(False).alias("is_delete")).unionByName(moved)

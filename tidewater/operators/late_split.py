@@ -6,20 +6,21 @@ before the watermark at its arrival. In batch the watermark is replayed from the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import HOT_ROWS, running
+
 
 def is_droppable(ts_ms: Column, watermark_ms: Column, size_ms: int, lateness_ms: int) -> Column:
     last = ts_ms - F.pmod(ts_ms, F.lit(size_ms)) + size_ms - 1
     return F.coalesce(last + lateness_ms < watermark_ms, F.lit(False))
 
 
-def replay_split(rows: DataFrame, arrival: Column, size_ms: int, lateness_ms: int, delay_ms: int = 0, per: tuple[str, ...] = (), ts: str = "ts_ms") -> DataFrame:
-    """Adds ``droppable``; the watermark is the greatest time that arrived before, less the delay, for each ``per`` (a source partition)."""
-    before = Window.partitionBy(*per).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    watermark = F.max(ts).over(before) - delay_ms
-    return rows.withColumn("droppable", is_droppable(F.col(ts), watermark, size_ms, lateness_ms))
+def replay_split(rows: DataFrame, arrival: Column, size_ms: int, lateness_ms: int, delay_ms: int = 0, per: tuple[str, ...] = (), ts: str = "ts_ms", hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Adds ``droppable``; the watermark is the greatest time that arrived before, less the delay, for each ``per`` (a source partition; there are few, so they are dealt into blocks of ``arrival``, a number or a time)."""
+    seen = running(rows, per, [arrival], inclusive=False, hot_rows=hot_rows, _seen=("max", F.col(ts)))
+    return seen.withColumn("droppable", is_droppable(F.col(ts), F.col("_seen") - delay_ms, size_ms, lateness_ms)).drop("_seen")
 
 
 def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

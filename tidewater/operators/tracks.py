@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import distance
 from .aggregates import pace
+from .ordered import BLOCK, HOT, HOT_ROWS, by, deal, neighbour
 from .windowing import WindowSpec
 
 MINUTE = 60_000
 
 
-def _legs(positions: DataFrame, key: str) -> DataFrame:
-    """positions: key, lat, lon, ts (ms). A row for each pair of neighbours in time; of equal times the least (lat, lon) counts."""
-    once = positions.groupBy(key, "ts").agg(F.min(F.struct("lat", "lon")).alias("p")).select(key, "ts", "p.lat", "p.lon")
-    before = Window.partitionBy(key).orderBy("ts")
-    legs = once.select("*", *[F.lag(c).over(before).alias(f"{c}0") for c in ("lat", "lon", "ts")])
+def _legs(positions: DataFrame, key: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """positions: key, lat, lon, ts (ms). A row for each pair of neighbours in time; of equal times the least (lat, lon) counts.
+
+    One exchange, by key and block, serves the grouping and the neighbours.
+    """
+    dealt = deal(positions.select(key, "lat", "lon", "ts"), (key,), F.col("ts"), hot_rows)
+    extra = [c for c in (HOT, BLOCK) if c in dealt.columns]
+    once = dealt.repartition(*by(dealt, (key,))).groupBy(key, "ts", *extra).agg(F.min(F.struct("lat", "lon")).alias("p")).select(key, "ts", "p.lat", "p.lon", *extra)
+    legs = neighbour(once, (key,), "ts", F.struct("lat", "lon", "ts"), "at0").select(key, "ts", "lat", "lon", *[F.col(f"at0.{c}").alias(f"{c}0") for c in ("lat", "lon", "ts")])
     return legs.withColumn("length", distance(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")))
 
 
-def tracker_metrics(positions: DataFrame, key: str = "key") -> DataFrame:
-    """key, distance (m) and duration (ms) of each workout."""
-    return _legs(positions, key).groupBy(key).agg(F.coalesce(F.sum("length"), F.lit(0.0)).alias("distance"), (F.max("ts") - F.min("ts")).alias("duration"))
+def tracker_metrics(positions: DataFrame, key: str = "key", hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """key, distance (m) and duration (ms) of each workout. A workout of more than hot_rows positions is dealt out to many tasks."""
+    return _legs(positions, key, hot_rows).groupBy(key).agg(F.coalesce(F.sum("length"), F.lit(0.0)).alias("distance"), (F.max("ts") - F.min("ts")).alias("duration"))
 
 
 def tracker_metrics_udaf(positions: DataFrame, key: str = "key") -> DataFrame:
@@ -48,9 +53,9 @@ def pace_line(key: Column, length: Column, millis: Column) -> Column:
     return F.format_string("%s\t%.3f\t%.3f", key.cast("string"), length, rate)
 
 
-def to_metric(positions: DataFrame, key: str = "key", unit_ms: int = MINUTE, stamp: str = "end") -> DataFrame:
+def to_metric(positions: DataFrame, key: str = "key", unit_ms: int = MINUTE, stamp: str = "end", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """key, length, duration (ms), ts (ms) of each leg's pieces between unit boundaries, stamped at their end or start."""
-    legs = _legs(positions, key).where("ts0 IS NOT NULL AND ts > ts0")
+    legs = _legs(positions, key, hot_rows).where("ts0 IS NOT NULL AND ts > ts0")
     first, last = F.floor(F.col("ts0") / unit_ms), F.floor((F.col("ts") - 1) / unit_ms)
     pieces = legs.withColumn("unit", F.explode(F.sequence(first, last)))
     start, end = F.greatest("ts0", F.col("unit") * unit_ms), F.least("ts", (F.col("unit") + 1) * unit_ms)
