@@ -76,3 +76,19 @@ def test_operators_on_hot_keys(spark, timed):
     changes = timed.where("k <> 'far'").select(F.col("k").alias("pk"), F.substring("word", 1, 1).alias("join_key"), F.col("id").alias("value"), F.timestamp_millis("t").alias("ts"))
     for f in (C.versions, C.rekeyed):
         same(f(changes, hot_rows=4), f(changes, hot_rows=None))
+
+
+@pytest.mark.parametrize("hot_rows", [1, 4, 40, None])
+def test_null_orders_come_first(spark, timed, hot_rows):
+    nulls = timed.where("k IS NULL OR k <> 'far'").withColumn("t", F.when(F.col("id") % 9 > 0, F.col("t")))
+    w = Window.partitionBy("k").orderBy("t", "id")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    got = O.running(nulls, ("k",), [F.col("t"), F.col("id")], hot_rows=hot_rows, most=("max", F.col("v")), total=("sum", F.col("v")))
+    same(got, nulls.select("*", F.max("v").over(so_far).alias("most"), F.sum("v").over(so_far).alias("total")))
+    one = nulls.where("t IS NOT NULL").unionByName(spark.createDataFrame([("hot", 999, 1, None, "w")], nulls.schema))
+    for ahead, f in ((False, F.lag), (True, F.lead)):
+        got = O.neighbour(O.deal(one, ("k",), F.col("t"), hot_rows), ("k",), "t", F.col("id"), "near", ahead).drop(O.HOT, O.BLOCK)
+        same(got, one.withColumn("near", f("id").over(Window.partitionBy("k").orderBy("t"))))
+    p = nulls.select(F.coalesce("k", F.lit("n")).alias("key"), (F.col("id") * 0.01).alias("lat"), (F.col("id") % 7 * 0.01).alias("lon"), F.col("t").alias("ts"))
+    near = lambda df: df.withColumn("distance", F.round("distance", 4))
+    same(near(tracks.tracker_metrics(p, hot_rows=hot_rows)), near(tracks.tracker_metrics(p, hot_rows=None)))

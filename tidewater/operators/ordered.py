@@ -42,7 +42,7 @@ def deal(df: DataFrame, per: tuple[str, ...], order: Column, hot_rows: int | Non
     hot = counts.where(F.col("_n") > hot_rows).orderBy(F.col("_n").desc()).limit(MOST_HOT)
     blocks = F.ceil(F.col("_n") / hot_rows)
     share = (order - F.col("_low")) / (F.col("_high") - F.col("_low") + 1)
-    block = F.least(F.floor(share * blocks), blocks - 1)
+    block = F.when(share.isNull(), F.lit(0)).otherwise(F.least(F.floor(share * blocks), blocks - 1))  # least would skip the null
     out = df.join(F.broadcast(hot), _on(per), "left").withColumn(HOT, F.col("_n").isNotNull()).withColumn(BLOCK, F.coalesce(block, F.lit(0)).cast("int"))
     return out.select(*df.columns, HOT, BLOCK)
 
