@@ -150,6 +150,19 @@ def test_near_duplicates_go_once(messy, empty):
     assert jaccard_join.near_duplicate_components(empty).count() == 0
 
 
+def test_ids_that_stand_with_several_texts(spark):
+    """A near copy goes, and its id's unique text stays and keeps its own component."""
+    w = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*w[:-1], f"x{k}"])
+    own = [f"u{i}" for i in range(60)]
+    rows = [(1, near(1)), (2, near(2)), (2, " ".join(own)), (3, " ".join([*own[:-1], "y"])), (4, near(4)), (4, near(5)), (5, "short text"), (6, " ".join(f"v{i}" for i in range(60))), (6, " ".join(f"v{i}" for i in range(59)))]
+    df = spark.createDataFrame([(*x, None, None, 0) for x in rows], DOCS)
+    assert taken(jaccard_join.near_duplicate_components(df), "doc_id", "n_shingles", "component_id") == plain_components(rows)
+    kept = [(r.doc_id, r.text) for r in jaccard_join.drop_near_duplicates(df).collect()]
+    assert sorted(x for x in kept if x[0] != 6) == sorted([rows[0], rows[2], rows[6]])
+    assert [x[0] for x in kept].count(6) == 1
+
+
 # ---- 2
 
 

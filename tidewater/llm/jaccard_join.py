@@ -23,7 +23,8 @@ and no link between components is missed.
 Cases: null, empty and white-space-only texts have the empty set, link with nothing and
 are a component each. A row with a null doc_id gets its n_shingles, a null component_id and no links.
 Repeated rows are one class; rows that repeat an id with other texts each take part with
-theirs. An empty table gives an empty result. Other columns are ignored.
+theirs, so links are between classes (a node is the representative's id with its class), and
+of a component's rows that repeat its id the one of the least hash of the text stays. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def _bitmap(h: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """A row for each document (doc_id, n, c, cb, bits) and, for each task, its part of the sketch (block, counts)."""
+    """docs: doc_id, text, sha. A row for each document (doc_id, sha, n, c, cb, bits) and, for each task, its part of the sketch (block, counts)."""
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,15 +98,15 @@ def _sets(docs: DataFrame) -> DataFrame:
             rows = len(n)
             ints = lambda x: pa.array(x, pa.int64())
             bitmaps = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * BITMAP_LONGS, pa.int32()), ints(np.concatenate(bits) if bits else []))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ints(n), ints(c), ints(cb), bitmaps, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], SET_COLUMNS)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), ints(n), ints(c), ints(cb), bitmaps, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], SET_COLUMNS)
         parts = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(BLOCKS, -1)]
         nulls = lambda kind: pa.nulls(BLOCKS, kind)
-        yield pa.RecordBatch.from_arrays([nulls(_arrow(id_type)), nulls(pa.int64()), nulls(pa.int64()), nulls(pa.int64()), nulls(pa.list_(pa.int64())), pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], SET_COLUMNS)
+        yield pa.RecordBatch.from_arrays([nulls(_arrow(id_type)), nulls(pa.binary()), nulls(pa.int64()), nulls(pa.int64()), nulls(pa.int64()), nulls(pa.list_(pa.int64())), pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], SET_COLUMNS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, n long, c long, cb long, bits array<long>, block int, counts binary")
+    return docs.select("doc_id", "text", "sha").mapInArrow(run, f"doc_id {id_type.simpleString()}, sha binary, n long, c long, cb long, bits array<long>, block int, counts binary")
 
 
-SET_COLUMNS = ["doc_id", "n", "c", "cb", "bits", "block", "counts"]
+SET_COLUMNS = ["doc_id", "sha", "n", "c", "cb", "bits", "block", "counts"]
 
 
 def _arrow(kind) -> pa.DataType:
@@ -265,10 +266,14 @@ def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
 
 def near_duplicate_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; a component is what links reach, named by its least doc_id."""
+    return _named(docs.select("doc_id", "text", F.lit(None).cast("binary").alias("sha"))).select("doc_id", "n_shingles", "component_id")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text, sha. doc_id, sha, n_shingles, component_id and the component's class (kc, kcb; null for empty sets) of every row."""
     spark: SparkSession = docs.sparkSession
-    docs = docs.select("doc_id", "text")
     sets = stored(_sets(docs), "sets")
-    members = sets.where("block IS NULL").select("doc_id", "n", "c", "cb")
+    members = sets.where("block IS NULL").select("doc_id", "sha", "n", "c", "cb")
     signer = spark.sparkContext.broadcast(Signer(*_levels(sets)))  # a byte for each counter
     boundary = choose_boundary(_costs(docs, signer))
 
@@ -286,7 +291,8 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
         sets.where("block IS NULL AND doc_id IS NOT NULL AND n > 1")
         .join(signed, "c", "left_semi")
         .groupBy("c", "cb")
-        .agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"))
+        .agg(F.min("doc_id").alias("id"), F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"))
+        .select("c", "cb", F.struct("id", "c", "cb").alias("rep"), "n", "bits")
     )
     classes = stored(classes, "classes")
     texts = stored(_texts(docs, classes), "texts")
@@ -303,17 +309,19 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    named = classes.join(labels, classes["rep"] == labels["node"], "left").select("c", "cb", F.coalesce("label", "rep").alias("component_id"))
+    named = classes.join(labels, classes["rep"] == labels["node"], "left").select("c", "cb", F.coalesce("label", "rep").alias("k"))
+    named = named.select("c", "cb", F.col("k.id").alias("component_id"), F.col("k.c").alias("kc"), F.col("k.cb").alias("kcb"))
     # classes that share no list: all their documents have one set
-    alone = members.join(signed, "c", "left_anti").where("n > 0 AND doc_id IS NOT NULL").groupBy("c", "cb").agg(F.min("doc_id").alias("component_id"))
+    alone = members.join(signed, "c", "left_anti").where("n > 0 AND doc_id IS NOT NULL").groupBy("c", "cb").agg(F.min("doc_id").alias("component_id")).select("*", F.col("c").alias("kc"), F.col("cb").alias("kcb"))
     named = stored(named.unionByName(alone), "named")
-    found = members.where("n > 0").join(named, ["c", "cb"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    return found.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    found = members.where("n > 0").join(named, ["c", "cb"], "left").select("doc_id", "sha", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), "kc", "kcb")
+    nothing = F.lit(None).cast("long")
+    return found.unionByName(members.where("n = 0").select("doc_id", "sha", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), nothing.alias("kc"), nothing.alias("kcb")))
 
 
 def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """c, cb, text of each class, fetched by its representative's id; where that id is repeated, the text must give the class."""
-    wanted = classes.select("rep", F.col("c"), F.col("cb"))
+    wanted = classes.select(F.col("rep.id").alias("rep"), F.col("c"), F.col("cb"))
     rows = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("text", "c", "cb")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,26 +349,35 @@ def _across(shared: DataFrame, classes: DataFrame, labels: DataFrame, texts: Dat
     parts = shared.where("salt > 0").groupBy("key").agg(F.min("fc").alias("over"))
     rows = shared.select("key", "c", "fc").join(parts, "key", "left").select("key", "c", F.coalesce("over", "fc").alias("hub"))
     of = classes.join(labels, classes["rep"] == labels["node"], "left").select("c", "cb", "rep", F.coalesce("label", "rep").alias("label"), "n", "bits")
-    rows = rows.join(of.select("c", "label"), "c")
-    lists = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.when(F.col("c") != F.col("hub"), F.col("c"))).alias("p"), F.max("c").alias("q"))
-    mixed = lists.where("x <> y AND p <> q").select("key")
+    of = of.select("c", "cb", "rep", F.col("label.c").alias("lc"), F.col("label.cb").alias("lcb"), "n", "bits")
+    several = "(x <> y OR xb <> yb)"
+    edges = [F.min("lc").alias("x"), F.max("lc").alias("y"), F.min("lcb").alias("xb"), F.max("lcb").alias("yb")]
+    rows = rows.join(of.select("c", "lc", "lcb"), "c")
+    lists = rows.groupBy("key").agg(*edges, F.min(F.when(F.col("c") != F.col("hub"), F.col("c"))).alias("p"), F.max("c").alias("q"))
+    mixed = lists.where(f"{several} AND p <> q").select("key")
     members = rows.join(mixed, "key", "left_semi").select("hub", "c").distinct()
-    members = stored(members.join(of.select("c", "label", "n", "bits"), "c"), "members")
-    sizes = members.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum("n") / CELL_SHINGLES)).cast("int").alias("blocks"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    members = stored(members.join(of.select("c", "lc", "lcb", "n", "bits"), "c"), "members")
+    sizes = members.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum("n") / CELL_SHINGLES)).cast("int").alias("blocks"), *edges).where(several)
     dealt = members.join(sizes.select("hub", "blocks"), "hub").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "n", "label", "bits")
+    dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "n", "lc", "lcb", "bits")
     may = stored(dealt.groupBy("hub", "i", "j").applyInArrow(_possible_members, "hub long, i int, j int, c long"), "possible")
-    cells = may.join(of.select("c", "cb", "rep", "label"), "c").join(texts, ["c", "cb"]).select("hub", "i", "j", "rep", "label", "text")
+    cells = may.join(of.select("c", "cb", "rep", "lc", "lcb"), "c").join(texts, ["c", "cb"]).select("hub", "i", "j", "rep", "lc", "lcb", "text")
     kind = classes.schema["rep"].dataType.simpleString()
     return cells.groupBy("hub", "i", "j").applyInArrow(_cell_links, f"u {kind}, v {kind}").distinct()
 
 
+def _labels(cell: pa.Table) -> np.ndarray:
+    """A number for each label."""
+    both = np.stack([cell.column(x).to_numpy() for x in ("lc", "lcb")], 1)
+    return np.unique(both, axis=0, return_inverse=True)[1].ravel()
+
+
 def _possible_members(cell: pa.Table) -> pa.Table:
     """The members of a cell that may link with one of another label, by size ratio and the bitmaps' bound."""
     i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
     n, block = cell.column("n").to_numpy(), cell.column("block").to_numpy()
-    label = np.unique(np.array(cell.column("label").to_pylist()), return_inverse=True)[1]
+    label = _labels(cell)
     bits = np.array(cell.column("bits").to_pylist(), np.int64).reshape(len(n), BITMAP_LONGS).view(U64)
     left = np.flatnonzero(block == i)
     right = left if i == j else np.flatnonzero(block == j)
@@ -378,7 +395,7 @@ def _possible_members(cell: pa.Table) -> pa.Table:
 def _cell_links(cell: pa.Table) -> pa.Table:
     """Exact overlaps of all pairs of a cell; of the links, as many as connect what they connect."""
     sets = [shingle_set(t, WORDS) for t in cell.column("text").to_pylist()]
-    label = np.unique(np.array(cell.column("label").to_pylist()), return_inverse=True)[1]
+    label = _labels(cell)
     sizes = np.array([len(h) for h in sets])
     _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -412,7 +429,13 @@ def _cell_links(cell: pa.Table) -> pa.Table:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name their component, with all columns; rows with a null id stay."""
-    found = near_duplicate_components(docs)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row of each component with all columns, and those that repeat it whole; rows with a null id or an empty set stay.
+
+    It is the row of the least id and, where that id stands with several texts of the component, the least hash of the text.
+    """
+    sha = F.unhex(F.sha2(docs["text"], 256))
+    found = stored(_named(docs.select("doc_id", "text", sha.alias("sha"))), "found")
+    several = found.where("component_id = doc_id AND kc IS NOT NULL").groupBy("kc", "kcb").agg(F.min("sha").alias("least"), F.max("sha").alias("greatest")).where("least <> greatest")
+    other = found.where("component_id = doc_id").join(several, ["kc", "kcb"]).where("sha <> least")
+    gone = found.where("component_id <> doc_id").select("doc_id", "sha").unionByName(other.select("doc_id", "sha")).select(F.col("doc_id").alias("_gone_id"), F.col("sha").alias("_gone_sha")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["_gone_id"]) & (sha == gone["_gone_sha"]), "left_anti")
