@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One document of each group of equal texts stays, with the rows that repeat it until they are mixed."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
@@ -29,8 +29,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's rate takes them."""
-    return mixing.mix(docs)
+    """Documents as often as their source's rate takes them; rows that repeat a text, with one id or none, count once."""
+    return mixing.mix(exact_dedup.drop_repeats(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

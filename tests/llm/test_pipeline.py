@@ -3,7 +3,7 @@
 import corpus_pipeline
 from test_operators import DOCS, messy, plain_components, words  # noqa: F401
 
-from tidewater.llm import packing
+from tidewater.llm import exact_dedup, packing
 
 
 def test_each_stage_decides_on_what_came_before(spark, messy):  # noqa: F811
@@ -44,3 +44,14 @@ def test_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
 
 
+
+
+def test_repeated_rows_are_mixed_once(spark):
+    rows = [(1, "Once more", "en", "a", 9)] * 3 + [(None, "no id", "en", "a", 5), (None, "No ID", "en", "a", 5), (None, "other", "en", "a", 5), (2, None, "en", "a", 0), (2, "x", "en", "b", 1)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    left = sorted((repr(r.doc_id), (r.text or "").lower()) for r in exact_dedup.drop_repeats(df).collect())
+    assert left == [("1", "once more"), ("2", ""), ("2", "x"), ("None", "no id"), ("None", "other")]
+    assert exact_dedup.drop_repeats(df).columns == df.columns and exact_dedup.drop_repeats(df.limit(0)).count() == 0
+    docs = df.where("doc_id = 1")
+    assert corpus_pipeline.mixed(spark, docs, None).count() <= 3 < 3 * docs.count()
+    assert corpus_pipeline.mixed(spark, docs, None).count() == corpus_pipeline.mixed(spark, docs.limit(1), None).count()

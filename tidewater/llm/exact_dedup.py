@@ -9,7 +9,7 @@ the two differ the hash collided, and just that hash is grouped by text instead.
 Cases: a null text counts as empty, so null and empty texts are one group. A null
 doc_id loses against any other; a group of null ids only keeps them (keep_id null,
 kept true). Rows repeated whole share their id, so they stay or go together, and each
-counts in group_size. An empty table gives an empty result. Other columns are ignored.
+counts in group_size; ``drop_repeats`` then leaves one row of each text, also of null ids. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -89,3 +89,16 @@ def drop_exact_duplicates(docs: DataFrame, keep: str = "max") -> DataFrame:
     gone = exact_duplicates(docs, keep).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.unhex("text_sha256").alias("_gone_sha")).distinct()
     sha = F.unhex(F.sha2(normalised(docs["text"]), 256))
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (sha == gone["_gone_sha"]), "left_anti")
+
+
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """One row, of least hash, of those that share their id (or have none) and, but for the case of A-Z, their text."""
+    sha, row = free_name(docs, "_sha"), F.struct(*[docs[c] for c in docs.columns])
+    marked = docs.withColumn(sha, F.unhex(F.sha2(normalised(docs["text"]), 256)))
+    several = marked.groupBy("doc_id", sha).agg(F.count("*").alias("_rows")).where("_rows > 1").select(F.col("doc_id").alias("_id"), F.col(sha).alias("_text"))
+    several = stored(several, "repeats")
+    if several.isEmpty():
+        return docs
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(sha) == F.col("_text"))
+    once = marked.join(several, on, "left_semi").groupBy("doc_id", sha).agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
+    return marked.join(several, on, "left_anti").drop(sha).unionByName(once)
