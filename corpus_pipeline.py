@@ -14,7 +14,7 @@ from tidewater.llm.common import stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language (null, or no letter in them) go."""
+    """Texts without a language (null, or no letter in them) go; the model's label and score don't filter."""
     return language_id.keep_identified(docs)
 
 

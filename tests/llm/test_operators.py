@@ -223,6 +223,13 @@ def test_languages(messy, empty, spark):
     assert {x.lang_pred for x in language_id.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_texts_stay_where_nothing_can_be_learned(spark):
+    rows = [(i, t, None, "s", 0) for i, t in enumerate(["plain", "é", None, "", "12 !", "x" * 9])]
+    held = [next(i for i in range(99) if zlib.crc32(str(i).encode()) % 3 == 1)]
+    for docs in (spark.createDataFrame(rows, DOCS), spark.createDataFrame([(held[0], t, "en", "s", 0) for _, t, *_ in rows], DOCS)):
+        assert sorted(r.text for r in language_id.keep_identified(docs).collect()) == ["plain", "x" * 9, "é"]
+
+
 def test_held_out_language_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     p = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()

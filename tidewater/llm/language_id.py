@@ -212,6 +212,14 @@ def predictor(spark, model: Model):
     return predict
 
 
+def has_letter(text: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def has(texts: pd.Series) -> pd.Series:
+        return pd.Series([next(features(t), None) is not None for t in texts], dtype=bool)
+
+    return has(text)
+
+
 def identify(docs: DataFrame, per_language: int = 400) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
     predict = predictor(docs.sparkSession, train(docs, per_language))
@@ -220,9 +228,15 @@ def identify(docs: DataFrame, per_language: int = 400) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, per_language: int = 400) -> DataFrame:
-    """The rows of ``docs`` whose text has a language; those without a letter or a text go."""
+    """The rows of ``docs`` whose text has a language; those without a letter or a text go.
+
+    The model's choice and score reject nothing. Where nothing can be learned, the letters alone decide.
+    """
     if docs.isEmpty():
         return docs
-    predict = predictor(docs.sparkSession, train(docs, per_language))
+    model = train(docs, per_language)
+    if not model.languages:
+        return docs.where(has_letter(docs["text"]))
+    predict = predictor(docs.sparkSession, model)
     mark = free_name(docs, "_language")
     return docs.withColumn(mark, predict(docs["text"])).where(F.col(f"{mark}.lang_pred") != UNKNOWN).drop(mark)
