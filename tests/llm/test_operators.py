@@ -142,6 +142,21 @@ def test_boundary_is_of_least_cost():
     assert jaccard_join.choose_boundary({}) == 0
 
 
+def test_costs_cover_long_texts_of_few_shingles(spark):
+    """Each short set again in a text that is too long to be read twice: the costs double."""
+    short = [" ".join(f"{i}w{j}" for j in range(20 + i)) for i in range(5)]
+    spaced = [" " * (jaccard_join.LONG + 1) + t for t in short]
+
+    def costs(texts):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("sha", F.lit(None).cast("binary"))
+        sets = jaccard_join._sets(docs).cache()
+        levels = np.zeros(1 << jaccard_join.SKETCH_BITS, np.uint8)
+        return jaccard_join._costs(docs, sets, spark.sparkContext.broadcast(jaccard_join.Signer(levels, 0)))
+
+    once = costs(short)
+    assert once and costs(short + spaced) == {n: (2 * a, 2 * b) for n, (a, b) in once.items()}
+
+
 def test_near_duplicates_go_once(messy, empty):
     kept = jaccard_join.drop_near_duplicates(messy)
     assert kept.columns == messy.columns

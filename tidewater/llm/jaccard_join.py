@@ -53,6 +53,8 @@ CELL, CELL_SHINGLES = 256, 1 << 18
 COLUMNS = 4096
 #: Rows of one list that one task may have to sort before it is salted.
 PART = 4096
+#: Longer texts aren't read again for the costs; where such a text has a light set, its buckets are stored with the set.
+LONG = 24 * MOST_LIGHT
 LEVEL = 1.25
 
 
@@ -86,7 +88,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in slices(batches):
-            n, c, cb, bits = [], [], [], []
+            n, c, cb, bits, buckets = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 h = shingle_set(text, WORDS)
                 n.append(len(h))
@@ -95,18 +97,19 @@ def _sets(docs: DataFrame) -> DataFrame:
                 cb.append(y)
                 bits.append(_bitmap(h))
                 np.add.at(sketch, _bucket(h), 1)
+                buckets.append(_bucket(h).astype("<i4").tobytes() if text and len(text) > LONG and 2 <= len(h) <= MOST_LIGHT else None)
             rows = len(n)
             ints = lambda x: pa.array(x, pa.int64())
             bitmaps = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * BITMAP_LONGS, pa.int32()), ints(np.concatenate(bits) if bits else []))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), ints(n), ints(c), ints(cb), bitmaps, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], SET_COLUMNS)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), ints(n), ints(c), ints(cb), bitmaps, pa.array(buckets, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], SET_COLUMNS)
         parts = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(BLOCKS, -1)]
         nulls = lambda kind: pa.nulls(BLOCKS, kind)
-        yield pa.RecordBatch.from_arrays([nulls(_arrow(id_type)), nulls(pa.binary()), nulls(pa.int64()), nulls(pa.int64()), nulls(pa.int64()), nulls(pa.list_(pa.int64())), pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], SET_COLUMNS)
+        yield pa.RecordBatch.from_arrays([nulls(_arrow(id_type)), nulls(pa.binary()), nulls(pa.int64()), nulls(pa.int64()), nulls(pa.int64()), nulls(pa.list_(pa.int64())), nulls(pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], SET_COLUMNS)
 
-    return docs.select("doc_id", "text", "sha").mapInArrow(run, f"doc_id {id_type.simpleString()}, sha binary, n long, c long, cb long, bits array<long>, block int, counts binary")
+    return docs.select("doc_id", "text", "sha").mapInArrow(run, f"doc_id {id_type.simpleString()}, sha binary, n long, c long, cb long, bits array<long>, buckets binary, block int, counts binary")
 
 
-SET_COLUMNS = ["doc_id", "sha", "n", "c", "cb", "bits", "block", "counts"]
+SET_COLUMNS = ["doc_id", "sha", "n", "c", "cb", "bits", "buckets", "block", "counts"]
 
 
 def _arrow(kind) -> pa.DataType:
@@ -173,25 +176,39 @@ class Signer:
 PAIR = numbers(5, 2) | U64(1)
 
 
-def _costs(docs: DataFrame, signer) -> dict[int, tuple[float, float]]:
-    """For each size up to MOST_LIGHT, the summed cost of singles and of pairs: a row each, and the list that is scanned."""
+def _costs(docs: DataFrame, sets: DataFrame, signer) -> dict[int, tuple[float, float]]:
+    """For each size up to MOST_LIGHT, the summed cost of singles and of pairs over all documents: a row each, and the list that is scanned."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(cost: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(cost.sum(1))
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(cost[at, 0]), pa.array(cost[at, 1])], ["n", "single", "pair"])
+
+    def add(cost: np.ndarray, f: np.ndarray, n: int) -> None:
+        m = len(f) + 1
+        cost[n] += len(f) + f.sum(), m * (m - 1) / 2 * 2
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign, cost = signer.value, np.zeros((MOST_LIGHT + 1, 2))
         for b in slices(batches):
             for text in b.column("text").to_pylist():
-                if text and len(text) <= 24 * MOST_LIGHT:
+                if text and len(text) <= LONG:
                     h = shingle_set(text, WORDS)
                     if 2 <= len(h) <= MOST_LIGHT:
-                        _, _, f = sign.singles(h)
-                        m = len(f) + 1
-                        cost[len(h)] += len(f) + f.sum(), m * (m - 1) / 2 * 2
-        at = np.flatnonzero(cost.sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(cost[at, 0]), pa.array(cost[at, 1])], ["n", "single", "pair"])
+                        add(cost, sign.singles(h)[2], len(h))
+        yield rows(cost)
 
-    # Texts of more than 24 characters for each of the most shingles count as heavy here. That only moves the
-    # boundary, which results don't depend on; all texts are signed.
-    got = docs.select("text").mapInArrow(run, "n long, single double, pair double").groupBy("n").agg(F.sum("single").alias("single"), F.sum("pair").alias("pair")).collect()
+    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign, cost = signer.value, np.zeros((MOST_LIGHT + 1, 2))
+        for b in slices(batches):
+            for x in b.column("buckets").to_pylist():
+                # the estimates depend on the buckets alone: any hashes with these give them
+                h = np.frombuffer(x, "<i4").astype(U64) << U64(64 - SKETCH_BITS)
+                add(cost, sign.singles(h)[2], len(h))
+        yield rows(cost)
+
+    kind = "n long, single double, pair double"
+    both = docs.select("text").mapInArrow(short, kind).unionByName(sets.where("buckets IS NOT NULL").select("buckets").mapInArrow(long, kind))
+    got = both.groupBy("n").agg(F.sum("single").alias("single"), F.sum("pair").alias("pair")).collect()
     return {r["n"]: (r["single"], r["pair"]) for r in got}
 
 
@@ -275,7 +292,7 @@ def _named(docs: DataFrame) -> DataFrame:
     sets = stored(_sets(docs), "sets")
     members = sets.where("block IS NULL").select("doc_id", "sha", "n", "c", "cb")
     signer = spark.sparkContext.broadcast(Signer(*_levels(sets)))  # a byte for each counter
-    boundary = choose_boundary(_costs(docs, signer))
+    boundary = choose_boundary(_costs(docs, sets, signer))
 
     group = Window.partitionBy("key", "salt")
     first = F.min(F.struct("c", "n", "bound")).over(group)
