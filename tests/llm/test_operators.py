@@ -378,6 +378,40 @@ def test_salvage_is_that_of_a_plain_reader_under_damage(monkeypatch, step):
         assert sum(x[2] - x[1] for x in found if x[0] == "gap") == lost
 
 
+@pytest.mark.parametrize("step", [1, 1 << 14])
+@pytest.mark.parametrize("level", [0, 6])
+def test_members_of_many_records_lose_only_what_is_damaged(monkeypatch, step, level):
+    monkeypatch.setattr(warc, "STEP", step)
+    rng = np.random.default_rng(1)
+    payloads = [rng.bytes(300) for _ in range(6)]
+    plain = [warc.record("response", i, "u", p, len(p), warc.digest(p), None) for i, p in enumerate(payloads)]
+
+    def squeeze(x):
+        z = zlib.compressobj(level, wbits=31)
+        return z.compress(x) + z.flush()
+
+    def check(data, want):
+        found = list(warc.salvage(data))
+        assert [x[3]["warc-record-id"] for x in found if x[0] == "record"] == [b"<urn:page:%d>" % i for i in want]
+        assert any(x[0] == "gap" for x in found) and all(x[4].endswith(payloads[i]) for x, i in zip([x for x in found if x[0] == "record"], want, strict=True))
+        edges = sorted({(x[1], x[2]) for x in found})
+        assert edges[0][0] == 0 and edges[-1][1] == len(data) and all(a[1] == b[0] for a, b in itertools.pairwise(edges))
+
+    worse = list(plain)
+    worse[2] = plain[2][:-9] + b"~" + plain[2][-8:]  # a wrong block digest
+    worse[4] = plain[4].replace(b"\r\nContent-Length: %d\r\n\r\nHTTP" % (len(plain[4]) - plain[4].index(b"HTTP/1.1 200") - 4), b"\r\nContent-Length: 7\r\n\r\nHTTP")
+    assert worse[4] != plain[4]
+    after = warc.member(warc.record("response", 9, "u", b"z", 1, warc.digest(b"z"), None))
+    payloads += [b""] * 3 + [b"z"]
+    check(squeeze(b"".join(worse)) + after, [0, 1, 3, 5, 9])
+    whole = squeeze(b"".join(plain))
+    crc = bytearray(whole)
+    crc[-6] ^= 1
+    check(bytes(crc) + after, [0, 1, 2, 3, 4, 5, 9])
+    check(whole[:-5], [0, 1, 2, 3, 4, 5])
+    check(whole[:-200], [0, 1, 2, 3, 4])
+
+
 def test_archives_hold_a_bounded_number_of_records(spark, tmp_path):
     pages = spark.range(10).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html")).coalesce(1)
     path = f"file://{tmp_path}/archives"

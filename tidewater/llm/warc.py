@@ -9,7 +9,11 @@ followed by an empty one), and that 0 is written as the "line end".
 Reading. A file is read member by member. Where a member doesn't decompress to its end with the
 right checksum, or a record's header, length or digest is wrong, the reader searches for the next
 place at which a valid member (or, in plain files, a version line with a valid record) starts,
-goes on there, and logs the bytes in between as quarantined with the reason.
+goes on there, and logs the bytes in between as quarantined with the reason. In a member of
+several records the reader goes on at the next version line with a valid record, gives those records
+with the member's place, and logs the rest as gaps of that place. Of a member that itself fails (cut, or with
+a wrong checksum) what was inflated is read so too, if it holds more than one version line; records
+without a digest aren't given then, as nothing proves them. A member of one record stands or falls with its checksum.
 
 Cases: null html is an empty payload, null url an empty one; a null page_id is written as such and
 read back as null; rows that repeat a page_id with the same payload are all responses if it is the
@@ -19,6 +23,7 @@ least of the payload; an empty table gives an empty archive; other columns are i
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import zlib
@@ -101,11 +106,12 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_pe
 
 
 class Bad(Exception):
-    pass
+    #: What a failed member inflated to before it failed.
+    plain = b""
 
 
-def parse_record(plain: bytes, at: int = 0) -> tuple[dict[str, bytes], bytes, int]:
-    """Headers, block and end of the record at ``at``; Bad says what is wrong."""
+def parse_record(plain: bytes, at: int = 0, proven: bool = False) -> tuple[dict[str, bytes], bytes, int]:
+    """Headers, block and end of the record at ``at``; Bad says what is wrong. proven: without a digest it's wrong."""
     if not plain.startswith(b"WARC/1.", at):
         raise Bad("no version line")
     end = plain.find(b"\r\n\r\n", at)
@@ -124,6 +130,8 @@ def parse_record(plain: bytes, at: int = 0) -> tuple[dict[str, bytes], bytes, in
     if plain[stop : stop + 4] != b"\r\n\r\n":
         raise Bad("record doesn't end where its length says")
     block = plain[start:stop]
+    if proven and not (head.get("warc-block-digest") or head.get("warc-type") == b"response" and head.get("warc-payload-digest", b"").startswith(b"sha1:")):
+        raise Bad("no digest proves the record")
     if (want := head.get("warc-block-digest")) and want != b"sha1:" + digest(block).encode():
         raise Bad("block digest differs")
     if head.get("warc-type") == b"response" and (want := head.get("warc-payload-digest", b"")).startswith(b"sha1:"):
@@ -134,18 +142,54 @@ def parse_record(plain: bytes, at: int = 0) -> tuple[dict[str, bytes], bytes, in
 
 def inflate(data: bytes, at: int) -> tuple[bytes, int]:
     """A gzip member at ``at`` and where it ends. It is fed in steps, so what follows it isn't copied."""
-    z, view, out = zlib.decompressobj(wbits=31), memoryview(data), []
+    z, view, out, first = zlib.decompressobj(wbits=31), memoryview(data), [], at
     while not z.eof:
         if at >= len(data):
-            raise Bad("member doesn't end")
+            bad = Bad("member doesn't end")
+            bad.plain = b"".join(out)
+            raise bad
         try:
             out.append(z.decompress(view[at : at + STEP]))
         except zlib.error as e:
-            raise Bad(f"member: {str(e)[:80]}") from None
+            bad = Bad(f"member: {str(e)[:80]}")
+            bad.plain = _before_failure(view, first, at)
+            raise bad from None
         at = min(at + STEP, len(data))
     return b"".join(out), at - len(z.unused_data)
 
 
+def _before_failure(view: memoryview, first: int, at: int) -> bytes:
+    """What a member at ``first`` inflates to before it fails in the step at ``at``: that step is fed byte by byte."""
+    z = zlib.decompressobj(wbits=31)
+    out = [z.decompress(view[first:at])]
+    with contextlib.suppress(zlib.error):
+        for i in range(at, min(at + STEP, len(view))):
+            out.append(z.decompress(view[i : i + 1]))
+    return b"".join(out)
+
+
+def _inside(plain: bytes, proven: bool) -> tuple[list[tuple[dict[str, bytes], bytes]], list[str]]:
+    """The valid records of a member's content, and what is wrong with the bytes between them."""
+    records, gaps, at, gap, reason = [], [], 0, None, ""
+    while at < len(plain):
+        try:
+            head, block, end = parse_record(plain, at, proven)
+        except Bad as e:
+            if gap is None:
+                gap, reason = at, str(e)
+            place = plain.find(b"WARC/1.", at + 1)
+            end = place if place >= 0 else len(plain)
+        else:
+            if gap is not None:
+                gaps.append(f"{reason} (bytes {gap} to {at} of the member's content)")
+                gap = None
+            records.append((head, block))
+        at = end
+    if gap is not None:
+        gaps.append(f"{reason} (bytes {gap} to {at} of the member's content)")
+    return records, gaps
+
+
 def _records_of(plain: bytes) -> list[tuple[dict[str, bytes], bytes]]:
     out, at = [], 0
     while at < len(plain):
@@ -154,24 +198,40 @@ def _records_of(plain: bytes) -> list[tuple[dict[str, bytes], bytes]]:
     return out
 
 
-def _unit(data: bytes, at: int) -> tuple[list, int]:
+def _unit(data: bytes, at: int) -> tuple[list, list[str], int]:
+    """Records at ``at``, what is wrong between them, and where they end."""
     if data.startswith(MAGIC, at):
         plain, end = inflate(data, at)
-        return _records_of(plain), end
+        try:
+            return _records_of(plain), [], end
+        except Bad:
+            records, gaps = _inside(plain, False)
+            if not records:
+                raise
+            return records, gaps, end
     head, block, end = parse_record(data, at)
-    return [(head, block)], end
+    return [(head, block)], [], end
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
-    """("record", start, end, headers, block) and ("gap", start, end, reason, None), in order; they cover the file."""
-    at, gap, reason = 0, None, ""
+    """("record", start, end, headers, block) and ("gap", start, end, reason, None), in order; they cover the file.
+
+    Records and gaps of one damaged member all have its start and end; a failed member ends where the next valid one starts.
+    """
+    at, gap, reasons, held = 0, None, [], []
     places = dict.fromkeys((MAGIC, b"WARC/1."), -1)  # the next of each; searched for again only once it is passed
     while at < len(data):
         try:
-            records, end = _unit(data, at)
+            records, wrong, end = _unit(data, at)
+            known = gap is not None and held and not data.startswith(MAGIC, at) and records[0] in held  # a failed member's stored bytes
         except Bad as e:
+            several, known = ([], []) if e.plain.count(b"WARC/1.") < 2 else _inside(e.plain, True), True
+            if gap is not None and several[0] and any(x not in held for x in several[0]):
+                yield from _damaged(gap, at, held, reasons)
+                gap = None
             if gap is None:
-                gap, reason = at, str(e)
+                gap, held, reasons = at, several[0], [str(e), *several[1]]
+        if known:
             for mark, place in places.items():
                 if place <= at:
                     place = data.find(mark, at + 1)
@@ -179,13 +239,21 @@ def salvage(data: bytes) -> Iterator[tuple]:
             at = min(places.values())
             continue
         if gap is not None:
-            yield "gap", gap, at, reason, None
+            yield from _damaged(gap, at, held, reasons)
             gap = None
-        for head, block in records:
-            yield "record", at, end, head, block
+        yield from _damaged(at, end, records, wrong)
         at = end
     if gap is not None:
-        yield "gap", gap, len(data), reason, None
+        yield from _damaged(gap, len(data), held, reasons)
+
+
+def _damaged(start: int, end: int, records: list, reasons: list[str]) -> Iterator[tuple]:
+    for head, block in records:
+        yield "record", start, end, head, block
+    if reasons and not records:  # nothing of it is good
+        reasons = reasons[:1]
+    for x in reasons:
+        yield "gap", start, end, x, None
 
 
 def _page(x: bytes | None) -> str | None:
