@@ -92,3 +92,10 @@ def test_null_orders_come_first(spark, timed, hot_rows):
     p = nulls.select(F.coalesce("k", F.lit("n")).alias("key"), (F.col("id") * 0.01).alias("lat"), (F.col("id") % 7 * 0.01).alias("lon"), F.col("t").alias("ts"))
     near = lambda df: df.withColumn("distance", F.round("distance", 4))
     same(near(tracks.tracker_metrics(p, hot_rows=hot_rows)), near(tracks.tracker_metrics(p, hot_rows=None)))
+
+
+@pytest.mark.parametrize("hot_rows", [1, 3, 40, None])
+def test_grouped_function_on_hot_keys(spark, timed, hot_rows):
+    p = timed.select(F.coalesce("k", F.lit("n")).alias("key"), (F.col("id") * 0.01).alias("lat"), (F.col("id") % 7 * 0.01).alias("lon"), F.when(F.col("id") % 9 > 0, F.col("t")).alias("ts"))
+    near = lambda df: df.withColumn("distance", F.round("distance", 4))
+    same(near(tracks.tracker_metrics_udaf(p, hot_rows=hot_rows)), near(tracks.tracker_metrics(p, hot_rows=None)))

@@ -62,6 +62,17 @@ def test_top_k(spark):
     assert got == {("line", 2), ("x", 1)}
 
 
+def test_top_k_of_parts(spark, monkeypatch):
+    """More words than k in few parts, ties among them, and no aggregate of all of a window's words."""
+    rows = [(f"w{i}", i) for i in range(30) for _ in range(i % 5 + 1)]
+    monkeypatch.setattr(W, "SALTS", 3)
+    df = words(spark, rows, [("end", 10**7)], [("end", 2 * 10**7)])
+    out = W.top_k_by_window(df, 4, "10 seconds")
+    assert "salt" in out._jdf.queryExecution().analyzed().toString()
+    got = {(r.word, r.cnt) for r in run(out) if r.word != "end"}
+    assert got == {(f"w{i}", 5) for i in (9, 4, 29, 24)}
+
+
 def test_sliding_means(spark):
     df = words(spark, [("a", 0), ("bb", 1999)], [("ccc", 5000), ("dddd", 10_000)], [("", 10**7)], [("", 2 * 10**7)])
     assert Counter(r.mean_length for r in run(W.sliding_mean_length(df, "10 seconds", "2 seconds", "1 minute")) if r.mean_length) == {1.5: 2, 2.0: 3, 3.5: 2, 4.0: 3}

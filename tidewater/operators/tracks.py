@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import distance
@@ -30,21 +30,31 @@ def tracker_metrics(positions: DataFrame, key: str = "key", hot_rows: int | None
     return _legs(positions, key, hot_rows).groupBy(key).agg(F.coalesce(F.sum("length"), F.lit(0.0)).alias("distance"), (F.max("ts") - F.min("ts")).alias("duration"))
 
 
-def tracker_metrics_udaf(positions: DataFrame, key: str = "key") -> DataFrame:
-    """The same through a grouped function that sees a workout's rows, for rules that expressions can't state."""
+def tracker_metrics_udaf(positions: DataFrame, key: str = "key", hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """The same through a grouped function that sees a workout's rows, or of a workout of more than hot_rows positions a block of them, for rules that expressions can't state."""
     import numpy as np
     import pandas as pd
 
     from ..functions.geo import EARTH_RADIUS
 
     def metrics(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "lat", "lon"]).drop_duplicates("ts")
+        pdf = pdf.sort_values(["ts", "lat", "lon"], na_position="first").drop_duplicates("ts")
         half = [np.radians(np.diff(pdf[c].to_numpy())) / 2 for c in ("lat", "lon")]
-        length = EARTH_RADIUS * np.sqrt(sum((2 * np.sin(h)) ** 2 for h in half)).sum()
-        return pd.DataFrame({key: pdf[key].iloc[:1], "distance": [float(length)], "duration": [int(pdf.ts.iloc[-1] - pdf.ts.iloc[0])]})
+        length = np.nansum(EARTH_RADIUS * np.sqrt(sum((2 * np.sin(h)) ** 2 for h in half)))
+        ends = {f"{c}{i}": [pdf[c].iloc[i]] for i in (0, -1) for c in ("lat", "lon")}
+        times = [None if pd.isna(t) else int(t) for t in (pdf.ts.min(), pdf.ts.max())]
+        return pd.DataFrame({key: pdf[key].iloc[:1].to_list(), BLOCK: pdf[BLOCK].iloc[:1].to_list(), "length": [float(length)], **ends, "low": pd.array(times[:1], "Int64"), "high": pd.array(times[1:], "Int64")})
 
     kind = positions.schema[key].dataType.simpleString()
-    return positions.select(key, "lat", "lon", "ts").groupBy(key).applyInPandas(metrics, f"{key} {kind}, distance double, duration long")
+    dealt = deal(positions.select(key, "lat", "lon", "ts"), (key,), F.col("ts"), hot_rows)
+    if BLOCK not in dealt.columns:
+        dealt = dealt.withColumn(BLOCK, F.lit(0))
+    schema = f"{key} {kind}, {BLOCK} int, length double, lat0 double, lon0 double, `lat-1` double, `lon-1` double, low long, high long"
+    blocks = dealt.select(key, BLOCK, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), "ts").groupBy(key, BLOCK).applyInPandas(metrics, schema)
+    before = Window.partitionBy(key).orderBy(BLOCK)  # one row for each block of a hot key
+    carried = distance(F.lag("lat-1").over(before), F.lag("lon-1").over(before), F.col("lat0"), F.col("lon0"))
+    joined = blocks.withColumn("carried", F.coalesce(carried, F.lit(0.0)))
+    return joined.groupBy(key).agg(F.sum(F.col("length") + F.col("carried")).alias("distance"), (F.max("high") - F.min("low")).alias("duration"))
 
 
 def pace_line(key: Column, length: Column, millis: Column) -> Column:

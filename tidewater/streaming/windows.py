@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators.aggregates import longest, pace, top_k_array
 
+#: Parts that a window's words are dealt into before its most frequent are taken; no state row holds more than a part.
+SALTS = 1024
+
 
 def word_counts(words: DataFrame, window: str | None, delay: str = "0 seconds") -> DataFrame:
     """word, cnt: by window (append mode), or in total (complete or update mode)."""
@@ -16,9 +19,11 @@ def word_counts(words: DataFrame, window: str | None, delay: str = "0 seconds")
 
 
 def top_k_by_window(words: DataFrame, k: int, window: str, delay: str = "0 seconds") -> DataFrame:
-    """window, word, cnt of the k most frequent words: two aggregations, the second on the first's window."""
+    """window, word, cnt of the k most frequent words: counts, then the k of each of SALTS parts of the words, then the k of those, each on the window before."""
     counts = word_counts(words, window, delay)
-    best = counts.groupBy(F.window(F.window_time("window"), window)).agg(top_k_array(k).alias("top"))
+    parts = counts.groupBy(F.window(F.window_time("window"), window), F.pmod(F.xxhash64("word"), F.lit(SALTS)).alias("salt")).agg(top_k_array(k).alias("top"))
+    parts = parts.select("window", F.explode("top").alias("t")).select("window", "t.word", "t.cnt")
+    best = parts.groupBy(F.window(F.window_time("window"), window)).agg(top_k_array(k).alias("top"))
     return best.select("window", F.explode("top").alias("t")).select("window", "t.word", "t.cnt")
 
 
