@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import chat, exact_dedup, jaccard_join, language_id, mixing, packing, quality, token_counts, topk, warc
+from tidewater.llm import chat, common, exact_dedup, jaccard_join, language_id, mixing, packing, quality, token_counts, topk, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names operators use inside.
@@ -91,6 +91,14 @@ def plain_components(rows):
     return sorted(((d, len(s), min(least[find(i)]) if d is not None else None) for i, (d, s) in enumerate(sets)), key=repr)
 
 
+def plain_survivors(rows):
+    """Of each component, ids that are null taken as the last: one row of the least id; of rows that share id and text, one."""
+    once = list({(r.doc_id, r.text or ""): r for r in rows}.values())
+    order = sorted(range(len(once)), key=lambda i: (once[i].doc_id is None, once[i].doc_id or 0, hashlib.md5((once[i].text or "").encode()).digest()))
+    named = plain_components([(k, once[i].text) for k, i in enumerate(order)])
+    return sorted(repr(once[order[k]]) for k, _, c in named if k == c)
+
+
 def test_components_match_brute_force(messy):
     rows = [(r.doc_id, r.text) for r in messy.collect()]
     assert taken(jaccard_join.near_duplicate_components(messy), "doc_id", "n_shingles", "component_id") == plain_components(rows)
@@ -124,6 +132,8 @@ def test_salted_lists_and_small_blocks_lose_no_link(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = plain_components(rows)
     monkeypatch.setattr(jaccard_join, "CELL", 7)
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", 9)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
     plain = jaccard_join.Signer.prefix
 
     def often(self, h, more):
@@ -132,7 +142,7 @@ def test_salted_lists_and_small_blocks_lose_no_link(spark, monkeypatch):
 
     monkeypatch.setattr(jaccard_join.Signer, "prefix", often)
     for boundary in (0, 200):
-        monkeypatch.setattr(jaccard_join, "choose_boundary", lambda costs, b=boundary: b)
+        monkeypatch.setattr(jaccard_join, "choose_boundary", lambda *_, b=boundary: b)
         assert taken(jaccard_join.near_duplicate_components(df), "doc_id", "n_shingles", "component_id") == want
 
 
@@ -142,26 +152,65 @@ def test_boundary_is_of_least_cost():
     assert jaccard_join.choose_boundary({}) == 0
 
 
-def test_costs_cover_long_texts_of_few_shingles(spark):
-    """Each short set again in a text that is too long to be read twice: the costs double."""
+def test_costs_cover_every_set_of_its_size(spark):
+    """Each short set again in a text that is long because of its spaces or of its repeated words: the costs grow in proportion."""
     short = [" ".join(f"{i}w{j}" for j in range(20 + i)) for i in range(5)]
-    spaced = [" " * (jaccard_join.LONG + 1) + t for t in short]
+    spaced = [" " * 50_000 + t for t in short]
+    again = [(t + " ") * 900 + t for t in short]
 
     def costs(texts):
-        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("sha", F.lit(None).cast("binary"))
-        sets = jaccard_join._sets(docs).cache()
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        sets = jaccard_join._sets(docs, 200).cache()
         levels = np.zeros(1 << jaccard_join.SKETCH_BITS, np.uint8)
-        return jaccard_join._costs(docs, sets, spark.sparkContext.broadcast(jaccard_join.Signer(levels, 0)))
+        return jaccard_join._costs(sets, spark.sparkContext.broadcast(jaccard_join.Signer(levels, 0)), 200)
 
     once = costs(short)
-    assert once and costs(short + spaced) == {n: (2 * a, 2 * b) for n, (a, b) in once.items()}
+    assert set(once) == {len(shingles(t)) for t in short} and costs(short + spaced) == {n: (2 * a, 2 * b) for n, (a, b) in once.items()}
+    assert set(costs(again)) == {len(shingles(t)) for t in again} and max(costs(again)) < 30
+
+
+def test_overlaps_are_those_of_sets():
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 400, r.integers(1, 300))).astype(np.uint64) for _ in range(60)]
+    sets += [np.unique(np.concatenate((np.arange(1000, 1090), r.integers(2000, 9000, 6)))).astype(np.uint64) for _ in range(60)]
+    got = jaccard_join.overlaps(sets)
+    assert all(got[i, j] == (len(np.intersect1d(sets[i], sets[j])) if i < j else 0) for i in range(120) for j in range(120))
+
+
+def test_one_hub_of_thousands(spark):
+    """3,000 sets around one, of which few link: each differs from the base in about the share that the threshold allows, and a long text of few shingles is among them."""
+    r = random.Random(12)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(3000):
+        w = list(base)
+        for k in range(2 if i % 3 else 1):
+            w[r.randrange(60)] = f"v{r.randrange(9)}x{k}"
+        rows.append((i, " ".join(w)))
+    rows.append((3000, (" ".join(base) + " ") * 500))
+    got = {x.doc_id: x for x in jaccard_join.near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    elements, of = {}, []
+    for _, t in rows:
+        of.append([elements.setdefault(x, len(elements)) for x in shingles(t)])
+    has = np.zeros((len(rows), len(elements)), np.float32)
+    for i, x in enumerate(of):
+        has[i, x] = 1
+    n, overlap = has.sum(1), has @ has.T
+    links = 9 * overlap >= 4 * (n[:, None] + n[None, :])
+    label = np.arange(len(rows))
+    while True:  # the least label that links reach
+        new = np.array([label[x].min() for x in links])
+        if (new == label).all():
+            break
+        label = new
+    assert [got[i].component_id for i in range(len(rows))] == label.tolist() and len(set(label.tolist())) > 1
+    assert [got[i].n_shingles for i in range(len(rows))] == n.tolist()
 
 
 def test_near_duplicates_go_once(messy, empty):
     kept = jaccard_join.drop_near_duplicates(messy)
     assert kept.columns == messy.columns
-    named = {(d, c) for d, _, c in plain_components([(r.doc_id, r.text) for r in messy.collect()])}
-    assert {r.doc_id for r in kept.collect()} == {d for d, c in named if d == c}
+    assert sorted(map(repr, kept.collect())) == plain_survivors(messy.collect())
     assert jaccard_join.near_duplicate_components(empty).count() == 0
 
 
@@ -178,6 +227,24 @@ def test_ids_that_stand_with_several_texts(spark):
     assert [x[0] for x in kept].count(6) == 1
 
 
+@pytest.mark.parametrize("hot", [2, 512])
+def test_no_copy_outlives_deduplication(spark, monkeypatch, hot):
+    """Rows repeated whole, equal and near texts of null ids, ids with several texts; few rows make a key hot."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    w = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*w[:-1], f"x{k}"])
+    rows = [(1, near(1), "a")] * 9 + [(None, near(1), "a")] * 3 + [(None, near(2), "b"), (None, near(3).upper(), "b"), (2, "own text", "c"), (2, "OWN text", "c"), (2, "other text", "d")]
+    rows += [(None, "none", "e"), (None, "NONE", "f"), (3, None, "g"), (None, "", "g"), (None, None, "h")]
+    df = spark.createDataFrame([(d, t, "en", s, 0) for d, t, s in rows], DOCS).withColumn("mark", F.lit(1)).withColumn("kept", F.lit(2)).repartition(3)
+    exact = exact_dedup.drop_exact_duplicates(df)
+    assert exact.columns == df.columns and len(exact.collect()) == 7
+    assert Counter((r.doc_id, (r.text or "").lower()) for r in exact.collect()) == Counter([(1, near(1)), (None, near(2)), (None, near(3)), (2, "own text"), (2, "other text"), (None, "none"), (3, "")])
+    left = jaccard_join.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    got = Counter((r.doc_id, (r.text or "").lower()) for r in left.collect())
+    assert got == Counter([(1, near(1)), (2, "own text"), (2, "other text"), (None, "none"), (3, ""), (None, "")])
+
+
 # ---- 2
 
 
@@ -432,7 +499,7 @@ def test_exact_duplicates(messy, empty):
     want = sorted(((d, keep[t], size[t], d == keep[t], hashlib.sha256(t.encode()).hexdigest()) for d, t in rows), key=repr)
     assert taken(exact_dedup.exact_duplicates(messy), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
     kept = exact_dedup.drop_exact_duplicates(messy)
-    assert kept.columns == messy.columns and sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(repr(d) for d, t in rows if d == keep[t])
+    assert kept.columns == messy.columns and sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(repr(d) for d in keep.values())
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
 

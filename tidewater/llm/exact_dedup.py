@@ -6,10 +6,13 @@ texts are fetched by the (unique) document id, so no group meets in one task, an
 reduced to the least and greatest text of each hash with map-side combination. If
 the two differ the hash collided, and just that hash is grouped by text instead.
 
+Groups of most rows are dealt into parts where rows are joined by the hash.
+
 Cases: a null text counts as empty, so null and empty texts are one group. A null
 doc_id loses against any other; a group of null ids only keeps them (keep_id null,
-kept true). Rows repeated whole share their id, so they stay or go together, and each
-counts in group_size; ``drop_repeats`` then leaves one row of each text, also of null ids. An empty table gives an empty result. Other columns are ignored.
+kept true). Rows repeated whole share their id, so the report keeps or drops them together, and each
+counts in group_size; ``drop_exact_duplicates`` leaves one row of each text, also of rows that
+repeat an id and of null ids. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stored
+from .common import hot_keys, join_salted, leave_one, row_mark, stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -45,8 +48,9 @@ def exact_duplicates(docs: DataFrame, keep: str = "max") -> DataFrame:
     marks = stored(rows.select("doc_id", fingerprint(F.col("norm")).alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")), "marks")
 
     groups = marks.groupBy("h").agg(F.count("*").alias("group_size"), pick("doc_id").alias("keep_id"))
-    several = groups.where("group_size > 1").select("h")
-    members = marks.join(several, "h", "left_semi").select("doc_id", "h").distinct()
+    several = stored(groups.where("group_size > 1"), "groups")
+    hot = hot_keys(several, ["h"], several.select("h", F.col("group_size").alias("rows")))
+    members = join_salted(marks.select("doc_id", "h"), several.select("h"), ["h"], hot).distinct()
 
     # Byte comparison. A null id can't be joined on, so such rows bring their hash along.
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("raw"))
@@ -62,8 +66,8 @@ def exact_duplicates(docs: DataFrame, keep: str = "max") -> DataFrame:
     )
     if not collided.isEmpty():
         groups, marks = _split(rows, marks, collided, pick)
-        return _report(marks.join(groups, ["h", "part"]))
-    return _report(marks.join(groups, "h"))
+        return _report(join_salted(marks, groups, ["h", "part"], hot_keys(groups, ["h", "part"], groups.withColumnRenamed("group_size", "rows"))))
+    return _report(join_salted(marks, groups, ["h"], hot))
 
 
 def _split(rows: DataFrame, marks: DataFrame, collided: DataFrame, pick) -> tuple[DataFrame, DataFrame]:
@@ -85,20 +89,9 @@ def _report(df: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_duplicates(docs, keep).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.unhex("text_sha256").alias("_gone_sha")).distinct()
-    sha = F.unhex(F.sha2(normalised(docs["text"]), 256))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (sha == gone["_gone_sha"]), "left_anti")
-
-
-def drop_repeats(docs: DataFrame) -> DataFrame:
-    """One row, of least hash, of those that share their id (or have none) and, but for the case of A-Z, their text."""
-    sha, row = free_name(docs, "_sha"), F.struct(*[docs[c] for c in docs.columns])
-    marked = docs.withColumn(sha, F.unhex(F.sha2(normalised(docs["text"]), 256)))
-    several = marked.groupBy("doc_id", sha).agg(F.count("*").alias("_rows")).where("_rows > 1").select(F.col("doc_id").alias("_id"), F.col(sha).alias("_text"))
-    several = stored(several, "repeats")
-    if several.isEmpty():
-        return docs
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(sha) == F.col("_text"))
-    once = marked.join(several, on, "left_semi").groupBy("doc_id", sha).agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
-    return marked.join(several, on, "left_anti").drop(sha).unionByName(once)
+    """One row of each text, with all columns: of the id that stays, and of rows that repeat it the one of least hash."""
+    kind = docs.schema["doc_id"].dataType
+    mark = row_mark(docs["doc_id"], kind, F.unhex(F.sha2(normalised(docs["text"]), 256)))
+    several = exact_duplicates(docs, keep).where("group_size > 1").select("kept", row_mark(F.col("doc_id"), kind, F.unhex("text_sha256")).alias("mark"))
+    several = stored(several, "several")
+    return leave_one(docs, mark, several.where(~F.col("kept")).select("mark"), several.select("mark"))

@@ -10,21 +10,31 @@ elements, the (|A| - o + k)-prefixes of both share k.
 Light sets (at most ``boundary`` shingles) enumerate all subsets of k = 2 elements of
 their prefix; heavy sets scan inverted lists of single elements (k = 1), on which light
 sets within the size ratio are entered too. The boundary is where the summed estimated
-cost of both, taken over all documents, is least.
+cost of both is least, taken over the real sets of all documents; ``most_light`` is the
+largest one that is tried.
 
 Links. Documents with one set are a class. Each class is first compared with the least
 class in each of its lists only (very frequent elements are dealt into salted parts that
 are linked through their own least classes), and the links found are contracted to
-components. Then all pairs that share a list and are in different components are compared,
-in blocks; pairs inside a component can't change it. A bitmap of each set bounds the symmetric difference from below, and
-what is left is checked on the texts. So a group of near copies costs about its size,
-and no link between components is missed.
+components. Pairs inside a component can't change it, so of the lists with one least class (their hub)
+only pairs of classes in different components are left: those outside the hub's largest
+component with each other and with it. They are dealt into blocks of bounded number and bytes, and each
+pair of blocks is a cell, where bitmaps bound the symmetric difference from below and the
+inverted lists of what is left are scanned, adding up exact overlaps. So a group of near copies
+costs about its size, and no link between components is missed.
+
+Lists, hubs, centres and labels that hold many rows are dealt into parts in every join.
+
+A class is told by 128 bits. Signatures carry 64 of them; two classes that share these are both
+taken wherever they are looked up, so that a link could be missed only if two of different sets were on one list.
 
 Cases: null, empty and white-space-only texts have the empty set, link with nothing and
 are a component each. A row with a null doc_id gets its n_shingles, a null component_id and no links.
 Repeated rows are one class; rows that repeat an id with other texts each take part with
-theirs, so links are between classes (a node is the representative's id with its class), and
-of a component's rows that repeat its id the one of the least hash of the text stays. An empty table gives an empty result. Other columns are ignored.
+theirs, so links are between classes (a node is the representative's id with its class).
+``drop_near_duplicates`` compares rows with null ids like all others and leaves one row of each
+component, of rows that repeat an id and text, and of equal texts without an id. An empty table
+gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import Scratch, hot_keys, join_salted, leave_one, row_mark, slices, stored
 from .components import components
 from .shingles import U64, numbers, scramble, shingle_set
 
@@ -45,16 +55,12 @@ WORDS = 5
 #: Counters of the frequency sketch, in blocks; its size is fixed whatever the corpus.
 SKETCH_BITS, BLOCKS = 20, 256
 BITMAP_LONGS = 16
-#: Sets above this size are heavy without looking at costs: their subsets outnumber any list.
-MOST_LIGHT = 200
-#: Members of a block of a hub's; two blocks are compared at a time.
-CELL, CELL_SHINGLES = 256, 1 << 18
-#: Elements of an incidence matrix that is held at a time.
-COLUMNS = 4096
+#: Members of a block of a hub's and the bytes of their sets; two blocks are compared at a time.
+CELL, CELL_BYTES = 512, 4 << 20
+#: Lists of a cell above this length are counted as a matrix product, of so many lists at a time.
+LONG_LIST, COLUMNS = 32, 4096
 #: Rows of one list that one task may have to sort before it is salted.
 PART = 4096
-#: Longer texts aren't read again for the costs; where such a text has a light set, its buckets are stored with the set.
-LONG = 24 * MOST_LIGHT
 LEVEL = 1.25
 
 
@@ -67,6 +73,18 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> U64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _packed(h: np.ndarray) -> bytes:
+    """The buckets of a set in three bytes each."""
+    return _bucket(h).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    """Hashes with these buckets."""
+    parts = np.zeros((len(x) // 3, 4), np.uint8)
+    parts[:, :3] = np.frombuffer(x, np.uint8).reshape(-1, 3)
+    return parts.view("<i4").ravel().astype(U64) << U64(64 - SKETCH_BITS)
+
+
 def _class_of(h: np.ndarray) -> tuple[int, int]:
     """128 bits of a set, in any order of its elements."""
     n = np.array([len(h)], U64)
@@ -81,8 +99,8 @@ def _bitmap(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view("<i8")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text, sha. A row for each document (doc_id, sha, n, c, cb, bits) and, for each task, its part of the sketch (block, counts)."""
+def _sets(docs: DataFrame, most_light: int) -> DataFrame:
+    """docs: doc_id, text. A row for each document (doc_id, n, c, cb, bits; the buckets of sets of 2 to most_light) and, for each task, its part of the sketch (block, counts)."""
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,19 +115,19 @@ def _sets(docs: DataFrame) -> DataFrame:
                 cb.append(y)
                 bits.append(_bitmap(h))
                 np.add.at(sketch, _bucket(h), 1)
-                buckets.append(_bucket(h).astype("<i4").tobytes() if text and len(text) > LONG and 2 <= len(h) <= MOST_LIGHT else None)
+                buckets.append(_packed(h) if 2 <= len(h) <= most_light else None)
             rows = len(n)
             ints = lambda x: pa.array(x, pa.int64())
             bitmaps = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * BITMAP_LONGS, pa.int32()), ints(np.concatenate(bits) if bits else []))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), ints(n), ints(c), ints(cb), bitmaps, pa.array(buckets, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], SET_COLUMNS)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ints(n), ints(c), ints(cb), bitmaps, pa.array(buckets, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], SET_COLUMNS)
         parts = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(BLOCKS, -1)]
         nulls = lambda kind: pa.nulls(BLOCKS, kind)
-        yield pa.RecordBatch.from_arrays([nulls(_arrow(id_type)), nulls(pa.binary()), nulls(pa.int64()), nulls(pa.int64()), nulls(pa.int64()), nulls(pa.list_(pa.int64())), nulls(pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], SET_COLUMNS)
+        yield pa.RecordBatch.from_arrays([nulls(_arrow(id_type)), nulls(pa.int64()), nulls(pa.int64()), nulls(pa.int64()), nulls(pa.list_(pa.int64())), nulls(pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], SET_COLUMNS)
 
-    return docs.select("doc_id", "text", "sha").mapInArrow(run, f"doc_id {id_type.simpleString()}, sha binary, n long, c long, cb long, bits array<long>, buckets binary, block int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, n long, c long, cb long, bits array<long>, buckets binary, block int, counts binary")
 
 
-SET_COLUMNS = ["doc_id", "sha", "n", "c", "cb", "bits", "buckets", "block", "counts"]
+SET_COLUMNS = ["doc_id", "n", "c", "cb", "bits", "buckets", "block", "counts"]
 
 
 def _arrow(kind) -> pa.DataType:
@@ -118,8 +136,8 @@ def _arrow(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def _levels(sets: DataFrame) -> np.ndarray:
-    """The summed sketch as levels on a logarithmic scale, a byte each."""
+def _levels(sets: DataFrame) -> tuple[np.ndarray, int]:
+    """The summed sketch as levels on a logarithmic scale, a byte each, and its total."""
 
     def add(key, batches):
         total = np.zeros((1 << SKETCH_BITS) // BLOCKS, np.int64)
@@ -176,49 +194,31 @@ class Signer:
 PAIR = numbers(5, 2) | U64(1)
 
 
-def _costs(docs: DataFrame, sets: DataFrame, signer) -> dict[int, tuple[float, float]]:
-    """For each size up to MOST_LIGHT, the summed cost of singles and of pairs over all documents: a row each, and the list that is scanned."""
-
-    def rows(cost: np.ndarray) -> pa.RecordBatch:
-        at = np.flatnonzero(cost.sum(1))
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(cost[at, 0]), pa.array(cost[at, 1])], ["n", "single", "pair"])
+def _costs(sets: DataFrame, signer, most_light: int) -> dict[int, tuple[float, float]]:
+    """For each size up to most_light, the summed cost of singles and of pairs over all sets of it: a row each, and the list that is scanned."""
 
-    def add(cost: np.ndarray, f: np.ndarray, n: int) -> None:
-        m = len(f) + 1
-        cost[n] += len(f) + f.sum(), m * (m - 1) / 2 * 2
-
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign, cost = signer.value, np.zeros((MOST_LIGHT + 1, 2))
-        for b in slices(batches):
-            for text in b.column("text").to_pylist():
-                if text and len(text) <= LONG:
-                    h = shingle_set(text, WORDS)
-                    if 2 <= len(h) <= MOST_LIGHT:
-                        add(cost, sign.singles(h)[2], len(h))
-        yield rows(cost)
-
-    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign, cost = signer.value, np.zeros((MOST_LIGHT + 1, 2))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign, cost = signer.value, np.zeros((most_light + 1, 2))
         for b in slices(batches):
             for x in b.column("buckets").to_pylist():
-                # the estimates depend on the buckets alone: any hashes with these give them
-                h = np.frombuffer(x, "<i4").astype(U64) << U64(64 - SKETCH_BITS)
-                add(cost, sign.singles(h)[2], len(h))
-        yield rows(cost)
-
-    kind = "n long, single double, pair double"
-    both = docs.select("text").mapInArrow(short, kind).unionByName(sets.where("buckets IS NOT NULL").select("buckets").mapInArrow(long, kind))
-    got = both.groupBy("n").agg(F.sum("single").alias("single"), F.sum("pair").alias("pair")).collect()
+                f = sign.singles(_unpacked(x))[2]  # the estimates depend on the buckets alone
+                m = len(f) + 1
+                cost[len(x) // 3] += len(f) + f.sum(), m * (m - 1) / 2 * 2
+        at = np.flatnonzero(cost.sum(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(cost[at, 0]), pa.array(cost[at, 1])], ["n", "single", "pair"])
+
+    each = sets.where("buckets IS NOT NULL").select("buckets").mapInArrow(run, "n long, single double, pair double")
+    got = each.groupBy("n").agg(F.sum("single").alias("single"), F.sum("pair").alias("pair")).collect()  # most_light rows
     return {r["n"]: (r["single"], r["pair"]) for r in got}
 
 
-def choose_boundary(costs: dict[int, tuple[float, float]]) -> int:
+def choose_boundary(costs: dict[int, tuple[float, float]], most_light: int = 200) -> int:
     """The boundary of least summed cost. Light sets above 0.8 of it are in the lists of single elements too."""
 
     def total(b: int) -> float:
         return sum((pair if n <= b else 0) + (single if 5 * n >= 4 * (b + 1) else 0) for n, (single, pair) in costs.items())
 
-    return min(range(MOST_LIGHT + 1), key=total)
+    return min(range(most_light + 1), key=total)
 
 
 def _signatures(docs: DataFrame, signer, boundary: int) -> DataFrame:
@@ -230,12 +230,12 @@ def _signatures(docs: DataFrame, signer, boundary: int) -> DataFrame:
             out = []
             for text in b.column("text").to_pylist():
                 h = shingle_set(text, WORDS)
-                c = _class_of(h)[0] if len(h) > 1 else None
-                if c is None or c in seen:
+                if len(h) < 2 or (whole := _class_of(h)) in seen:
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
-                seen.add(c)
+                seen.add(whole)
+                c = whole[0]
                 n = len(h)
                 kinds = [sign.pairs(h)] if n <= boundary else []
                 if 5 * n >= 4 * (boundary + 1):
@@ -256,43 +256,43 @@ def _possible(na, nb, ba, bb) -> Column:
     return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (9 * F.least(ba, bb) >= 4 * (na + nb))
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs: a, b (classes). The pairs of their representatives (u, v) that link, by bitmaps and then by the texts."""
+def _linked(pairs: DataFrame, classes: DataFrame, shingles: DataFrame, scratch: Scratch) -> DataFrame:
+    """pairs: a, b (classes; few b may be in most pairs). The pairs of their representatives (u, v) that link, by bitmaps and then by the sets."""
     side = lambda x: classes.select(F.col("c").alias(x), F.col("cb").alias(f"cb_{x}"), F.col("n").alias(f"n_{x}"), F.col("rep").alias(f"rep_{x}"), F.col("bits").alias(f"bits_{x}"))
     apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    left = pairs.join(side("a"), "a").join(side("b"), "b").where(9 * (F.col("n_a") + F.col("n_b") - apart) >= 8 * (F.col("n_a") + F.col("n_b")))
-    left = stored(left.select("a", "cb_a", "rep_a", "b", "cb_b", "rep_b"), "left")
-    text = lambda x: texts.select(F.col("c").alias(x), F.col("cb").alias(f"cb_{x}"), F.col("text").alias(f"text_{x}"))
-    both = left.join(text("a"), ["a", "cb_a"]).join(text("b"), ["b", "cb_b"])
+    pairs = scratch.stored(pairs, "pairs")
+    left = join_salted(pairs, side("b"), ["b"], hot_keys(pairs, ["b"])).join(side("a"), "a").where(9 * (F.col("n_a") + F.col("n_b") - apart) >= 8 * (F.col("n_a") + F.col("n_b")))
+    left = scratch.stored(left.select("a", "cb_a", "rep_a", "b", "cb_b", "rep_b"), "left")
+    of = lambda x: shingles.select(F.col("c").alias(x), F.col("cb").alias(f"cb_{x}"), F.col("h").alias(f"h_{x}"))
+    both = join_salted(left, of("b"), ["b", "cb_b"], hot_keys(left, ["b", "cb_b"])).join(of("a"), ["a", "cb_a"])
     id_type = classes.schema["rep"].dataType.simpleString()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in slices(batches, 256):
-            good, last, h = [], None, None
-            for i, (s, t) in enumerate(zip(x.column("text_a").to_pylist(), x.column("text_b").to_pylist(), strict=True)):
-                g = shingle_set(s, WORDS)
-                if t != last:
-                    last, h = t, shingle_set(t, WORDS)
+            good = []
+            for i, (s, t) in enumerate(zip(x.column("h_a"), x.column("h_b"), strict=True)):
+                g, h = (np.frombuffer(y.as_buffer(), U64) for y in (s, t))
                 if 9 * len(np.intersect1d(g, h, assume_unique=True)) >= 4 * (len(g) + len(h)):
                     good.append(i)
             at = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([x.column("rep_a").take(at), x.column("rep_b").take(at)], ["u", "v"])
 
-    return both.select("rep_a", "rep_b", "text_a", "text_b").mapInArrow(check, f"u {id_type}, v {id_type}")
+    return both.select("rep_a", "rep_b", "h_a", "h_b").mapInArrow(check, f"u {id_type}, v {id_type}")
 
 
-def near_duplicate_components(docs: DataFrame) -> DataFrame:
+def near_duplicate_components(docs: DataFrame, most_light: int = 200) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; a component is what links reach, named by its least doc_id."""
-    return _named(docs.select("doc_id", "text", F.lit(None).cast("binary").alias("sha"))).select("doc_id", "n_shingles", "component_id")
+    return _named(docs.select("doc_id", "text"), most_light)
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text, sha. doc_id, sha, n_shingles, component_id and the component's class (kc, kcb; null for empty sets) of every row."""
+def _named(docs: DataFrame, most_light: int) -> DataFrame:
+    """docs: doc_id, text."""
     spark: SparkSession = docs.sparkSession
-    sets = stored(_sets(docs), "sets")
-    members = sets.where("block IS NULL").select("doc_id", "sha", "n", "c", "cb")
+    scratch = Scratch(spark)
+    sets = stored(_sets(docs, most_light), "sets")
+    members = sets.where("block IS NULL").select("doc_id", "n", "c", "cb")
     signer = spark.sparkContext.broadcast(Signer(*_levels(sets)))  # a byte for each counter
-    boundary = choose_boundary(_costs(docs, sets, signer))
+    boundary = choose_boundary(_costs(sets, signer, most_light), most_light)
 
     group = Window.partitionBy("key", "salt")
     first = F.min(F.struct("c", "n", "bound")).over(group)
@@ -302,7 +302,7 @@ def _named(docs: DataFrame) -> DataFrame:
         .where("first.c <> last OR salt > 0")
         .select("key", "salt", "c", "n", "bound", F.col("first.c").alias("fc"), F.col("first.n").alias("fn"), F.col("first.bound").alias("fb"))
     )
-    shared = stored(shared, "shared")
+    shared = scratch.stored(shared, "shared")
     signed = shared.select("c").distinct()
     classes = (
         sets.where("block IS NULL AND doc_id IS NOT NULL AND n > 1")
@@ -311,75 +311,85 @@ def _named(docs: DataFrame) -> DataFrame:
         .agg(F.min("doc_id").alias("id"), F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"))
         .select("c", "cb", F.struct("id", "c", "cb").alias("rep"), "n", "bits")
     )
-    classes = stored(classes, "classes")
-    texts = stored(_texts(docs, classes), "texts")
+    classes = scratch.stored(classes, "classes")
+    shingles = scratch.stored(_shingles(docs, classes), "shingles")
 
     least = Window.partitionBy("key")
     over_parts = shared.where("salt > 0").select("key", F.col("fc").alias("c"), F.col("fn").alias("n"), F.col("fb").alias("bound")).distinct()
     over_parts = over_parts.withColumn("f", F.min(F.struct("c", "n", "bound")).over(least)).select("c", "n", "bound", F.col("f.c").alias("fc"), F.col("f.n").alias("fn"), F.col("f.bound").alias("fb"))
     stars = shared.select("c", "n", "bound", "fc", "fn", "fb").unionByName(over_parts)
     stars = stars.where((F.col("c") != F.col("fc")) & _possible(F.col("n"), F.col("fn"), F.col("bound"), F.col("fb"))).select(F.col("c").alias("a"), F.col("fc").alias("b")).distinct()
-    links = stored(_linked(stars, classes, texts), "links")
+    links = scratch.stored(_linked(stars, classes, shingles, scratch), "links")
     labels = components(links)
 
-    more = stored(_across(shared, classes, labels, texts), "more")
+    more = scratch.stored(_across(shared, classes, labels, shingles, scratch), "more")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    named = classes.join(labels, classes["rep"] == labels["node"], "left").select("c", "cb", F.coalesce("label", "rep").alias("k"))
-    named = named.select("c", "cb", F.col("k.id").alias("component_id"), F.col("k.c").alias("kc"), F.col("k.cb").alias("kcb"))
+    named = classes.join(labels, classes["rep"] == labels["node"], "left").select("c", "cb", F.coalesce("label", "rep")["id"].alias("component_id"))
     # classes that share no list: all their documents have one set
-    alone = members.join(signed, "c", "left_anti").where("n > 0 AND doc_id IS NOT NULL").groupBy("c", "cb").agg(F.min("doc_id").alias("component_id")).select("*", F.col("c").alias("kc"), F.col("cb").alias("kcb"))
+    alone = members.join(signed, "c", "left_anti").where("n > 0 AND doc_id IS NOT NULL").groupBy("c", "cb").agg(F.min("doc_id").alias("component_id"))
     named = stored(named.unionByName(alone), "named")
-    found = members.where("n > 0").join(named, ["c", "cb"], "left").select("doc_id", "sha", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), "kc", "kcb")
-    nothing = F.lit(None).cast("long")
-    return found.unionByName(members.where("n = 0").select("doc_id", "sha", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), nothing.alias("kc"), nothing.alias("kcb")))
+    scratch.clear()
+    some = members.where("n > 0 AND doc_id IS NOT NULL")
+    found = join_salted(some, named, ["c", "cb"], hot_keys(some, ["c", "cb"])).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return found.unionByName(members.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id")))
 
 
-def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """c, cb, text of each class, fetched by its representative's id; where that id is repeated, the text must give the class."""
-    wanted = classes.select(F.col("rep.id").alias("rep"), F.col("c"), F.col("cb"))
-    rows = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("text", "c", "cb")
+def _shingles(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """c, cb, h (the set's bytes) of each class, from its representative's text; where that id is repeated, the text must give the class."""
+    wanted = classes.select(F.col("rep.id").alias("_rep"), "c", "cb")
+    rows = docs.join(wanted, docs["doc_id"] == wanted["_rep"]).select("text", "c", "cb")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            keep = [_class_of(shingle_set(t, WORDS)) == (c, d) for t, c, d in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
-            yield b.filter(pa.array(keep, pa.bool_()))
+        for b in slices(batches, 256):
+            sets = [shingle_set(t, WORDS) for t in b.column("text").to_pylist()]
+            keep = [_class_of(h) == (c, d) for h, c, d in zip(sets, b.column("c").to_pylist(), b.column("cb").to_pylist(), strict=True)]
+            found = pa.RecordBatch.from_arrays([b.column("c"), b.column("cb"), pa.array([h.tobytes() for h in sets], pa.binary())], ["c", "cb", "h"])
+            yield found.filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(own, "text string, c long, cb long").dropDuplicates(["c", "cb"]) if _repeats(wanted, docs) else rows
+    found = rows.mapInArrow(own, "c long, cb long, h binary")
+    return found.dropDuplicates(["c", "cb"]) if _repeats(docs) else found
 
 
-def _repeats(wanted: DataFrame, docs: DataFrame) -> bool:
-    """Whether any document id stands in more than one row, or for more than one class."""
+def _repeats(docs: DataFrame) -> bool:
+    """Whether any document id stands in more than one row."""
     return not docs.select("doc_id").where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
-def _across(shared: DataFrame, classes: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+def _across(shared: DataFrame, classes: DataFrame, labels: DataFrame, shingles: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (u, v) between components, enough to connect all that are linked.
 
     A list's hub is its least class. Classes that share a list share its hub, so it is enough to
     compare the members of each hub, once for all its lists; lists of a hub and one more class
-    were compared before. Members are dealt into blocks of bounded number and size, and each
-    pair of blocks is a cell. A cell first drops members that can link with no other one by
-    label, size and bitmap; the texts of what is left are then compared exactly.
+    were compared before. Members outside the hub's largest component (blocks 0 to others - 1) meet
+    each other and those inside (the blocks from others on), which don't meet among themselves. A cell first drops
+    members that can link with no other one by label, size and bitmap.
     """
-    parts = shared.where("salt > 0").groupBy("key").agg(F.min("fc").alias("over"))
-    rows = shared.select("key", "c", "fc").join(parts, "key", "left").select("key", "c", F.coalesce("over", "fc").alias("hub"))
+    dealt = shared.where("salt > 0").select("key", "c", "fc")
+    parts = dealt.groupBy("key").agg(F.min("fc").alias("hub"))
+    rows = shared.where("salt = 0").select("key", "c", F.col("fc").alias("hub")).unionByName(join_salted(dealt, parts, ["key"], hot_keys(dealt, ["key"])).select("key", "c", "hub"))
     of = classes.join(labels, classes["rep"] == labels["node"], "left").select("c", "cb", "rep", F.coalesce("label", "rep").alias("label"), "n", "bits")
-    of = of.select("c", "cb", "rep", F.col("label.c").alias("lc"), F.col("label.cb").alias("lcb"), "n", "bits")
-    several = "(x <> y OR xb <> yb)"
+    of = scratch.stored(of.select("c", "cb", "rep", F.col("label.c").alias("lc"), F.col("label.cb").alias("lcb"), "n", "bits"), "of")
+    rows = scratch.stored(rows.join(of.select("c", "lc", "lcb"), "c"), "rows")
     edges = [F.min("lc").alias("x"), F.max("lc").alias("y"), F.min("lcb").alias("xb"), F.max("lcb").alias("yb")]
-    rows = rows.join(of.select("c", "lc", "lcb"), "c")
     lists = rows.groupBy("key").agg(*edges, F.min(F.when(F.col("c") != F.col("hub"), F.col("c"))).alias("p"), F.max("c").alias("q"))
-    mixed = lists.where(f"{several} AND p <> q").select("key")
-    members = rows.join(mixed, "key", "left_semi").select("hub", "c").distinct()
-    members = stored(members.join(of.select("c", "lc", "lcb", "n", "bits"), "c"), "members")
-    sizes = members.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / CELL, F.sum("n") / CELL_SHINGLES)).cast("int").alias("blocks"), *edges).where(several)
-    dealt = members.join(sizes.select("hub", "blocks"), "hub").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "n", "lc", "lcb", "bits")
-    may = stored(dealt.groupBy("hub", "i", "j").applyInArrow(_possible_members, "hub long, i int, j int, c long"), "possible")
-    cells = may.join(of.select("c", "cb", "rep", "lc", "lcb"), "c").join(texts, ["c", "cb"]).select("hub", "i", "j", "rep", "lc", "lcb", "text")
+    mixed = lists.where("(x <> y OR xb <> yb) AND p <> q").select("key")
+    members = join_salted(rows, mixed, ["key"], hot_keys(rows, ["key"])).select("hub", "c").distinct()
+    members = scratch.stored(members.join(of.select("c", "cb", "lc", "lcb", "n", "bits"), "c"), "members")
+    by_label = members.groupBy("hub", "lc", "lcb").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    most = F.max(F.struct("k", "n", "lc", "lcb")).alias("most")
+    hubs = by_label.groupBy("hub").agg(F.sum("k").alias("rows"), F.sum("n").alias("n"), most).where("rows > most.k")
+    blocks = lambda k, n: F.ceil(F.greatest(k / F.lit(CELL), 8 * n / F.lit(CELL_BYTES))).cast("int")
+    hubs = hubs.select("hub", "rows", "most.lc", "most.lcb", blocks(F.col("rows") - F.col("most.k"), F.col("n") - F.col("most.n")).alias("others"), blocks(F.col("most.k"), F.col("most.n")).alias("inside"))
+    hubs = scratch.stored(hubs.withColumnsRenamed({"lc": "mc", "lcb": "mcb"}), "hubs")
+    met = join_salted(members, hubs.drop("rows"), ["hub"], hot_keys(members, ["hub"], hubs))
+    hash_, within = F.xxhash64("c", "cb"), (F.col("lc") == F.col("mc")) & (F.col("lcb") == F.col("mcb"))
+    met = met.withColumn("block", F.when(within, F.col("others") + F.pmod(hash_, "inside")).otherwise(F.pmod(hash_, "others")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(within, F.col("others")).otherwise(F.col("others") + F.col("inside")) - 1)))
+    met = met.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "cb", "n", "lc", "lcb", "bits")
+    may = scratch.stored(met.groupBy("hub", "i", "j").applyInArrow(_possible_members, "hub long, i int, j int, c long, cb long"), "possible")
+    cells = may.join(of.select("c", "cb", "rep", "lc", "lcb"), ["c", "cb"]).join(shingles, ["c", "cb"]).select("hub", "i", "j", "rep", "lc", "lcb", "h")
     kind = classes.schema["rep"].dataType.simpleString()
     return cells.groupBy("hub", "i", "j").applyInArrow(_cell_links, f"u {kind}, v {kind}").distinct()
 
@@ -406,28 +416,37 @@ def _possible_members(cell: pa.Table) -> pa.Table:
         y = y[9 * (both - np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)) >= 8 * both]
         good[y] = True
         good[x] |= len(y) > 0
-    return cell.select(["hub", "i", "j", "c"]).filter(pa.array(good))
+    return cell.select(["hub", "i", "j", "c", "cb"]).filter(pa.array(good))
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The overlap of each two sets, by a scan of their inverted lists: short lists add one to each of their pairs, long ones are multiplied as matrices."""
+    k, sizes = len(sets), np.array([len(h) for h in sets])
+    _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(k), sizes)[np.argsort(element, kind="stable")]
+    start = np.cumsum(count) - count
+    total = np.zeros((k, k), np.float32)
+    for length in np.unique(count[(count > 1) & (count <= LONG_LIST)]):
+        lists = owner[start[count == length][:, None] + np.arange(length)]  # owners rise along a list
+        for x, y in zip(*np.triu_indices(length, 1), strict=True):
+            np.add.at(total, (lists[:, x], lists[:, y]), 1)
+    long = np.flatnonzero(count > LONG_LIST)
+    for i in range(0, len(long), COLUMNS):
+        at = long[i : i + COLUMNS]
+        has = np.zeros((k, len(at)), np.float32)
+        column = np.repeat(np.arange(len(at)), count[at])
+        place = np.repeat(start[at], count[at]) + np.arange(len(column)) - np.repeat(np.cumsum(count[at]) - count[at], count[at])
+        has[owner[place], column] = 1
+        total += np.triu(has @ has.T, 1)
+    return total
 
 
 def _cell_links(cell: pa.Table) -> pa.Table:
-    """Exact overlaps of all pairs of a cell; of the links, as many as connect what they connect."""
-    sets = [shingle_set(t, WORDS) for t in cell.column("text").to_pylist()]
+    """Of the links of a cell, as many as connect what they connect."""
+    sets = [np.frombuffer(h.as_buffer(), U64) for h in cell.column("h")]
     label = _labels(cell)
     sizes = np.array([len(h) for h in sets])
-    _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    keep = count[element] > 1  # an element of one set is in no overlap
-    place = (np.cumsum(count > 1) - 1)[element[keep]]
-    owner = owner[keep]
-    order = np.argsort(place, kind="stable")
-    place, owner = place[order], owner[order]
-    overlap = np.zeros((len(sets), len(sets)), np.float32)
-    for start in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
-        a, b = np.searchsorted(place, [start, start + COLUMNS])
-        has = np.zeros((len(sets), COLUMNS), np.float32)
-        has[owner[a:b], place[a:b] - start] = 1
-        overlap += has @ has.T
-    x, y = np.nonzero(np.triu((9 * overlap >= 4 * (sizes[:, None] + sizes[None, :])) & (label[:, None] != label[None, :])))
+    x, y = np.nonzero((9 * overlaps(sets) >= 4 * (sizes[:, None] + sizes[None, :])) & (label[:, None] != label[None, :]))
     root = list(range(int(label.max()) + 1))
 
     def find(k: int) -> int:
@@ -445,14 +464,11 @@ def _cell_links(cell: pa.Table) -> pa.Table:
     return pa.table({"u": rep.take(pa.array(x[links], pa.int64())), "v": rep.take(pa.array(y[links], pa.int64()))})
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component with all columns, and those that repeat it whole; rows with a null id or an empty set stay.
+def drop_near_duplicates(docs: DataFrame, most_light: int = 200) -> DataFrame:
+    """One row of each component with all columns, that of the least id (a null one last) and then the least hash of the text.
 
-    It is the row of the least id and, where that id stands with several texts of the component, the least hash of the text.
+    Rows with the same id and text, or without an id and with the same text, are one document: of these the row of least hash stays.
     """
-    sha = F.unhex(F.sha2(docs["text"], 256))
-    found = stored(_named(docs.select("doc_id", "text", sha.alias("sha"))), "found")
-    several = found.where("component_id = doc_id AND kc IS NOT NULL").groupBy("kc", "kcb").agg(F.min("sha").alias("least"), F.max("sha").alias("greatest")).where("least <> greatest")
-    other = found.where("component_id = doc_id").join(several, ["kc", "kcb"]).where("sha <> least")
-    gone = found.where("component_id <> doc_id").select("doc_id", "sha").unionByName(other.select("doc_id", "sha")).select(F.col("doc_id").alias("_gone_id"), F.col("sha").alias("_gone_sha")).distinct()
-    return docs.join(gone, (docs["doc_id"] == gone["_gone_id"]) & (sha == gone["_gone_sha"]), "left_anti")
+    mark = row_mark(docs["doc_id"], docs.schema["doc_id"].dataType, F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))))
+    found = stored(_named(docs.select(mark.alias("doc_id"), "text"), most_light).select(F.col("doc_id").alias("mark"), "component_id"), "found")
+    return leave_one(docs, mark, found.where("component_id <> mark").select("mark"), found)
