@@ -100,16 +100,17 @@ def _bitmap(h: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, most_light: int) -> DataFrame:
-    """docs: doc_id, text. A row for each document (doc_id, n, c, cb, bits; the buckets of sets of 2 to most_light) and, for each task, its part of the sketch (block, counts)."""
+    """docs: doc_id, text. A row for each document (doc_id, n, the most bytes of its text, c, cb, bits; the buckets of sets of 2 to most_light) and, for each task, its part of the sketch (block, counts)."""
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in slices(batches):
-            n, c, cb, bits, buckets = [], [], [], [], []
+            n, size, c, cb, bits, buckets = [], [], [], [], [], []
             for text in b.column("text").to_pylist():
                 h = shingle_set(text, WORDS)
                 n.append(len(h))
+                size.append(4 * len(text or ""))
                 x, y = _class_of(h)
                 c.append(x)
                 cb.append(y)
@@ -119,15 +120,15 @@ def _sets(docs: DataFrame, most_light: int) -> DataFrame:
             rows = len(n)
             ints = lambda x: pa.array(x, pa.int64())
             bitmaps = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * BITMAP_LONGS, pa.int32()), ints(np.concatenate(bits) if bits else []))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ints(n), ints(c), ints(cb), bitmaps, pa.array(buckets, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], SET_COLUMNS)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ints(n), ints(size), ints(c), ints(cb), bitmaps, pa.array(buckets, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], SET_COLUMNS)
         parts = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(BLOCKS, -1)]
         nulls = lambda kind: pa.nulls(BLOCKS, kind)
-        yield pa.RecordBatch.from_arrays([nulls(_arrow(id_type)), nulls(pa.int64()), nulls(pa.int64()), nulls(pa.int64()), nulls(pa.list_(pa.int64())), nulls(pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], SET_COLUMNS)
+        yield pa.RecordBatch.from_arrays([nulls(_arrow(id_type)), nulls(pa.int64()), nulls(pa.int64()), nulls(pa.int64()), nulls(pa.int64()), nulls(pa.list_(pa.int64())), nulls(pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], SET_COLUMNS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, n long, c long, cb long, bits array<long>, buckets binary, block int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, n long, size long, c long, cb long, bits array<long>, buckets binary, block int, counts binary")
 
 
-SET_COLUMNS = ["doc_id", "n", "c", "cb", "bits", "buckets", "block", "counts"]
+SET_COLUMNS = ["doc_id", "n", "size", "c", "cb", "bits", "buckets", "block", "counts"]
 
 
 def _arrow(kind) -> pa.DataType:
@@ -256,28 +257,33 @@ def _possible(na, nb, ba, bb) -> Column:
     return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (9 * F.least(ba, bb) >= 4 * (na + nb))
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, shingles: DataFrame, scratch: Scratch) -> DataFrame:
-    """pairs: a, b (classes; few b may be in most pairs). The pairs of their representatives (u, v) that link, by bitmaps and then by the sets."""
+def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs: a, b (classes; few b may be in most pairs). The pairs of their representatives (u, v) that link, by bitmaps and then by the texts, stored."""
+    scratch = Scratch(pairs.sparkSession)
     side = lambda x: classes.select(F.col("c").alias(x), F.col("cb").alias(f"cb_{x}"), F.col("n").alias(f"n_{x}"), F.col("rep").alias(f"rep_{x}"), F.col("bits").alias(f"bits_{x}"))
     apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     pairs = scratch.stored(pairs, "pairs")
     left = join_salted(pairs, side("b"), ["b"], hot_keys(pairs, ["b"])).join(side("a"), "a").where(9 * (F.col("n_a") + F.col("n_b") - apart) >= 8 * (F.col("n_a") + F.col("n_b")))
     left = scratch.stored(left.select("a", "cb_a", "rep_a", "b", "cb_b", "rep_b"), "left")
-    of = lambda x: shingles.select(F.col("c").alias(x), F.col("cb").alias(f"cb_{x}"), F.col("h").alias(f"h_{x}"))
-    both = join_salted(left, of("b"), ["b", "cb_b"], hot_keys(left, ["b", "cb_b"])).join(of("a"), ["a", "cb_a"])
+    text = lambda x: texts.select(F.col("c").alias(x), F.col("cb").alias(f"cb_{x}"), F.col("text").alias(f"text_{x}"))
+    both = join_salted(left, text("b"), ["b", "cb_b"], hot_keys(left, ["b", "cb_b"])).join(text("a"), ["a", "cb_a"])
     id_type = classes.schema["rep"].dataType.simpleString()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in slices(batches, 256):
-            good = []
-            for i, (s, t) in enumerate(zip(x.column("h_a"), x.column("h_b"), strict=True)):
-                g, h = (np.frombuffer(y.as_buffer(), U64) for y in (s, t))
+            good, last, h = [], None, None
+            for i, (s, t) in enumerate(zip(x.column("text_a").to_pylist(), x.column("text_b").to_pylist(), strict=True)):
+                g = shingle_set(s, WORDS)
+                if t != last:
+                    last, h = t, shingle_set(t, WORDS)
                 if 9 * len(np.intersect1d(g, h, assume_unique=True)) >= 4 * (len(g) + len(h)):
                     good.append(i)
             at = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([x.column("rep_a").take(at), x.column("rep_b").take(at)], ["u", "v"])
 
-    return both.select("rep_a", "rep_b", "h_a", "h_b").mapInArrow(check, f"u {id_type}, v {id_type}")
+    links = stored(both.select("rep_a", "rep_b", "text_a", "text_b").mapInArrow(check, f"u {id_type}, v {id_type}"), "links")
+    scratch.clear()
+    return links
 
 
 def near_duplicate_components(docs: DataFrame, most_light: int = 200) -> DataFrame:
@@ -302,27 +308,30 @@ def _named(docs: DataFrame, most_light: int) -> DataFrame:
         .where("first.c <> last OR salt > 0")
         .select("key", "salt", "c", "n", "bound", F.col("first.c").alias("fc"), F.col("first.n").alias("fn"), F.col("first.bound").alias("fb"))
     )
-    shared = scratch.stored(shared, "shared")
-    signed = shared.select("c").distinct()
+    lists = Scratch(spark)
+    shared = lists.stored(shared, "shared")
+    signed = scratch.stored(shared.select("c").distinct(), "signed")
     classes = (
         sets.where("block IS NULL AND doc_id IS NOT NULL AND n > 1")
         .join(signed, "c", "left_semi")
         .groupBy("c", "cb")
-        .agg(F.min("doc_id").alias("id"), F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"))
-        .select("c", "cb", F.struct("id", "c", "cb").alias("rep"), "n", "bits")
+        .agg(F.min("doc_id").alias("id"), F.first("n").cast("int").alias("n"), F.max("size").alias("size"), F.first("bits").alias("bits"))
+        .select("c", "cb", F.struct("id", "c", "cb").alias("rep"), "n", "size", "bits")
     )
     classes = scratch.stored(classes, "classes")
-    shingles = scratch.stored(_shingles(docs, classes), "shingles")
+    texts = scratch.stored(_texts(docs, classes), "texts")
 
     least = Window.partitionBy("key")
     over_parts = shared.where("salt > 0").select("key", F.col("fc").alias("c"), F.col("fn").alias("n"), F.col("fb").alias("bound")).distinct()
     over_parts = over_parts.withColumn("f", F.min(F.struct("c", "n", "bound")).over(least)).select("c", "n", "bound", F.col("f.c").alias("fc"), F.col("f.n").alias("fn"), F.col("f.bound").alias("fb"))
     stars = shared.select("c", "n", "bound", "fc", "fn", "fb").unionByName(over_parts)
     stars = stars.where((F.col("c") != F.col("fc")) & _possible(F.col("n"), F.col("fn"), F.col("bound"), F.col("fb"))).select(F.col("c").alias("a"), F.col("fc").alias("b")).distinct()
-    links = scratch.stored(_linked(stars, classes, shingles, scratch), "links")
+    links = _linked(stars, classes, texts)
     labels = components(links)
 
-    more = scratch.stored(_across(shared, classes, labels, shingles, scratch), "more")
+    held = _members(shared, classes, labels, scratch)
+    lists.clear()
+    more = scratch.stored(_across(held, classes, texts, scratch), "more")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
@@ -336,20 +345,17 @@ def _named(docs: DataFrame, most_light: int) -> DataFrame:
     return found.unionByName(members.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id")))
 
 
-def _shingles(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """c, cb, h (the set's bytes) of each class, from its representative's text; where that id is repeated, the text must give the class."""
+def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """c, cb, text of each class, fetched by its representative's id; where that id is repeated, the text must give the class."""
     wanted = classes.select(F.col("rep.id").alias("_rep"), "c", "cb")
     rows = docs.join(wanted, docs["doc_id"] == wanted["_rep"]).select("text", "c", "cb")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 256):
-            sets = [shingle_set(t, WORDS) for t in b.column("text").to_pylist()]
-            keep = [_class_of(h) == (c, d) for h, c, d in zip(sets, b.column("c").to_pylist(), b.column("cb").to_pylist(), strict=True)]
-            found = pa.RecordBatch.from_arrays([b.column("c"), b.column("cb"), pa.array([h.tobytes() for h in sets], pa.binary())], ["c", "cb", "h"])
-            yield found.filter(pa.array(keep, pa.bool_()))
+        for b in slices(batches):
+            keep = [_class_of(shingle_set(t, WORDS)) == (c, d) for t, c, d in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
-    found = rows.mapInArrow(own, "c long, cb long, h binary")
-    return found.dropDuplicates(["c", "cb"]) if _repeats(docs) else found
+    return rows.mapInArrow(own, "text string, c long, cb long").dropDuplicates(["c", "cb"]) if _repeats(docs) else rows
 
 
 def _repeats(docs: DataFrame) -> bool:
@@ -357,30 +363,36 @@ def _repeats(docs: DataFrame) -> bool:
     return not docs.select("doc_id").where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
-def _across(shared: DataFrame, classes: DataFrame, labels: DataFrame, shingles: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (u, v) between components, enough to connect all that are linked.
+def _members(shared: DataFrame, classes: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """hub and class (c, cb, rep, label lc and lcb, n, size, bits) of what lists of several labels hold.
 
     A list's hub is its least class. Classes that share a list share its hub, so it is enough to
     compare the members of each hub, once for all its lists; lists of a hub and one more class
-    were compared before. Members outside the hub's largest component (blocks 0 to others - 1) meet
-    each other and those inside (the blocks from others on), which don't meet among themselves. A cell first drops
-    members that can link with no other one by label, size and bitmap.
+    were compared before.
     """
     dealt = shared.where("salt > 0").select("key", "c", "fc")
     parts = dealt.groupBy("key").agg(F.min("fc").alias("hub"))
     rows = shared.where("salt = 0").select("key", "c", F.col("fc").alias("hub")).unionByName(join_salted(dealt, parts, ["key"], hot_keys(dealt, ["key"])).select("key", "c", "hub"))
-    of = classes.join(labels, classes["rep"] == labels["node"], "left").select("c", "cb", "rep", F.coalesce("label", "rep").alias("label"), "n", "bits")
-    of = scratch.stored(of.select("c", "cb", "rep", F.col("label.c").alias("lc"), F.col("label.cb").alias("lcb"), "n", "bits"), "of")
-    rows = scratch.stored(rows.join(of.select("c", "lc", "lcb"), "c"), "rows")
+    of = classes.join(labels, classes["rep"] == labels["node"], "left").select("c", "cb", "rep", F.coalesce("label", "rep").alias("label"), "n", "size", "bits")
+    of = scratch.stored(of.select("c", "cb", "rep", F.col("label.c").alias("lc"), F.col("label.cb").alias("lcb"), "n", "size", "bits"), "of")
     edges = [F.min("lc").alias("x"), F.max("lc").alias("y"), F.min("lcb").alias("xb"), F.max("lcb").alias("yb")]
-    lists = rows.groupBy("key").agg(*edges, F.min(F.when(F.col("c") != F.col("hub"), F.col("c"))).alias("p"), F.max("c").alias("q"))
-    mixed = lists.where("(x <> y OR xb <> yb) AND p <> q").select("key")
-    members = join_salted(rows, mixed, ["key"], hot_keys(rows, ["key"])).select("hub", "c").distinct()
-    members = scratch.stored(members.join(of.select("c", "cb", "lc", "lcb", "n", "bits"), "c"), "members")
-    by_label = members.groupBy("hub", "lc", "lcb").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    lists = rows.join(of.select("c", "lc", "lcb"), "c").groupBy("key").agg(*edges, F.min(F.when(F.col("c") != F.col("hub"), F.col("c"))).alias("p"), F.max("c").alias("q"))
+    mixed = scratch.stored(lists.where("(x <> y OR xb <> yb) AND p <> q").select("key"), "mixed")
+    members = join_salted(rows, mixed, ["key"], hot_keys(shared, ["key"])).select("hub", "c").distinct()
+    return scratch.stored(members.join(of, "c"), "members")
+
+
+def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (u, v) between components, enough to connect all that are linked.
+
+    Members outside the hub's largest component (blocks 0 to others - 1) meet each other and those inside
+    (the blocks from others on), which don't meet among themselves. A cell first drops members
+    that can link with no other one by label, size and bitmap.
+    """
+    by_label = members.groupBy("hub", "lc", "lcb").agg(F.count("*").alias("k"), F.sum(F.greatest("size", 8 * F.col("n"))).alias("n"))
     most = F.max(F.struct("k", "n", "lc", "lcb")).alias("most")
     hubs = by_label.groupBy("hub").agg(F.sum("k").alias("rows"), F.sum("n").alias("n"), most).where("rows > most.k")
-    blocks = lambda k, n: F.ceil(F.greatest(k / F.lit(CELL), 8 * n / F.lit(CELL_BYTES))).cast("int")
+    blocks = lambda k, n: F.ceil(F.greatest(k / F.lit(CELL), n / F.lit(CELL_BYTES))).cast("int")
     hubs = hubs.select("hub", "rows", "most.lc", "most.lcb", blocks(F.col("rows") - F.col("most.k"), F.col("n") - F.col("most.n")).alias("others"), blocks(F.col("most.k"), F.col("most.n")).alias("inside"))
     hubs = scratch.stored(hubs.withColumnsRenamed({"lc": "mc", "lcb": "mcb"}), "hubs")
     met = join_salted(members, hubs.drop("rows"), ["hub"], hot_keys(members, ["hub"], hubs))
@@ -389,7 +401,8 @@ def _across(shared: DataFrame, classes: DataFrame, labels: DataFrame, shingles:
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(within, F.col("others")).otherwise(F.col("others") + F.col("inside")) - 1)))
     met = met.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "cb", "n", "lc", "lcb", "bits")
     may = scratch.stored(met.groupBy("hub", "i", "j").applyInArrow(_possible_members, "hub long, i int, j int, c long, cb long"), "possible")
-    cells = may.join(of.select("c", "cb", "rep", "lc", "lcb"), ["c", "cb"]).join(shingles, ["c", "cb"]).select("hub", "i", "j", "rep", "lc", "lcb", "h")
+    of = members.select("c", "cb", "rep", "lc", "lcb").dropDuplicates(["c", "cb"])
+    cells = may.join(of, ["c", "cb"]).join(texts, ["c", "cb"]).select("hub", "i", "j", "rep", "lc", "lcb", "text")
     kind = classes.schema["rep"].dataType.simpleString()
     return cells.groupBy("hub", "i", "j").applyInArrow(_cell_links, f"u {kind}, v {kind}").distinct()
 
@@ -409,13 +422,14 @@ def _possible_members(cell: pa.Table) -> pa.Table:
     left = np.flatnonzero(block == i)
     right = left if i == j else np.flatnonzero(block == j)
     good = np.zeros(len(n), bool)
-    for x in left:
-        y = right[label[right] != label[x]]
-        y = y[5 * np.minimum(n[y], n[x]) >= 4 * np.maximum(n[y], n[x])]
-        both = n[y].astype(np.int64) + n[x]
-        y = y[9 * (both - np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)) >= 8 * both]
-        good[y] = True
-        good[x] |= len(y) > 0
+    for at in range(0, len(left), 16):
+        x = left[at : at + 16]
+        both = n[x, None].astype(np.int64) + n[None, right]
+        apart = np.bitwise_count(bits[x, None, :] ^ bits[None, right, :]).sum(2, dtype=np.int64)
+        may = (9 * (both - apart) >= 8 * both) & (label[x, None] != label[None, right])
+        may &= 5 * np.minimum(n[x, None], n[None, right]) >= 4 * np.maximum(n[x, None], n[None, right])
+        good[x] |= may.any(1)
+        good[right] |= may.any(0)
     return cell.select(["hub", "i", "j", "c", "cb"]).filter(pa.array(good))
 
 
@@ -443,7 +457,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 def _cell_links(cell: pa.Table) -> pa.Table:
     """Of the links of a cell, as many as connect what they connect."""
-    sets = [np.frombuffer(h.as_buffer(), U64) for h in cell.column("h")]
+    sets = [shingle_set(t, WORDS) for t in cell.column("text").to_pylist()]
     label = _labels(cell)
     sizes = np.array([len(h) for h in sets])
     x, y = np.nonzero((9 * overlaps(sets) >= 4 * (sizes[:, None] + sizes[None, :])) & (label[:, None] != label[None, :]))
