@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -349,6 +350,7 @@ def test_token_counts(messy, empty):
 
 def test_chats(spark):
     rows = [(1, 0, "user", "a <b> \\l"), (1, 1, "assistant", None), (1, 2, "assistant", "</turn>\n<turn x>"), (1, 2, "assistant", "b"), (None, 0, "assistant", "q"), (2, None, None, "x"), (2, 5, "r>o<le\\", "é中"), (2, 5, "r>o<le\\", "é中"), (3, 0, "assistant", "")]
+    rows += [(4, 1, r, t) for r in ("user", "assistant", "<a", "A") for t in ("<x", "A", ">", "\\", "\\l", "\U0001F600" * 2000, "")]  # ties
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash")).withColumn("ts", F.lit(1))
     out = chat.format_chats(chat.with_example(df))
     got = {r.conv_id: r for r in chat.chat_report(out).collect()}
@@ -368,6 +370,20 @@ def test_chats(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_long_conversations_take_time_in_proportion(spark):
+    def took(n):
+        df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.format_string("%d <text> é", F.col("id")).alias("text"))
+        began = time.time()
+        r = chat.chat_report(chat.format_chats(df)).first()
+        texts = [(("assistant", "user")[i % 3 == 0], f"{i} <text> é") for i in range(n)]
+        assert (r.n_turns, r.loss_sha256) == (n, hashlib.sha256("".join(x for a, x in texts if a == "assistant").encode()).hexdigest())
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{x}\n" for a, x in texts).encode()).hexdigest()
+        return time.time() - began
+
+    took(1000)
+    assert took(100_000) < 10 * took(10_000) + 2
+
+
 # ---- 6
 
 
@@ -610,23 +626,40 @@ def test_top_k(spark, monkeypatch):
     rows += [(1000 + i, rows[7][1]) for i in range(30)]  # ties
     rows += [(2000, None), (2001, [None] * 16), (2002, [float("nan")] * 16), (2003, [float("inf")] + [0.0] * 15), (None, rows[0][1]), (2004, [0.0] * 16), (2005, [1e4] * 16), (2006, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit("clash")).withColumn("score", F.lit(1))
-    for cells in ((2048, 32768), (50, 60)):
-        monkeypatch.setattr(topk, "CELL_ROWS", cells)
+    for rows_in, queries_in in ((8192, 1024), (50, 4)):
+        monkeypatch.setattr(topk, "CELL_ROWS", rows_in)
+        monkeypatch.setattr(topk, "CELL_QUERIES", queries_in)
         assert taken(topk.top_k(df, F.col("vec_id") % 50 == 0), "query_id", "rank", "vec_id", "score") == plain_top(rows, 50)
     few = df.where("vec_id IN (0, 1, 2)")
     assert taken(topk.top_k(few, F.col("vec_id") % 50 == 0), "query_id", "rank", "vec_id", "score") == plain_top(rows[:3], 50)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_processing_stops_early_only_on_proof():
+@pytest.mark.parametrize("dense", [1 / 32, 2.0])
+@pytest.mark.parametrize("floored", [False, True])
+def test_processing_stops_early_only_on_proof(monkeypatch, dense, floored):
+    monkeypatch.setattr(topk, "DENSE", dense)
     r = np.random.default_rng(2)
     m = np.floor(r.standard_t(1.5, size=(600, 24)) * 50).clip(-2000, 2000).astype(np.int64)
     q = m[:20]
-    index = topk.Segments(m, np.float64)
+    cell = topk.Cell(m, np.arange(600), list(topk.segments(m)), np.float64)
+    assert sum(len(s.rows) for s in cell.segments) == np.count_nonzero(m)
+    want = [sorted(((-int(m[j] @ q[i]), j) for j in range(600) if j != i))[:5] for i in range(20)]
+    floors = np.array([-w[4][0] if floored else -np.inf for w in want], float)
+    found, proven = topk.best(q, np.arange(20), floors, cell, 5)
     got = defaultdict(list)
-    for i, j, s in topk.best(q, np.arange(20), index, np.arange(600), 5, np.float64):
-        got[i].append((s, j))
-    for i in range(20):
-        scores = m @ q[i]
-        want = sorted(((-int(scores[j]), j) for j in range(600) if j != i))[:5]
-        assert [(-s, j) for s, j in got[i]] == want
+    for i, j, s in found:
+        got[i].append((-s, j))
+    assert [got[i] for i in range(20)] == want
+    assert proven >= 15
+
+
+def test_skewed_vectors_take_fewer_searches(spark, monkeypatch):
+    """Norms that fall steeply: bands are ruled out, most of the rest stops on proof, and results are those of brute force."""
+    monkeypatch.setattr(topk, "CELL_ROWS", 100)
+    r = np.random.default_rng(3)
+    rows = [(i, (r.normal(size=12) * 8.0 ** -(i % 7)).tolist()) for i in range(1400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert taken(topk.top_k(df, F.col("vec_id") % 50 == 0), "query_id", "rank", "vec_id", "score") == plain_top(rows, 50)
+    report = topk.proof_report(df, F.col("vec_id") % 50 == 0)
+    assert report["made"] < 0.8 * report["possible"] and report["stopped"] > 0.5 * report["made"]

@@ -1,7 +1,7 @@
 r"""Chat formatting with Spark expressions only.
 
-Turns of a conversation are collected as structs, sorted, adjacent turns of one role
-merged into a block, and blocks concatenated:
+Turns of a conversation are numbered in their order, each with its text's place by a running sum, collected as
+structs, sorted, adjacent turns of one role merged into a block, and blocks concatenated:
 
     <turn ROLE>TEXT</turn>\n           one turn
     <turn ROLE>TEXT<next>TEXT</turn>\n  adjacent turns of one role, still told apart
@@ -11,14 +11,14 @@ so no text can hold a control string, and undoing it in reverse order gives the
 back. loss_spans are (start, chars) of the assistant's texts in the formatted string,
 in code points from 0: markers are never under the loss.
 
-Cases: a null text or role is empty; turns that tie are ordered by role, then text; null
+Cases: a null text or role is empty; turns that tie are ordered by role, then text (unescaped); null
 turn numbers come first; a null conv_id is a conversation; repeated rows are turns like
 others; an empty table gives no rows (but the added example's, where a query adds it).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), (">", "\\g"))
@@ -37,41 +37,22 @@ def unescape(x: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """turns: conv_id, turn, role, text. Returns conv_id, formatted, loss_spans."""
-    rows = turns.select(
-        "conv_id",
-        F.struct(
-            F.col("turn").alias("turn"),
-            escape(F.coalesce(F.col("role"), F.lit(""))).alias("role"),
-            escape(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
-        ).alias("t"),
-    )
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    # what stands before and after each turn's text: a marker between equal roles, else block ends
-    n = F.size("ts")
-    pieces = F.transform(
-        F.col("ts"),
-        lambda t, i: F.struct(
-            F.when((i > 0) & (F.get(F.col("ts"), i - 1)["role"] == t["role"]), F.lit("<next>"))
-            .otherwise(F.concat(F.when(i > 0, F.lit("</turn>\n")).otherwise(F.lit("")), F.lit("<turn "), t["role"], F.lit(">")))
-            .alias("mark"),
-            t["text"].alias("text"),
-            (t["role"] == loss_role).alias("loss"),
-        ),
-    )
-    chats = chats.select("conv_id", n.alias("n"), pieces.alias("ps"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,chars:int>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.length(p["mark"])
-        chars = F.length(p["text"])
-        span = F.struct(begin.alias("start"), chars.alias("chars"))
-        return F.struct((begin + chars).alias("at"), F.when(p["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
+    """turns: conv_id, turn, role, text. Returns conv_id, formatted, loss_spans. One exchange by conv_id, and time in proportion to a conversation's length."""
+    rows = turns.select("conv_id", "turn", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")])
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")  # as they are, not as they are written
+    before, role = F.lag("role").over(order), escape(F.col("role"))
+    opened = F.concat(F.lit("<turn "), role, F.lit(">"))
+    # what stands before each turn's text: a marker between equal roles, else block ends
+    mark = F.when(before.isNull(), opened).when(before == F.col("role"), F.lit("<next>")).otherwise(F.concat(F.lit("</turn>\n"), opened))
+    rows = rows.select("conv_id", F.row_number().over(order).alias("k"), mark.alias("mark"), escape(F.col("text")).alias("text"), (F.col("role") == loss_role).alias("loss"))
+    so_far = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum(F.length("mark") + F.length("text")).over(so_far))
+    piece = F.struct("k", F.concat("mark", "text").alias("piece"), (F.col("end") - F.length("text")).cast("int").alias("start"), F.length("text").alias("chars"), "loss")
+    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(piece)).alias("ps"))
     return chats.select(
         "conv_id",
-        F.concat(F.array_join(F.transform("ps", lambda p: F.concat(p["mark"], p["text"])), ""), F.lit("</turn>\n")).alias("formatted"),
-        F.aggregate("ps", start, step, lambda acc: acc["spans"]).alias("loss_spans"),
+        F.concat(F.array_join("ps.piece", ""), F.lit("</turn>\n")).alias("formatted"),
+        F.transform(F.filter("ps", lambda p: p["loss"]), lambda p: F.struct(p["start"].alias("start"), p["chars"].alias("chars"))).alias("loss_spans"),
     )
 
 
@@ -87,8 +68,22 @@ def parse_turns(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, lambda b: F.transform(b["texts"], lambda x: F.struct(b["role"].alias("role"), unescape(x).alias("text")))))
 
 
+#: Code points of the parts in which a formatted string is read back, so that no span is looked for from the string's start.
+PART = 1024
+
+
 def loss_text(formatted: Column, spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["chars"]))), "")
+    """The unescaped text under the mask, in order."""
+
+    def under(parts: Column) -> Column:
+        def text(s: Column) -> Column:
+            first, last = (F.floor(x / PART).cast("int") for x in (s["start"], s["start"] + s["chars"]))
+            return unescape(F.substring(F.array_join(F.slice(parts, first + 1, last - first + 1), ""), s["start"] % PART + 1, s["chars"]))
+
+        return F.array_join(F.transform(spans, text), "")
+
+    parts = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    return F.transform(F.array(parts), under)[0]  # as a variable of a function the parts are made once, not for each span
 
 
 def chat_report(formatted: DataFrame) -> DataFrame:
