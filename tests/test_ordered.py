@@ -44,7 +44,7 @@ def test_running(timed, hot_rows, per):
 def test_neighbours(timed, hot_rows):
     w = Window.partitionBy("k").orderBy("t")
     for ahead, f in ((False, F.lag), (True, F.lead)):
-        got = O.neighbour(O.deal(timed, ("k",), F.col("t"), hot_rows), ("k",), "t", F.col("id"), "near", ahead).drop(O.HOT, O.BLOCK)
+        got = O.neighbour(O.deal(timed, ("k",), F.col("t"), hot_rows), ("k",), ["t"], F.col("id"), "near", ahead).drop(O.HOT, O.BLOCK)
         once = timed.groupBy("k", "t").count().where("count > 1")  # equal times have no order of their own
         assert once.where("k <> 'far'").isEmpty()
         same(got.where("k IS NULL OR k <> 'far'"), timed.withColumn("near", f("id").over(w)).where("k IS NULL OR k <> 'far'"))
@@ -87,7 +87,7 @@ def test_null_orders_come_first(spark, timed, hot_rows):
     same(got, nulls.select("*", F.max("v").over(so_far).alias("most"), F.sum("v").over(so_far).alias("total")))
     one = nulls.where("t IS NOT NULL").unionByName(spark.createDataFrame([("hot", 999, 1, None, "w")], nulls.schema))
     for ahead, f in ((False, F.lag), (True, F.lead)):
-        got = O.neighbour(O.deal(one, ("k",), F.col("t"), hot_rows), ("k",), "t", F.col("id"), "near", ahead).drop(O.HOT, O.BLOCK)
+        got = O.neighbour(O.deal(one, ("k",), F.col("t"), hot_rows), ("k",), ["t"], F.col("id"), "near", ahead).drop(O.HOT, O.BLOCK)
         same(got, one.withColumn("near", f("id").over(Window.partitionBy("k").orderBy("t"))))
     p = nulls.select(F.coalesce("k", F.lit("n")).alias("key"), (F.col("id") * 0.01).alias("lat"), (F.col("id") % 7 * 0.01).alias("lon"), F.col("t").alias("ts"))
     near = lambda df: df.withColumn("distance", F.round("distance", 4))

@@ -7,7 +7,6 @@ use windows of one and five hours.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -126,7 +125,7 @@ def tumbling_count(spark, sf_dir):
 
 @query(_TUMBLE)
 def tumbling_count_sql(spark, sf_dir):
-    text = "SELECT CAST(w.start AS TIMESTAMP_NTZ) AS day, event_type, cnt FROM (SELECT TUMBLE(ts, INTERVAL '1' DAY) AS w, event_type, COUNT(*) AS cnt FROM stream GROUP BY TUMBLE(ts, INTERVAL '1' DAY), event_type)"
+    text = "SELECT CAST(w.start AS TIMESTAMP_NTZ) AS day, event_type, cnt FROM (SELECT TUMBLE(ts, INTERVAL '1' DAY) AS w, event_type, COUNT(*) AS cnt FROM {stream} GROUP BY TUMBLE(ts, INTERVAL '1' DAY), event_type)"
     return run_sql(spark, text, stream=events(spark, sf_dir))
 
 
@@ -141,7 +140,7 @@ def sliding_avg_len(spark, sf_dir):
 
 @query(f"SELECT started, count(*) AS cnt FROM {_HOPS} GROUP BY started")
 def hopping_count_sql(spark, sf_dir):
-    text = "SELECT CAST(w.start AS TIMESTAMP_NTZ) AS started, cnt FROM (SELECT HOP(ts, INTERVAL '2' HOUR, INTERVAL '10' HOUR) AS w, COUNT(*) AS cnt FROM stream GROUP BY HOP(ts, INTERVAL '2' HOUR, INTERVAL '10' HOUR))"
+    text = "SELECT CAST(w.start AS TIMESTAMP_NTZ) AS started, cnt FROM (SELECT HOP(ts, INTERVAL '2' HOUR, INTERVAL '10' HOUR) AS w, COUNT(*) AS cnt FROM {stream} GROUP BY HOP(ts, INTERVAL '2' HOUR, INTERVAL '10' HOUR))"
     return run_sql(spark, text, stream=events(spark, sf_dir))
 
 
@@ -279,6 +278,12 @@ def notifications(spark, sf_dir):
     return sinks.records(out, tracks.notification(F.col("key"), F.col("is_up")))
 
 
+@query(f"WITH a AS ({_alerts('started', outside='NOT (f.pace / s.pace > 0.9 AND f.pace / s.pace < 1.1)')}) SELECT '' AS key, CASE WHEN is_up THEN 'Good job ' || key || ', you are gaining speed!' ELSE 'Looks like you are slowing down user ' || key || '. Go, go, go!' END AS value FROM a")
+def notifications_py(spark, sf_dir):
+    out = tracks.alerts(metrics(spark, sf_dir, "start"), "1 hour", "5 hours", inclusive=True)
+    return sinks.records(out, tracks.notification_py(F.col("key"), F.col("is_up")))
+
+
 # ---- changelogs, late data, enrichment
 
 _CHANGES = """
@@ -329,6 +334,26 @@ def enrich_buckets(spark, sf_dir):
     return E.enrich_in_buckets(table(spark, sf_dir, "conversations"), "text").select("conv_id", "turn", "output")
 
 
+@query(_LENGTHS)
+def enrich_buckets_py(spark, sf_dir):
+    return E.enrich_in_buckets(table(spark, sf_dir, "conversations"), "text", of=E.first_character_bucket).select("conv_id", "turn", "output")
+
+
+@query("SELECT user_id AS key, value * 0.001::DOUBLE AS lat, event_id % 1000 * 0.0001::DOUBLE AS lon, date_trunc('milliseconds', ts) AS ts FROM events")
+def positions_to_records(spark, sf_dir):
+    p = positions(spark, sf_dir)
+    good, _ = sinks.position_records(p.select(readers.tsv_position(F.col("key"), F.col("lat"), F.col("lon"), F.col("ts")).alias("line")))
+    out = readers.positions_from_keys(good.withColumnRenamed("timestamp", "ts"), delay=None)
+    return out.select(F.col("key").cast("long").alias("key"), "lat", "lon", ntz("ts"))
+
+
+@query("SELECT 'some' AS part, count(*) AS cnt FROM lineitem WHERE l_quantity > 0 HAVING count(*) > 0 UNION ALL SELECT 'none', count(*) FROM lineitem WHERE l_quantity < 0 HAVING count(*) > 0")
+def count_without_default(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    of = lambda part, where: A.count_if_any(rows.where(where)).select(F.lit(part).alias("part"), "cnt")
+    return of("some", "l_quantity > 0").unionByName(of("none", "l_quantity < 0"))
+
+
 @query(_LENGTHS)
 def enrich_distinct(spark, sf_dir):
     return E.enrich_distinct(table(spark, sf_dir, "conversations"), "text").select("conv_id", "turn", "output")
@@ -340,7 +365,7 @@ def enrich_distinct(spark, sf_dir):
 @query("SELECT count(*) AS cnt FROM orders WHERE o_totalprice > 0")
 def schema_filter_select_count(spark, sf_dir):
     df = table(spark, sf_dir, "orders").where(F.col("o_totalprice") > 0).select("o_orderkey", "o_totalprice")
-    return run_sql(spark, "SELECT COUNT(*) AS cnt FROM rows_in", rows_in=df)
+    return run_sql(spark, "SELECT COUNT(*) AS cnt FROM {rows_in}", rows_in=df)
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) AS quantity, CAST(l_extendedprice AS FLOAT) AS price FROM lineitem")
@@ -357,26 +382,32 @@ def union_flatten(spark, sf_dir):
 @query(f"SELECT word AS s, count(*) AS cnt {WORDS} GROUP BY word")
 def sql_word_count(spark, sf_dir):
     words = T.explode_words(table(spark, sf_dir, "documents").select("text")).toDF("s")
-    return run_sql(spark, "SELECT s, COUNT(*) AS cnt FROM tokens GROUP BY s", tokens=words)
+    return run_sql(spark, "SELECT s, COUNT(*) AS cnt FROM {tokens} GROUP BY s", tokens=words)
 
 
 @query(f"SELECT arg_max(word, (length(word), word)) AS word {WORDS}")
 def sql_cte_unnest(spark, sf_dir):
-    text = r"WITH w AS (SELECT EXPLODE(SPLIT(text, '\\W+')) AS word FROM docs) SELECT max_by(word, struct(length(word), word)) AS word FROM w WHERE word <> ''"
+    text = r"WITH w AS (SELECT EXPLODE(SPLIT(text, '\\W+')) AS word FROM {docs}) SELECT max_by(word, struct(length(word), word)) AS word FROM w WHERE word <> ''"
     return run_sql(spark, text, docs=table(spark, sf_dir, "documents").select("text"))
 
 
-@query("SELECT role, arg_max(word, (length(word), word)) AS word FROM (SELECT role, unnest(string_split_regex(text, '[^A-Za-z0-9_]+')) AS word FROM conversations) WHERE word <> '' GROUP BY role")
+@query("SELECT source, arg_max(word, (length(word), word)) AS word FROM (SELECT source, unnest(string_split_regex(text, '[^A-Za-z0-9_]+')) AS word FROM documents) WHERE word <> '' GROUP BY source")
 def sql_cte_unnest_udaf(spark, sf_dir):
-    text = "WITH w AS (SELECT role, EXPLODE(TOKENIZE(text)) AS word FROM turns), d AS (SELECT DISTINCT role, word FROM w) SELECT role, LONGEST_WORD(word) AS word FROM d GROUP BY role"
-    return run_sql(spark, text, {"TOKENIZE": tokenize_udf(), "LONGEST_WORD": longest_word_udaf()}, turns=table(spark, sf_dir, "conversations").select("role", "text"))
+    """The longest word of each source: of each part of its words first, so that no task holds a vocabulary, then of the parts' words."""
+    text = """
+    WITH w AS (SELECT source, EXPLODE({TOKENIZE}(text)) AS word FROM {docs}),
+    d AS (SELECT DISTINCT source, word FROM w),
+    p AS (SELECT source, {LONGEST_WORD}(word) AS word FROM d GROUP BY source, pmod(xxhash64(word), 256))
+    SELECT source, {LONGEST_WORD}(word) AS word FROM p GROUP BY source
+    """
+    return run_sql(spark, text, {"TOKENIZE": tokenize_udf(), "LONGEST_WORD": longest_word_udaf()}, docs=table(spark, sf_dir, "documents").select("source", "text"))
 
 
 @query("SELECT c_custkey AS k, c_name, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey")
 def natural_join_sql(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name")
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey")
-    return run_sql(spark, "SELECT k, c_name, o_orderkey FROM buyers NATURAL JOIN purchases", buyers=c, purchases=o)
+    return run_sql(spark, "SELECT k, c_name, o_orderkey FROM {buyers} NATURAL JOIN {purchases}", buyers=c, purchases=o)
 
 
 @query("SELECT user_id AS key, value * 0.001::DOUBLE AS lat, event_id % 1000 * 0.0001::DOUBLE AS lon, date_trunc('milliseconds', ts) AS ts FROM events")
@@ -387,14 +418,20 @@ def kafka_positions(spark, sf_dir):
     return out.select(F.col("key").cast("long").alias("key"), "lat", "lon", ntz("ts"))
 
 
-@query()
+_DRAW = "CAST(CAST('0x' || substr(md5('0:{axis}:' || CAST(i AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS {axis}"
+
+
+@query(f"SELECT 4.0::DOUBLE * sum(CASE WHEN x * x + y * y <= 1 THEN 1 ELSE 0 END) / count(*) AS pi FROM (SELECT {_DRAW.format(axis='x')}, {_DRAW.format(axis='y')} FROM range(100000) r(i))")
 def pi_estimate(spark, sf_dir):
     return pi.pi_estimate(spark)
 
 
 @query("SELECT substr(line, 1, 1) AS first, count(*) AS cnt FROM (SELECT unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line FROM documents WHERE text IS NOT NULL AND text <> '') GROUP BY ALL")
 def file_read_lines(spark, sf_dir):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewater-")
-    path = f"{base.rstrip('/')}/lines-{uuid.uuid4().hex}"
+    path = f"{sinks.shared_dir(spark)}/lines-{uuid.uuid4().hex}"
     table(spark, sf_dir, "documents").where("text IS NOT NULL AND text <> ''").select(F.regexp_replace("text", "\r\n|\r|\n", "\n")).write.text(path)
-    return readers.lines(spark, path).select(F.substring("line", 1, 1).alias("first")).groupBy("first").agg(F.count("*").alias("cnt"))
+    counts = readers.lines(spark, path).select(F.substring("line", 1, 1).alias("first")).groupBy("first").agg(F.count("*").alias("cnt"))
+    kept = f"{path}-counts"  # one row for each character
+    counts.write.parquet(kept)
+    sinks.delete(spark, path)
+    return spark.read.parquet(kept)

@@ -28,3 +28,8 @@ def key_value_line(key: Column, value: Column) -> Column:
 
 def value_line(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit(""))
+
+
+def is_blank(text: Column) -> Column:
+    """Null, or nothing but white space."""
+    return F.coalesce(F.length(F.regexp_replace(text, r"\s+", "")) == 0, F.lit(True))

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import HOT_ROWS, running
+from .ordered import HOT_ROWS, OWN, running
+
+CHARS, WORDS = f"{OWN}chars", f"{OWN}words"
 
 
 def count_per_element(df: DataFrame, *columns: str) -> DataFrame:
@@ -19,6 +21,11 @@ def count_globally(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("cnt"))
 
 
+def count_if_any(df: DataFrame) -> DataFrame:
+    """The count, or no row for no rows: a global combine without its default."""
+    return df.agg(F.count("*").alias("cnt")).where("cnt > 0")
+
+
 def sum_globally(df: DataFrame, column: str) -> DataFrame:
     """0 for no rows."""
     return df.agg(F.coalesce(F.sum(column), F.lit(0)).alias("total"))
@@ -40,7 +47,8 @@ def top_k(counts: DataFrame, k: int, by: str = "cnt", item: str = "word", per: t
     order = [F.col(by).desc(), F.col(item).desc()]
     if not per:
         return counts.orderBy(*order).limit(k)
-    return counts.withColumn("_n", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
+    place = f"{OWN}place"
+    return counts.withColumn(place, F.row_number().over(Window.partitionBy(*per).orderBy(*order))).where(F.col(place) <= k).drop(place)
 
 
 def top_k_array(k: int, by: str = "cnt", item: str = "word") -> Column:
@@ -57,8 +65,8 @@ def running_longest(df: DataFrame, word: str, order: list[Column], per: tuple[st
 
 def running_mean_length(df: DataFrame, word: str, order: list[Column], per: tuple[str, ...] = (), hot_rows: int | None = HOT_ROWS) -> DataFrame:
     n = F.length(word)
-    rows = running(df, per, order, hot_rows=hot_rows, _chars=("sum", n.cast("long")), _words=("sum", n.isNotNull().cast("long")))
-    return rows.withColumn("mean_length", F.try_divide("_chars", "_words")).drop("_chars", "_words")
+    rows = running(df, per, order, hot_rows=hot_rows, **{CHARS: ("sum", n.cast("long")), WORDS: ("sum", n.isNotNull().cast("long"))})
+    return rows.withColumn("mean_length", F.try_divide(CHARS, WORDS)).drop(CHARS, WORDS)
 
 
 def pace(length: str = "length", duration: str = "duration") -> Column:

@@ -11,15 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import HOT_ROWS, deal, neighbour
+from .ordered import HOT_ROWS, OWN, deal, neighbour
+
+END, OLD = f"{OWN}end", f"{OWN}old"
+
+
+def _order(changes: DataFrame) -> list[str]:
+    """Changes of one time count in the order of their other columns, so the last of these holds."""
+    return [c for c in ("ts", "is_delete", "join_key", "value") if c in changes.columns]
 
 
 def versions(changes: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """pk, join_key, value, start, end (null: still holds). Deletes end a version without starting one."""
+    """pk, join_key, value, start, end (null: still holds). Deletes end a version without starting one. Of changes at one time, deletes count last, then the greatest join key and value."""
     dealt = deal(changes, ("pk",), F.unix_micros(F.col("ts").cast("timestamp")), hot_rows)
-    changes, end = neighbour(dealt, ("pk",), "ts", F.col("ts"), "_end", ahead=True), F.col("_end")
+    changes, end = neighbour(dealt, ("pk",), _order(changes), F.col("ts"), END, ahead=True), F.col(END)
     gone = F.coalesce(F.col("is_delete"), F.lit(False)) if "is_delete" in changes.columns else F.lit(False)
-    return changes.select("pk", "join_key", "value", F.col("ts").alias("start"), end.alias("end"), gone.alias("gone")).where("NOT gone").drop("gone")
+    held = changes.where(~gone & (end.isNull() | (F.col("ts") < end)))
+    return held.select("pk", "join_key", "value", F.col("ts").alias("start"), end.alias("end"))
 
 
 def changelog_join(left: DataFrame, right: DataFrame, bucket_s: int | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
@@ -49,6 +57,6 @@ def changelog_join(left: DataFrame, right: DataFrame, bucket_s: int | None = Non
 def rekeyed(changes: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """A changelog with explicit deletes: when a pk's join key changes, its row under the old one is deleted first."""
     dealt = deal(changes, ("pk",), F.unix_micros(F.col("ts").cast("timestamp")), hot_rows)
-    rows = neighbour(dealt, ("pk",), "ts", F.col("join_key"), "old")
-    moved = rows.where("old <> join_key").select("pk", F.col("old").alias("join_key"), F.lit(None).cast(dict(changes.dtypes)["value"]).alias("value"), "ts", F.lit(True).alias("is_delete"))
+    rows = neighbour(dealt, ("pk",), _order(changes), F.col("join_key"), OLD)
+    moved = rows.where(F.col(OLD) != F.col("join_key")).select("pk", F.col(OLD).alias("join_key"), F.lit(None).cast(dict(changes.dtypes)["value"]).alias("value"), "ts", F.lit(True).alias("is_delete"))
     return rows.select("pk", "join_key", "value", "ts", F.lit(False).alias("is_delete")).unionByName(moved)

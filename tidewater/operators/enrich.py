@@ -50,9 +50,14 @@ def bucket(word: Column, n: int = 10) -> Column:
     return F.pmod(F.hash(word), F.lit(n))
 
 
-def enrich_in_buckets(df: DataFrame, column: str, client: Client = lengths_service, batch: int = 100, buckets: int = 10) -> DataFrame:
+def first_character_bucket(word: Column, n: int = 10) -> Column:
+    """The code point of the first character, modulo n; 0 for empty words."""
+    return F.pmod(F.coalesce(F.ascii(word), F.lit(0)), F.lit(n))
+
+
+def enrich_in_buckets(df: DataFrame, column: str, client: Client = lengths_service, batch: int = 100, buckets: int = 10, of: Callable[[Column, int], Column] = bucket) -> DataFrame:
     """At most ``buckets`` tasks call the service at a time."""
-    return enrich(df.repartition(buckets, bucket(F.col(column), buckets)), column, client, batch)
+    return enrich(df.repartition(buckets, of(F.col(column), buckets)), column, client, batch)
 
 
 def enrich_distinct(df: DataFrame, column: str, client: Client = lengths_service, batch: int = 100) -> DataFrame:

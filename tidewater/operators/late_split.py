@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import HOT_ROWS, running
+from .ordered import HOT_ROWS, OWN, running
+
+SEEN = f"{OWN}seen"
 
 
 def is_droppable(ts_ms: Column, watermark_ms: Column, size_ms: int, lateness_ms: int) -> Column:
@@ -19,8 +21,8 @@ def is_droppable(ts_ms: Column, watermark_ms: Column, size_ms: int, lateness_ms:
 
 def replay_split(rows: DataFrame, arrival: Column, size_ms: int, lateness_ms: int, delay_ms: int = 0, per: tuple[str, ...] = (), ts: str = "ts_ms", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Adds ``droppable``; the watermark is the greatest time that arrived before, less the delay, for each ``per`` (a source partition; there are few, so they are dealt into blocks of ``arrival``, a number or a time)."""
-    seen = running(rows, per, [arrival], inclusive=False, hot_rows=hot_rows, _seen=("max", F.col(ts)))
-    return seen.withColumn("droppable", is_droppable(F.col(ts), F.col("_seen") - delay_ms, size_ms, lateness_ms)).drop("_seen")
+    seen = running(rows, per, [arrival], inclusive=False, hot_rows=hot_rows, **{SEEN: ("max", F.col(ts))})
+    return seen.withColumn("droppable", is_droppable(F.col(ts), F.col(SEEN) - delay_ms, size_ms, lateness_ms)).drop(SEEN)
 
 
 def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

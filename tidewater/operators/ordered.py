@@ -12,38 +12,46 @@ So does a table whose size, as the planner estimates it, is below ``ROW_BYTES``
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkAttributeError
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS, MOST_HOT, ROW_BYTES = 1 << 20, 10_000, 8
-HOT, BLOCK = "_hot", "_block"
+#: Prefix of the names of helper columns; no column of a user's may begin with it.
+OWN = "__tidewater_"
+HOT, BLOCK = f"{OWN}hot", f"{OWN}block"
+KEY, ROWS, LOW, HIGH, AT, OF, EDGE, ORDER = (f"{OWN}{x}" for x in ("key", "rows", "low", "high", "at", "of", "edge", "order"))
 
 
 def _on(per: tuple[str, ...]) -> Column:
     on = F.lit(True)
     for i, k in enumerate(per):
-        on = on & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+        on = on & F.col(k).eqNullSafe(F.col(f"{KEY}{i}"))
     return on
 
 
 def _keys(per: tuple[str, ...]) -> list[Column]:
-    return [F.col(k).alias(f"_key{i}") for i, k in enumerate(per)]
+    return [F.col(k).alias(f"{KEY}{i}") for i, k in enumerate(per)]
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def _estimated_bytes(df: DataFrame) -> int | None:
+    """The planner's estimate; None where it isn't to be had, as in remote sessions."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except (AttributeError, PySparkAttributeError):
+        return None
 
 
 def deal(df: DataFrame, per: tuple[str, ...], order: Column, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Adds _hot and _block, which grows with ``order`` (a number; null comes first) and is 0 for keys that aren't hot; or nothing, see above."""
-    if hot_rows is None or _estimated_bytes(df) < ROW_BYTES * hot_rows:
+    """Adds HOT and BLOCK, which grows with ``order`` (a number; null comes first) and is 0 for keys that aren't hot; or nothing, see above."""
+    if hot_rows is None or ((size := _estimated_bytes(df)) is not None and size < ROW_BYTES * hot_rows):
         return df
-    counts = df.select(*_keys(per), order.alias("_at")).groupBy(*[f"_key{i}" for i in range(len(per))]).agg(F.count("*").alias("_n"), F.min("_at").alias("_low"), F.max("_at").alias("_high"))
-    hot = counts.where(F.col("_n") > hot_rows).orderBy(F.col("_n").desc()).limit(MOST_HOT)
-    blocks = F.ceil(F.col("_n") / hot_rows)
-    share = (order - F.col("_low")) / (F.col("_high") - F.col("_low") + 1)
+    counts = df.select(*_keys(per), order.alias(AT)).groupBy(*[f"{KEY}{i}" for i in range(len(per))]).agg(F.count("*").alias(ROWS), F.min(AT).alias(LOW), F.max(AT).alias(HIGH))
+    hot = counts.where(F.col(ROWS) > hot_rows).orderBy(F.col(ROWS).desc()).limit(MOST_HOT)
+    blocks = F.ceil(F.col(ROWS) / hot_rows)
+    share = (order - F.col(LOW)) / (F.col(HIGH) - F.col(LOW) + 1)
     block = F.when(share.isNull(), F.lit(0)).otherwise(F.least(F.floor(share * blocks), blocks - 1))  # least would skip the null
-    out = df.join(F.broadcast(hot), _on(per), "left").withColumn(HOT, F.col("_n").isNotNull()).withColumn(BLOCK, F.coalesce(block, F.lit(0)).cast("int"))
+    out = df.join(F.broadcast(hot), _on(per), "left").withColumn(HOT, F.col(ROWS).isNotNull()).withColumn(BLOCK, F.coalesce(block, F.lit(0)).cast("int"))
     return out.select(*df.columns, HOT, BLOCK)
 
 
@@ -54,10 +62,11 @@ def by(df: DataFrame, per: tuple[str, ...]) -> tuple[str, ...]:
 
 def _with_carried(dealt: DataFrame, per: tuple[str, ...], sums: dict[str, Column], over, first: Column) -> DataFrame:
     """Adds, for blocks of hot keys, ``over`` of each sum over the blocks before (in the order ``first``)."""
-    w = Window.partitionBy(*[f"_key{i}" for i in range(len(per))]).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
-    table = dealt.where(HOT).select("*", *_keys(per), F.col(BLOCK).alias("_of")).groupBy(*[f"_key{i}" for i in range(len(per))], "_of").agg(*[c.alias(k) for k, c in sums.items()])
-    table = table.select(*[f"_key{i}" for i in range(len(per))], "_of", *[over(k).over(w).alias(k) for k in sums])
-    return dealt.join(table, _on(per) & (F.col(BLOCK) == F.col("_of")), "left").select(*dealt.columns, *sums)
+    keys = [f"{KEY}{i}" for i in range(len(per))]
+    w = Window.partitionBy(*keys).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    table = dealt.where(HOT).select("*", *_keys(per), F.col(BLOCK).alias(OF)).groupBy(*keys, OF).agg(*[c.alias(k) for k, c in sums.items()])
+    table = table.select(*keys, OF, *[over(k).over(w).alias(k) for k in sums])
+    return dealt.join(table, _on(per) & (F.col(BLOCK) == F.col(OF)), "left").select(*dealt.columns, *sums)
 
 
 def running(df: DataFrame, per: tuple[str, ...], order: list[Column], inclusive: bool = True, hot_rows: int | None = HOT_ROWS, **measures: tuple[str, Column]) -> DataFrame:
@@ -65,19 +74,19 @@ def running(df: DataFrame, per: tuple[str, ...], order: list[Column], inclusive:
 
     order: the first is a number or a timestamp, and decides the block.
     """
-    at = order[0]
-    dealt = deal(df.select("*", *[c.alias(f"_{k}") for k, (_, c) in measures.items()], _number(df, at).alias("_order")), per, F.col("_order"), hot_rows)
+    at, mine = order[0], lambda k: f"{OWN}of_{k}"
+    dealt = deal(df.select("*", *[c.alias(mine(k)) for k, (_, c) in measures.items()], _number(df, at).alias(ORDER)), per, F.col(ORDER), hot_rows)
     so_far = Window.partitionBy(*by(dealt, per)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out = dealt
+    out, earlier = dealt, lambda k: f"{OWN}before_{k}"
     for kind, op in (("max", F.max), ("sum", F.sum)):
-        mine = [k for k, (x, _) in measures.items() if x == kind]
-        if mine and BLOCK in dealt.columns:
-            out = _with_carried(out, per, {f"_before_{k}": op(f"_{k}") for k in mine}, op, F.col("_of").asc())
+        names = [k for k, (x, _) in measures.items() if x == kind]
+        if names and BLOCK in dealt.columns:
+            out = _with_carried(out, per, {earlier(k): op(mine(k)) for k in names}, op, F.col(OF).asc())
     results = []
     for k, (kind, _) in measures.items():
-        here = (F.max if kind == "max" else F.sum)(f"_{k}").over(so_far)
+        here = (F.max if kind == "max" else F.sum)(mine(k)).over(so_far)
         if BLOCK in dealt.columns:
-            before = F.col(f"_before_{k}")
+            before = F.col(earlier(k))
             here = F.greatest(here, before) if kind == "max" else F.coalesce(here + before, here, before)
         results.append(here.alias(k))
     return out.select(*df.columns, *results)
@@ -88,13 +97,14 @@ def _number(df: DataFrame, at: Column) -> Column:
     return F.unix_micros(at.cast("timestamp")) if kind.startswith("timestamp") else at
 
 
-def neighbour(dealt: DataFrame, per: tuple[str, ...], order: str, value: Column, name: str, ahead: bool = False) -> DataFrame:
-    """Adds ``name``, the value at the row before (or ahead) in its key; null where there is none. ``dealt`` comes from ``deal``."""
-    w = Window.partitionBy(*by(dealt, per)).orderBy(order)
+def neighbour(dealt: DataFrame, per: tuple[str, ...], order: list[str], value: Column, name: str, ahead: bool = False) -> DataFrame:
+    """Adds ``name``, the value at the row before (or ahead) in its key; null where there is none. ``dealt`` comes from ``deal`` by the first of ``order``."""
+    w = Window.partitionBy(*by(dealt, per)).orderBy(*order)
     near = F.lead if ahead else F.lag
     if BLOCK not in dealt.columns:
         return dealt.withColumn(name, near(value).over(w))
-    edge = F.min_by("_value", order) if ahead else F.max_by("_value", order)
-    blocks = F.col("_of").desc() if ahead else F.col("_of").asc()
-    rows = _with_carried(dealt.withColumn("_value", F.struct(value.alias("v"))), per, {"_edge": edge}, lambda k: F.last(k, ignorenulls=True), blocks)
-    return rows.select(*dealt.columns, F.coalesce(near("_value").over(w), F.col("_edge"))["v"].alias(name))
+    edge = (F.min_by if ahead else F.max_by)(EDGE, F.struct(*order))
+    blocks = F.col(OF).desc() if ahead else F.col(OF).asc()
+    carried = f"{EDGE}_carried"
+    rows = _with_carried(dealt.withColumn(EDGE, F.struct(value.alias("v"))), per, {carried: edge}, lambda k: F.last(k, ignorenulls=True), blocks)
+    return rows.select(*dealt.columns, F.coalesce(near(EDGE).over(w), F.col(carried))["v"].alias(name))

@@ -21,7 +21,7 @@ def _legs(positions: DataFrame, key: str, hot_rows: int | None = HOT_ROWS) -> Da
     dealt = deal(positions.select(key, "lat", "lon", "ts"), (key,), F.col("ts"), hot_rows)
     extra = [c for c in (HOT, BLOCK) if c in dealt.columns]
     once = dealt.repartition(*by(dealt, (key,))).groupBy(key, "ts", *extra).agg(F.min(F.struct("lat", "lon")).alias("p")).select(key, "ts", "p.lat", "p.lon", *extra)
-    legs = neighbour(once, (key,), "ts", F.struct("lat", "lon", "ts"), "at0").select(key, "ts", "lat", "lon", *[F.col(f"at0.{c}").alias(f"{c}0") for c in ("lat", "lon", "ts")])
+    legs = neighbour(once, (key,), ["ts"], F.struct("lat", "lon", "ts"), "at0").select(key, "ts", "lat", "lon", *[F.col(f"at0.{c}").alias(f"{c}0") for c in ("lat", "lon", "ts")])
     return legs.withColumn("length", distance(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")))
 
 
@@ -80,6 +80,26 @@ def windowed_pace(metrics: DataFrame, spec: WindowSpec, key: str = "key") -> Dat
     return df.groupBy(key, "window").agg(pace().alias("pace")).select(key, F.col("window.end").alias("window_end"), "pace")
 
 
+def lookup(df: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
+    """df with the columns of the row of ``side`` at its key, or nulls; more than one row at a key is an error."""
+    value = [c for c in side.columns if c not in on]
+    once = side.groupBy(*on).agg(F.count("*").alias("_rows"), *[F.first(c).alias(c) for c in value])
+    twice = F.raise_error(F.concat(F.lit("more than one value for the key "), F.concat_ws(", ", *[F.col(c).cast("string") for c in on])))
+    return df.join(once.select(*on, *[F.when(F.col("_rows") > 1, twice).otherwise(F.col(c)).alias(c) for c in value]), on, "left")
+
+
+def _paces_by_sql(metrics: DataFrame, short: str, long: str, key: str) -> DataFrame:
+    """key, window_end, short_pace, long_pace: windows, sums and join in one statement."""
+    from ..plans.sql import run_sql
+
+    span = lambda x: "INTERVAL '{}' {}".format(*x.split())
+    paces = "SELECT `{key}`, w.end AS window_end, try_divide(SUM(length) * 1000, SUM(duration)) AS {name} FROM (SELECT `{key}`, length, duration, {window} AS w FROM {{metrics}}) GROUP BY `{key}`, w"
+    fast = paces.format(key=key, name="short_pace", window=f"TUMBLE(ts, {span(short)})")
+    slow = paces.format(key=key, name="long_pace", window=f"HOP(ts, {span(short)}, {span(long)})")
+    text = f"WITH fast AS ({fast}), slow AS ({slow}) SELECT `{key}`, window_end, short_pace, long_pace FROM fast NATURAL JOIN slow"
+    return run_sql(metrics.sparkSession, text, metrics=metrics.withColumn("ts", F.timestamp_millis("ts")))
+
+
 STRATEGIES = ("side_input", "cogroup", "inner_join", "own_join", "sql")
 
 
@@ -89,7 +109,8 @@ def alerts(metrics: DataFrame, short: str = "1 minute", long: str = "5 minutes",
     The long window slides by the short one's size, and its result lies in the short window
     that ends with it, so both meet on the window's end. Strategies give the same
     alerts, but for their guards: side_input asks for a long pace only (a short pace of 0 is
-    an alert), cogroup, inner_join and own_join for both, sql for none but a divisor.
+    an alert; a key that stands twice in a window of the side is an error), cogroup, inner_join and
+    own_join for both, sql for none but a divisor. sql is one statement, from the windows to the join.
     inclusive: a ratio of exactly 0.9 or 1.1 is an alert too.
     """
     if strategy not in STRATEGIES:
@@ -99,7 +120,7 @@ def alerts(metrics: DataFrame, short: str = "1 minute", long: str = "5 minutes",
     slow = windowed_pace(metrics, WindowSpec(long, short), key).withColumnRenamed("pace", "long_pace")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     if strategy == "side_input":
-        both = fast.join(slow, ends, "left").withColumn("long_pace", zero("long_pace")).where("long_pace > 0")
+        both = lookup(fast, slow, ends).withColumn("long_pace", zero("long_pace")).where("long_pace > 0")
     elif strategy == "cogroup":
         both = fast.join(slow, ends, "full").select(*ends, zero("short_pace").alias("short_pace"), zero("long_pace").alias("long_pace")).where("short_pace > 0 AND long_pace > 0")
     elif strategy == "inner_join":
@@ -108,9 +129,7 @@ def alerts(metrics: DataFrame, short: str = "1 minute", long: str = "5 minutes",
         tagged = fast.select(*ends, "short_pace", F.lit(None).cast("double").alias("long_pace")).unionByName(slow.select(*ends, F.lit(None).cast("double").alias("short_pace"), "long_pace"))
         both = tagged.groupBy(*ends).agg(F.max("short_pace").alias("short_pace"), F.max("long_pace").alias("long_pace")).where("short_pace > 0 AND long_pace > 0")
     else:
-        from ..plans.sql import run_sql
-
-        both = run_sql(metrics.sparkSession, f"SELECT {key}, window_end, short_pace, long_pace FROM fast NATURAL JOIN slow", fast=fast, slow=slow)
+        both = _paces_by_sql(metrics, short, long, key)
     ratio = F.try_divide(F.col("short_pace"), F.col("long_pace"))
     inside = (ratio > 0.9) & (ratio < 1.1) if inclusive else (ratio >= 0.9) & (ratio <= 1.1)
     return both.withColumn("ratio", ratio).where(ratio.isNotNull() & ~inside).select(*ends, "ratio", (ratio > 1).alias("is_up"))
@@ -121,7 +140,18 @@ UP_MESSAGE = "Great job user %s! You are gaining speed!"
 DOWN_MESSAGE = "Looks like you are slowing down user %s. Go! Go! Go!"
 
 
+#: Those of the pipelines written in Python (fixed values).
+PY_UP_MESSAGE = "Good job %s, you are gaining speed!"
+PY_DOWN_MESSAGE = "Looks like you are slowing down user %s. Go, go, go!"
+
+
 def notification(key: Column, is_up: Column) -> Column:
     """The message of an alert; the user is the key up to its first colon."""
     user = F.split(key.cast("string"), ":", 2)[0]
     return F.when(is_up, F.format_string(UP_MESSAGE, user)).otherwise(F.format_string(DOWN_MESSAGE, user))
+
+
+def notification_py(key: Column, is_up: Column) -> Column:
+    """The other message, with the key as it is."""
+    user = key.cast("string")
+    return F.when(is_up, F.format_string(PY_UP_MESSAGE, user)).otherwise(F.format_string(PY_DOWN_MESSAGE, user))

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class WindowSpec:
-    """Global without a size, sliding with a slide, else fixed. Durations are Spark interval strings."""
+    """Global without a size, sliding with a slide, else fixed. Durations are Spark interval strings.
+
+    lateness, accumulate, stamp and on_empty decide the panes of streams (``streaming.panes``); stamp also what ``stamped`` gives.
+    """
 
     size: str | None = None
     slide: str | None = None
     lateness: str | None = None
     accumulate: bool = False
     stamp: str = "end"  # end of the window, or latest element
+    on_empty: bool = True  # a last pane at the window's end though nothing new came, or none
 
     def column(self, ts: Column) -> Column:
         if self.size is None:
@@ -36,6 +40,17 @@ class WindowSpec:
         return replace(self, **changes)
 
 
+UNITS = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
+
+
+def millis(interval: str | None) -> int:
+    """"5 minutes" in milliseconds; None is 0."""
+    if interval is None:
+        return 0
+    n, unit = interval.split()
+    return int(n) * UNITS[unit.lower().rstrip("s")]
+
+
 def windows_of(ts_ms: Column, size_ms: int, slide_ms: int | None = None) -> Column:
     """array<struct<start_ms, end_ms>> of the windows that hold a time, last first."""
     slide = slide_ms or size_ms

@@ -1,4 +1,4 @@
-"""SQL over tagged tables, with time windows and user functions."""
+"""SQL over tagged frames, with time windows and user functions."""
 
 from __future__ import annotations
 
@@ -18,17 +18,23 @@ def windows_sql(text: str) -> str:
 
 
 def run_sql(spark: SparkSession, text: str, udfs: dict[str, Callable] | None = None, **tables: DataFrame) -> DataFrame:
-    """Runs a query over frames by tag. Views get names of their own, so queries don't meet in the catalogue."""
+    """Runs a query in which ``{tag}`` stands for a frame or a function (other braces are doubled).
+
+    Only these places are replaced. Views and functions get names of their own, which are gone once the
+    query is resolved, so queries don't meet in the catalogue and overwrite nothing.
+    """
+    own = {tag: f"{tag}_{uuid.uuid4().hex[:12]}" for tag in [*tables, *(udfs or {})]}
     for name, f in (udfs or {}).items():
-        spark.udf.register(name, f)
-    own = {tag: f"{tag}_{uuid.uuid4().hex[:12]}" for tag in tables}
+        spark.udf.register(own[name], f)
     for tag, df in tables.items():
         df.createOrReplaceTempView(own[tag])
-        text = re.sub(rf"\b{tag}\b(?!\s*\()", own[tag], text)
-    out = spark.sql(windows_sql(text))
-    for view in own.values():
-        spark.catalog.dropTempView(view)
-    return out
+    try:
+        return spark.sql(windows_sql(text.format(**own)))
+    finally:
+        for tag in tables:
+            spark.catalog.dropTempView(own[tag])
+        for name in udfs or {}:
+            spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {own[name]}")
 
 
 def tokenize_udf():

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import time as clock
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.geo import try_parse_position
 
@@ -13,18 +17,41 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
-def watch_lines(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Stream of line, file, ts (the file's time): each new file of a directory once."""
+def watch_lines(spark: SparkSession, path: str, files_per_batch: int | None = None, time: Column | None = None, delay: str | None = None) -> DataFrame:
+    """Stream of line, file, ts: each new file of a directory once.
+
+    time: the time of a file, from the columns file and ts (its modification time, the default); the watermark is
+    the greatest of these less ``delay``. A query over it ends when what is there has been read if it is started
+    by ``trigger(availableNow=True)``, else when it is stopped (see ``stop_after``).
+    """
     reader = spark.readStream.schema("value string")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("ts"))
+    found = reader.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("ts"))
+    return _timed(found if time is None else found.withColumn("ts", time), delay)
+
+
+def stop_after(query: StreamingQuery, end: datetime, poll_s: float = 0.5, most_s: float = 3600.0) -> bool:
+    """Stops a query once its watermark has reached ``end``; False if that took more than ``most_s`` seconds."""
+    until = clock.monotonic() + most_s
+    while clock.monotonic() < until and query.isActive:
+        mark = ((query.lastProgress or {}).get("eventTime") or {}).get("watermark")
+        if mark and datetime.fromisoformat(mark.replace("Z", "+00:00")) >= end:
+            query.stop()
+            return True
+        clock.sleep(poll_s)
+    query.stop()
+    return False
 
 
 def kafka(spark: SparkSession, bootstrap: str, topic: str, stream: bool = True, **options: str) -> DataFrame:
     """key, value (strings), ts (record time). Needs Spark's Kafka connector on the class path."""
-    reader = (spark.readStream if stream else spark.read).format("kafka").option("kafka.bootstrap.servers", bootstrap).option("subscribe", topic)
-    return decode_strings(reader.options(**options).load())
+    reader = (spark.readStream if stream else spark.read).format("kafka").options(**kafka_options(bootstrap, topic, **options))
+    return decode_strings(reader.load())
+
+
+def kafka_options(bootstrap: str, topic: str, **options: str) -> dict[str, str]:
+    return {"kafka.bootstrap.servers": bootstrap, "subscribe": topic} | options
 
 
 def decode_strings(records: DataFrame) -> DataFrame:

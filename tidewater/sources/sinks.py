@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..functions.geo import try_parse_position
+
 
 def records(df: DataFrame, value: Column, key: Column | None = None) -> DataFrame:
     """key, value as strings; the key is empty unless given."""
@@ -17,11 +21,38 @@ def big_endian(x: Column) -> Column:
     return F.unhex(F.lpad(F.hex(x.cast("long")), 16, "0"))
 
 
+def position_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """lines: line, "key TAB lat TAB lon TAB ms". Records (key, value "lat lon", timestamp: the position's time) and the lines without a tab.
+
+    Lines with a tab whose rest is no position are in neither.
+    """
+    parts = F.split("line", "\t", 2)
+    good = lines.where(F.size(parts) == 2).select(parts[0].alias("key"), try_parse_position(parts[1]).alias("p")).where("p IS NOT NULL")
+    records_ = good.select("key", F.concat(F.col("p.lat").cast("string"), F.lit(" "), F.col("p.lon").cast("string")).alias("value"), F.timestamp_millis("p.ts").alias("timestamp"))
+    return records_, lines.where((F.size(parts) < 2) & F.col("line").isNotNull())
+
+
+def write_positions(lines: DataFrame, bootstrap: str, topic: str) -> DataFrame:
+    """Writes the records of a table of lines to Kafka and returns the lines without a tab."""
+    good, bad = position_records(lines)
+    write_kafka(good, bootstrap, topic)
+    return bad
+
+
+def texts_to_records(spark: SparkSession, *values: str) -> DataFrame:
+    """Records of given values, for tests of a topic."""
+    return records(spark.createDataFrame([(v,) for v in values], "value string"), F.col("value"))
+
+
+def kafka_options(bootstrap: str, topic: str, checkpoint: str | None = None) -> dict[str, str]:
+    return {"kafka.bootstrap.servers": bootstrap, "topic": topic} | ({"checkpointLocation": checkpoint} if checkpoint else {})
+
+
 def write_kafka(df: DataFrame, bootstrap: str, topic: str, checkpoint: str | None = None) -> DataStreamWriter | None:
     """Streams give a writer to start; tables are written at once. Needs Spark's Kafka connector."""
-    options = {"kafka.bootstrap.servers": bootstrap, "topic": topic}
+    options = kafka_options(bootstrap, topic, checkpoint if df.isStreaming else None)
     if df.isStreaming:
-        return df.writeStream.format("kafka").options(**options).option("checkpointLocation", checkpoint)
+        return df.writeStream.format("kafka").options(**options)
     df.write.format("kafka").options(**options).save()
     return None
 
@@ -34,3 +65,16 @@ def tee(df: DataFrame, name: str, **measures: Column) -> DataFrame:
     """Passes rows on and reports measures (by default their number) to query listeners and Observation."""
     given = [c.alias(k) for k, c in measures.items()] or [F.count("*").alias("rows")]
     return df.observe(name, *given)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; where spark.checkpoint.dir is unset, a temporary one if they are one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or "file://" + tempfile.mkdtemp(prefix="tidewater-")).rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
