@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -313,10 +314,65 @@ def test_texts_stay_where_nothing_can_be_learned(spark):
         assert sorted(r.text for r in language_id.keep_identified(docs).collect()) == ["plain", "x" * 9, "é"]
 
 
-def test_held_out_language_accuracy(spark, sf):
+def test_held_out_languages_and_their_scores(spark, sf):
+    """Accuracy, and scores that are calibrated: a lower log loss than without the temperature, and a mean near the accuracy."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    p = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
-    assert sum(x.lang == x.lang_pred for x in p) / len(p) > 0.95
+    model = language_id.train(docs)
+    held = [r for r in docs.where(language_id.remainder(F.col("doc_id")) == 1).where("lang IS NOT NULL").collect()]
+    p = [model.predict(r.text) for r in held]
+    right = [a == r.lang for (a, _), r in zip(p, held, strict=True)]
+    assert sum(right) / len(p) > 0.95
+    assert abs(sum(s for _, s in p) / len(p) - sum(right) / len(p)) < 0.1
+    loss = lambda found: -sum(np.log(max(s if ok else 1 - s, 1e-9)) for (_, s), ok in zip(found, right, strict=True)) / len(found)
+    model.temperature, fitted = 1.0, model.temperature
+    assert loss(p) <= loss([model.predict(r.text) for r in held]) + 1e-9 or fitted == 1.0
+
+
+def test_ftrl_is_that_of_a_plain_one():
+    """The same rows in the same order, one coordinate at a time."""
+    r = np.random.default_rng(7)
+    rows = [(np.sort(r.choice(30, 6, replace=False)), r.random(6), int(r.integers(3))) for _ in range(40)]
+    alpha, beta, l1, l2, size, classes = 0.5, 1.0, 0.3, 0.01, 30, 3
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i, k):
+        return 0.0 if abs(z[i, k]) <= l1 else -(z[i, k] - math.copysign(l1, z[i, k])) / ((beta + math.sqrt(n[i, k])) / alpha + l2)
+
+    order = np.random.default_rng(5)
+    for _ in range(6):
+        for at in order.permutation(len(rows)):
+            i, x, y = rows[at]
+            pairs = [*zip(i.tolist(), x.tolist(), strict=True), (size, 1.0)]
+            w = {(f, k): weight(f, k) for f, _ in pairs for k in range(classes)}
+            logits = [sum(v * w[f, k] for f, v in pairs) for k in range(classes)]
+            e = [math.exp(s - max(logits)) for s in logits]
+            for f, v in pairs:
+                for k in range(classes):
+                    g = v * (e[k] / sum(e) - (k == y))
+                    step = (math.sqrt(n[f, k] + g * g) - math.sqrt(n[f, k])) / alpha
+                    z[f, k] += g - step * w[f, k]
+                    n[f, k] += g * g
+    got, bias = language_id.ftrl(rows, classes, size, l1=l1)
+    assert np.allclose(got, [[weight(i, k) for k in range(classes)] for i in range(size)]) and np.allclose(bias, [weight(size, k) for k in range(classes)])
+    assert (got == 0).any()
+
+
+def test_features_are_the_counts_of_plain_n_grams():
+    for t in ["ab, ab!", "Abc", "x", "É é", "zz zz zz", "a" * 50]:
+        a = " " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in t.lower())) + " "
+        own = Counter(a[i : i + n] for n in (1, 2, 3) for i in range(len(a) - n + 1))
+        found = Counter(np.concatenate(list(language_id.features(t))).tolist())
+        assert sorted(found.values()) == sorted(own.values())
+
+
+def test_learned_languages_and_samples_are_bounded(spark):
+    rows = [(i, f"text {chr(97 + i % 26) * 4}", f"l{i % 50:02}" if i % 3 else "common", "s", 0) for i in range(3000)]
+    df = spark.createDataFrame(rows * 2, DOCS).repartition(5)
+    model = language_id.train(df, per_language=4, most_languages=7)
+    assert len(model.languages) == 7 and "common" in model.languages
+    may = df.where(language_id.remainder(F.col("doc_id")) != 1).select("doc_id", "lang")
+    got = language_id.sample(may, 4, 7)
+    assert len(got) == len(set(got)) == 28
 
 
 def test_temperature_sharpens_and_softens():
@@ -341,6 +397,8 @@ def test_token_counts(messy, empty):
     r = random.Random(2)
     parts = ["a", "b", " ", "  ", "\n", "▁", "é", "中", "<s>", "1", "\x00", "😀", "the"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    texts_of = [len(x.encode()) for x in texts]
+    assert token_counts.sizes(texts) == texts_of and all(sum(texts_of[i : j - 1]) < 100 for i, j in token_counts.by_bytes(texts_of, 100))
     short = token_counts.PieceCounter(model, long=3)  # cuts wherever it may
     assert short.count(texts) == [len(x) for x in own.encode(texts)]
 
@@ -495,12 +553,21 @@ def test_members_of_many_records_lose_only_what_is_damaged(monkeypatch, step, le
     check(whole[:-200], [0, 1, 2, 3, 4])
 
 
-def test_archives_hold_a_bounded_number_of_records(spark, tmp_path):
-    pages = spark.range(10).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html")).coalesce(1)
+def test_archives_hold_bounded_bytes(spark, tmp_path):
+    r = random.Random(1)
+    pages = spark.createDataFrame([(i, "u", "".join(chr(r.randrange(33, 0x3000)) for _ in range(2000))) for i in range(60)], "page_id long, url string, html string").coalesce(1)
     path = f"file://{tmp_path}/archives"
-    warc.write_archives(pages, path, records_per_file=4)
-    rows = warc.read_archives(spark, path).groupBy("file").count().collect()
-    assert sum(r["count"] for r in rows) == 10 and max(r["count"] for r in rows) <= 4
+    warc.write_archives(pages, path, file_bytes=20_000)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    assert len(sizes) > 5 and max(sizes) < 30_000
+    assert warc.read_archives(spark, path).where("kind = 'record'").select("page_id").distinct().count() == 60
+
+
+def test_ids_of_any_kind(spark):
+    rows = [("a b>", "u", "same"), ("null", "u", "same"), ("é%0A\n", "u", "x"), (" ", "u", ""), ("", "u", "y"), (None, "u", "same"), ("zz", "u", "same")]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()}
+    assert got == {("a b>", "response", None), ("null", "revisit", "a b>"), ("é%0A\n", "response", None), (" ", "response", None), ("", "response", None), (None, "revisit", "a b>"), ("zz", "revisit", "a b>")}
 
 
 # ---- 7
@@ -541,9 +608,78 @@ def test_quality(spark, messy, empty):
     assert taken(quality.grade(labels), "doc_id", "grade") == [(1, 2), (2, 1), (3, 0)]
 
 
+def test_ordinal_fit_is_that_of_a_plain_one():
+    """The same rows in the same order; slopes of the log likelihood by differences."""
+    r = np.random.default_rng(3)
+    rows = [(np.sort(r.choice(12, 4, replace=False)), r.random(4), int(r.integers(3))) for _ in range(30)]
+    sig = lambda v: 1 / (1 + math.exp(-v))
+
+    def likelihood(score, free, y):
+        t = [free[0], free[0] + math.exp(free[1])]
+        p = [1.0, sig(score - t[0]), sig(score - t[1]), 0.0]
+        return math.log(p[y] - p[y + 1])
+
+    w, gw = defaultdict(float), defaultdict(lambda: 1e-4)
+    counts = [1 + sum(y == k for *_, y in rows) for k in range(3)]
+    upper = [1 - counts[0] / sum(counts), counts[2] / sum(counts)]
+    start = [-math.log(u / (1 - u)) for u in upper]
+    free, gf = [start[0], math.log(start[1] - start[0])], [1e-2, 1e-2]
+    order = np.random.default_rng(9)
+    for _ in range(8):
+        for at in order.permutation(len(rows)):
+            i, x, y = rows[at]
+            score, d = sum(v * w[f] for f, v in zip(i.tolist(), x.tolist(), strict=True)), 1e-5
+            slope = (likelihood(score + d, free, y) - likelihood(score - d, free, y)) / (2 * d)
+            df = [(likelihood(score, [f + d * (k == j) for k, f in enumerate(free)], y) - likelihood(score, [f - d * (k == j) for k, f in enumerate(free)], y)) / (2 * d) for j in range(2)]
+            for f, v in zip(i.tolist(), x.tolist(), strict=True):
+                g = slope * v - 1e-5 * w[f]
+                gw[f] += g * g
+                w[f] += 0.5 * g / math.sqrt(gw[f])
+            for j in range(2):
+                gf[j] += df[j] ** 2
+                free[j] += 0.1 * df[j] / math.sqrt(gf[j])
+    model = quality.fit(rows)
+    assert np.allclose(model.weights[:12], [w[k] for k in range(12)], atol=1e-4) and np.allclose(model.thresholds, [free[0], free[0] + math.exp(free[1])], atol=1e-4)
+
+
+def test_a_rated_id_in_many_rows_is_learned_from_once(spark):
+    docs = spark.createDataFrame([(1, f"text number {i}", "en", "s", 0) for i in range(50)] + [(2, "another one", "en", "s", 0)], DOCS)
+    rated = spark.createDataFrame([(1, 0), (2, 2), (2, 2)], "doc_id long, grade int")
+    seen = []
+    plain = quality.fit
+    try:
+        quality.fit = lambda rows: seen.extend(rows) or plain(rows)
+        quality.train(docs, rated)
+    finally:
+        quality.fit = plain
+    assert [y for *_, y in seen] == [0, 2, 2]
+
+
+def test_graded_likelihood_on_held_out_rows(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rated = quality.grade(labels)
+    model = quality.train(docs, rated.where("doc_id % 3 <> 1"))
+    held = docs.join(rated.where("doc_id % 3 = 1"), "doc_id").select("text", "grade").collect()
+    share = Counter(r.grade for r in held)
+    chance = -sum(n / len(held) * math.log(n / len(held)) for n in share.values())
+    p = [np.concatenate(([1.0], model.tails(r.text), [0.0])) for r in held]
+    assert -np.mean([math.log(max(t[r.grade] - t[r.grade + 1], 1e-9)) for t, r in zip(p, held, strict=True)]) < chance
+
+
 # ---- 9
 
 
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    own = packing.ByteEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert own.splits
+    file = public_tokenizers.path("word_bpe_49k.json")
+    other, library = packing.ByteEncoder(file), Tokenizer.from_file(file)
+    texts = ["Some Words, here", "", "a  b\n"]
+    assert not other.splits and [np.frombuffer(x, "<u4").tolist() for x in other.batch(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_packing(messy, empty):
     from tokenizers import Tokenizer
 

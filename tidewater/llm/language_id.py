@@ -6,23 +6,25 @@ to the text's length; document frequencies are counted over all learnable docume
 weights come from follow-the-regularised-leader (FTRL-proximal, per-coordinate rates,
 L1 and L2 penalties) on a bounded sample, ``per_language`` documents of each language
 with the least hash of their id; a fifth of the sample is kept apart to fit the temperature
-that calibrates the scores. Prediction reads whole texts.
+that calibrates the scores. The ``most_languages`` languages of most documents are learned, ties by
+code point, so the model's size is bounded by features times that. Prediction reads whole texts.
 
 Cases: a text that is null or has no letter is ``und`` with score 0, and so is every text if
 nothing can be learned from; ties go to the first language in code point order; repeated
-rows are predicted alike; null ids are never learned from (their remainder is null) and
+rows are predicted alike, and an id is learned from once; null ids are never learned from (their remainder is null) and
 are not held out; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, stored
@@ -125,18 +127,36 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def train(docs: DataFrame, per_language: int = 400) -> Model:
+def sample(may: DataFrame, per_language: int, most_languages: int) -> list[tuple]:
+    """Ids of ``per_language`` documents of each learned language, those of the least hash of their id.
+
+    Counts a language give the hash below which about 1.5 times as many lie (and all of them where
+    there are few), so no language is sorted or gathered; what lies below is cut to the number here.
+    """
+    counts = may.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages)
+    wanted = 1.5 * per_language + 50
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
+    below = may.join(F.broadcast(counts), "lang").where(place * F.col("n") <= wanted).groupBy("doc_id").agg(F.min("lang").alias("lang"))  # most_languages rows
+    rows = below.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).collect()
+    rows.sort(key=lambda r: (r["h"], str(r["doc_id"])))
+    taken: dict[str, list] = {}
+    for r in rows:
+        own = taken.setdefault(r["lang"], [])
+        if len(own) < per_language:
+            own.append(r["doc_id"])
+    return [x for own in taken.values() for x in own]
+
+
+def train(docs: DataFrame, per_language: int = 400, most_languages: int = 64) -> Model:
     """Learns from the documents whose remainder isn't 1, and of these from text and lang alone."""
     may = docs.select("doc_id", "text", "lang").where((remainder(F.col("doc_id")) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = may.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
-    wanted = {r["doc_id"] for r in chosen.select("doc_id").collect()}  # per_language a language
+    wanted = set(sample(may.select("doc_id", "lang"), per_language, most_languages))
     if not wanted:
         return Model([], np.zeros((1, 0)), np.zeros(0), 1.0)
     size = 1 << BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n_docs, seen = np.zeros(size, np.int32), 0, np.zeros(size, bool)
+        df, n_docs, seen, given = np.zeros(size, np.int32), 0, np.zeros(size, bool), set()
         for b in batches:
             out = []
             for doc_id, text, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -147,12 +167,13 @@ def train(docs: DataFrame, per_language: int = 400) -> Model:
                 seen[at] = False
                 df[at] += 1
                 n_docs += 1
-                if own and doc_id in wanted:
+                if own and doc_id in wanted and doc_id not in given:
+                    given.add(doc_id)
                     i, c = np.unique(np.concatenate(own), return_counts=True)
                     out.append((doc_id, lang, i.astype("<i4").tobytes(), (c / c.sum()).astype("<f4").tobytes()))
             if out:
                 yield _rows([(None, None, 0, *x) for x in out], b.schema.field("doc_id").type)
-        yield _rows([(k, x.astype("<i4").tobytes(), n_docs, None, None, None, None) for k, x in enumerate(df.reshape(BLOCKS, -1))], b.schema.field("doc_id").type if n_docs else pa.null())
+        yield _rows([(k, zlib.compress(x.astype("<i4").tobytes(), 1), n_docs, None, None, None, None) for k, x in enumerate(df.reshape(BLOCKS, -1))], b.schema.field("doc_id").type if n_docs else pa.null())
 
     kind = may.schema["doc_id"].dataType.simpleString()
     found = stored(may.mapInArrow(_guarded(run), f"block int, df binary, n_docs long, id {kind}, lang string, i binary, x binary"), "features")
@@ -161,7 +182,7 @@ def train(docs: DataFrame, per_language: int = 400) -> Model:
         total, n = np.zeros(size // BLOCKS, np.int64), 0
         for b in batches:
             for x, m in zip(b.column("df").to_pylist(), b.column("n_docs").to_pylist(), strict=True):
-                total += np.frombuffer(x, "<i4")
+                total += np.frombuffer(zlib.decompress(x), "<i4")
                 n += m
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary()), pa.array([n], pa.int64())], ["block", "df", "n_docs"])
 
@@ -170,11 +191,11 @@ def train(docs: DataFrame, per_language: int = 400) -> Model:
         at = size // BLOCKS
         df[r["block"] * at : (r["block"] + 1) * at], n_docs = np.frombuffer(r["df"], "<i8"), r["n_docs"]
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    sample = found.where("block IS NULL").select("id", "lang", "i", "x").dropDuplicates(["id"]).collect()
-    sample.sort(key=lambda r: (str(r["id"])))
-    languages = sorted({r["lang"] for r in sample})
+    learned = found.where("block IS NULL").groupBy("id").agg(F.min(F.struct("lang", "i", "x")).alias("f")).select("id", "f.*").collect()  # the sample
+    learned.sort(key=lambda r: (str(r["id"])))
+    languages = sorted({r["lang"] for r in learned})
     rows = []
-    for r in sample:
+    for r in learned:
         i = np.frombuffer(r["i"], "<i4").astype(np.int64)
         rows.append((i, np.frombuffer(r["x"], "<f4") * idf[i] * SCALE, languages.index(r["lang"])))
     apart, fit = rows[::5], [x for k, x in enumerate(rows) if k % 5]

@@ -18,6 +18,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from array import array
@@ -86,6 +87,19 @@ class Words(dict):
         return ids
 
 
+#: What a tokenizer's file must say for texts to be coded word by word; any other encodes whole texts by the library.
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": "", "end_of_word_suffix": "", "byte_fallback": False}
+
+
+def splits_words(tokenizer) -> bool:
+    """Whether words may be coded apart: byte-level pre-tokens by the usual pattern, no normaliser, and added tokens that stand for their strings alone."""
+    said = json.loads(tokenizer.to_str())
+    pre, model = said["pre_tokenizer"] or {}, said["model"]
+    added = all(not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in said["added_tokens"])
+    return said["normalizer"] is None and added and all(pre.get(k) == v for k, v in PRE_TOKENIZER.items()) and all((model.get(k) or v) == v for k, v in PLAIN_MODEL.items())
+
+
 class ByteEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, word by word where that is the same as at once."""
 
@@ -93,6 +107,7 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.splits = splits_words(self.tokenizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.heads = Words(self.tokenizer, "", remember // 4)
         self.words = Words(self.tokenizer, " ", remember, self.heads)
@@ -109,7 +124,7 @@ class ByteEncoder:
         return self.heads[first] + b"".join(map(self.words.__getitem__, rest))
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        return list(map(self.one, texts))
+        return list(map(self.one, texts)) if self.splits else self.encode(texts)
 
 
 @lru_cache(maxsize=2)
@@ -132,14 +147,14 @@ def pieces(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int, bat
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .token_counts import by_bytes
+        from .token_counts import by_bytes, sizes
 
         encode = encoder(tokenizer_file).batch
         for b in slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             row, piece, start, length, crc = [], [], [], [], []
             at = 0
-            for i, j in by_bytes(texts, batch_bytes):
+            for i, j in by_bytes(sizes(texts), batch_bytes):
                 for ids in encode(texts[i:j]):
                     ids += end
                     for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):

@@ -10,8 +10,8 @@ and each tail probability for selection.
 Grades of ``labels``: 0 toxic, 1 of low quality, 2 of good quality.
 
 Cases: a null or empty text has no features, so the thresholds alone speak; documents
-without ratings are scored like others; null or repeated ratings are dropped or count as
-often as they stand; without any rating every document has the even prior; null ids are
+without ratings are scored like others; null ratings are dropped, repeated ones count as
+often as they stand; of rows that repeat a rated id one text is learned from, the least in its features; without any rating every document has the even prior; null ids are
 scored; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -103,13 +103,16 @@ def train(docs: DataFrame, rated: DataFrame, sample: int = 4000) -> OrdinalModel
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [features(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())], ["doc_id", "grade", "i", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())], ["doc_id", "i", "x"])
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade")  # ``sample`` rows
+    chosen = chosen.groupBy("doc_id", "grade").agg(F.count("*").alias("times"))  # ``sample`` rows at most
+    ids = chosen.select("doc_id").distinct()
+    joined = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     kind = joined.schema["doc_id"].dataType.simpleString()
-    got = joined.mapInArrow(run, f"doc_id {kind}, grade int, i binary, x binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["grade"], r["i"]))
-    rows = [(np.frombuffer(r["i"], "<i4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(float), r["grade"]) for r in got]
+    found = joined.mapInArrow(run, f"doc_id {kind}, i binary, x binary").groupBy("doc_id").agg(F.min(F.struct("i", "x")).alias("f"))  # one text an id
+    got = found.join(chosen, "doc_id").select("doc_id", "grade", "times", "f.i", "f.x").collect()
+    got.sort(key=lambda r: (r["doc_id"], r["grade"]))
+    rows = [(np.frombuffer(r["i"], "<i4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(float), r["grade"]) for r in got for _ in range(r["times"])]
     return fit(rows)
 
 

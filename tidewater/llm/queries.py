@@ -117,6 +117,17 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(x) + CASE WHEN before IS NULL THEN length(r) + 7 WHEN before = role THEN 6 ELSE length(r) + 15 END) + 8 AS BIGINT) AS formatted_chars
 FROM m GROUP BY conv_id
+""",
+    "op6_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
+h AS (SELECT html, first, sha1(html) AS hex, octet_length(CAST(encode(html) AS BLOB)) AS payload_bytes FROM f)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([32768, 1024, 32, 1], lambda d:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(CAST('0x' || substr(hex, 5 * i + 1, 5) AS BIGINT) // d % 32 AS INTEGER) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p JOIN h USING (html)
 """,
     "op7_exact_dedup": f"""
 WITH n AS (SELECT doc_id, {_LOWER} AS norm FROM documents),

@@ -58,16 +58,21 @@ def counter(model_file: str) -> PieceCounter:
     return PieceCounter(model_file)
 
 
-def by_bytes(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    """Slices of about ``most`` characters each."""
+def sizes(texts: list[str]) -> list[int]:
+    """UTF-8 bytes of each text."""
+    return [len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts]
+
+
+def by_bytes(n_bytes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Slices of about ``most`` bytes each."""
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(n_bytes):
+        size += n
         if size >= most:
             yield start, i + 1
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(n_bytes):
+        yield start, len(n_bytes)
 
 
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, batch_bytes: int = 4 << 20) -> DataFrame:
@@ -77,8 +82,8 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, batch_byte
         count = counter(model_file).count
         for b in slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
-            n = [x for i, j in by_bytes(texts, batch_bytes) for x in count(texts[i:j])]
-            n_bytes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+            n_bytes = sizes(texts)
+            n = [x for i, j in by_bytes(n_bytes, batch_bytes) for x in count(texts[i:j])]
             n_tokens = pa.array(n, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_bytes, pa.int64()), n_tokens, pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -15,8 +15,11 @@ with the member's place, and logs the rest as gaps of that place. Of a member th
 a wrong checksum) what was inflated is read so too, if it holds more than one version line; records
 without a digest aren't given then, as nothing proves them. A member of one record stands or falls with its checksum.
 
+Files are cut by bytes (``file_bytes`` and one record more at most), as a reader holds one file at a time. Archives of
+others are read as Spark's binary files, of 2 GB at most each.
+
 Cases: null html is an empty payload, null url an empty one; a null page_id is written as such and
-read back as null; rows that repeat a page_id with the same payload are all responses if it is the
+read back as null, any other (numbers, strings, times) as its text; rows that repeat a page_id with the same payload are all responses if it is the
 least of the payload; an empty table gives an empty archive; other columns are ignored.
 """
 
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stored
+from .common import fresh_path, slices, stored
 
 VERSION, EMPTY_MEMBER = b"WARC/1.1\r\n", bytes.fromhex("1f8b08000000000000030300" + "00" * 8)
 MAGIC = b"\x1f\x8b\x08"
@@ -49,15 +52,19 @@ def digest(payload: bytes) -> str:
 
 
 def line(value: str | None) -> bytes:
-    """A header's value: control characters would end it, so they and % are percent-encoded."""
-    return re.sub(r"[\x00-\x1f\x7f%]", lambda m: f"%{ord(m[0]):02X}", value or "").encode("utf-8", "surrogatepass")
+    """A header's value: control characters and spaces would end it or be trimmed, so they and % are percent-encoded."""
+    return re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", value or "").encode("utf-8", "surrogatepass")
+
+
+def unline(value: bytes) -> str:
+    return re.sub(rb"%([0-9A-F]{2})", lambda m: bytes([int(m[1], 16)]), value).decode("utf-8", "replace")
 
 
 def record(kind: str, page_id, url: str | None, payload: bytes, size: int, sha1: str, refers_to) -> bytes:
     """One record. A revisit has the HTTP header alone; size and digest are those of the full payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http + (payload if kind == "response" else b"")
-    name = lambda x: b"<urn:page:%s>" % (b"null" if x is None else str(x).encode())
+    name = lambda x: b"<urn:null>" if x is None else b"<urn:page:%s>" % line(str(x))
     head = [
         (b"WARC-Type", kind.encode()),
         (b"WARC-Record-ID", name(page_id)),
@@ -89,20 +96,26 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return rows.join(shared, ["sha1", "size"], "left").select("page_id", "url", "html", "size", "sha1", F.when(F.col("first") < F.col("page_id"), F.col("first")).when(F.col("page_id").isNull(), F.col("first")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = 4096) -> None:
-    """Writes pages (page_id, url, html) as files of gzip members under ``path``. A file is read as a whole, so its records are bounded."""
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = 64 << 20) -> None:
+    """Writes pages (page_id, url, html) as files of gzip members under ``path``. A task begins a new file once one has ``file_bytes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
+        part, held = 0, 0
+        for b in slices(batches, 64):
+            out, parts = [], []
             for page_id, url, html, size, sha1, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 kind = "response" if refers is None else "revisit"
+                if held >= file_bytes:
+                    part, held = part + 1, 0
                 out.append(member(record(kind, page_id, url, payload, size, base64.b32encode(sha1).decode(), refers))[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                parts.append(part)
+                held += len(out[-1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(out, pa.binary())], ["part", "value"])
 
     plan = plan_records(pages, least_bytes).select("page_id", "url", "html", "size", "sha1", "refers_to")
-    plan.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", records_per_file).text(path)
+    found = plan.mapInArrow(run, "part int, value binary").select("part", F.col("value").cast("string").alias("value"))
+    found.write.option("lineSep", "\x00").partitionBy("part").text(path)
 
 
 class Bad(Exception):
@@ -257,8 +270,8 @@ def _damaged(start: int, end: int, records: list, reasons: list[str]) -> Iterato
 
 
 def _page(x: bytes | None) -> str | None:
-    m = re.fullmatch(rb"<urn:page:(-?\d+)>", x or b"")
-    return m[1].decode() if m else None
+    m = re.fullmatch(rb"<urn:page:(.*)>", x or b"", re.DOTALL)
+    return unline(m[1]) if m else None
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -266,7 +279,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file, data in zip(b.column("path"), b.column("content"), strict=True):
+            for file, data in zip(b.column("path"), b.column("content"), strict=True):  # a file at a time
                 rows, held = [], 0
                 for kind, start, end, x, block in salvage(data.as_py()):
                     if kind == "gap":
@@ -279,7 +292,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                     else:  # the full payload is elsewhere; the record tells its size and digest
                         m = re.search(rb"(?i)content-length: *(\d+)", http)
                         size, sha1 = int(m[1]) if m else None, x.get("warc-payload-digest", b"").decode("latin-1").removeprefix("sha1:")
-                    url = re.sub(rb"%([0-9A-F]{2})", lambda m: bytes([int(m[1], 16)]), x.get("warc-target-uri", b"")).decode("utf-8", "replace")
+                    url = unline(x.get("warc-target-uri", b""))
                     rows.append((kind, file.as_py(), start, end, None, _page(x.get("warc-record-id")), url, what, _page(x.get("warc-refers-to")), payload if payloads else None, size, sha1))
                     held += len(payload)
                     if held > 1 << 22:
