@@ -103,7 +103,7 @@ def leave_one(docs: DataFrame, mark: Column, gone: DataFrame, marks: DataFrame)
     marks: the mark of every row, at least of those that share it. The marks of most rows are broadcast, so none fills a task.
     """
     rows = docs.select(mark.alias("mark"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    gone = gone.select("mark").distinct()
+    gone = gone.select("mark").distinct().hint("merge")  # grows with docs: one plan at every size
     several = stored(marks.groupBy("mark").agg(F.count("*").alias("rows")).where("rows > 1"), "repeats")
     if several.isEmpty():
         return rows.join(gone, "mark", "left_anti").select("row.*")

@@ -56,7 +56,7 @@ WORDS = 5
 SKETCH_BITS, BLOCKS = 20, 256
 BITMAP_LONGS = 16
 #: Members of a block of a hub's and the bytes of their sets; two blocks are compared at a time.
-CELL, CELL_BYTES = 512, 4 << 20
+CELL, CELL_BYTES = 256, 4 << 20
 #: Lists of a cell above this length are counted as a matrix product, of so many lists at a time.
 LONG_LIST, COLUMNS = 32, 4096
 #: Rows of one list that one task may have to sort before it is salted.
@@ -364,7 +364,7 @@ def _repeats(docs: DataFrame) -> bool:
 
 
 def _members(shared: DataFrame, classes: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """hub and class (c, cb, rep, label lc and lcb, n, size, bits) of what lists of several labels hold.
+    """hub and class (c, cb, label lc and lcb, n, size, bits) of what lists of several labels hold.
 
     A list's hub is its least class. Classes that share a list share its hub, so it is enough to
     compare the members of each hub, once for all its lists; lists of a hub and one more class
@@ -372,13 +372,14 @@ def _members(shared: DataFrame, classes: DataFrame, labels: DataFrame, scratch:
     """
     dealt = shared.where("salt > 0").select("key", "c", "fc")
     parts = dealt.groupBy("key").agg(F.min("fc").alias("hub"))
-    rows = shared.where("salt = 0").select("key", "c", F.col("fc").alias("hub")).unionByName(join_salted(dealt, parts, ["key"], hot_keys(dealt, ["key"])).select("key", "c", "hub"))
+    hot = hot_keys(dealt, ["key"])  # lists that aren't in parts are of bounded length
+    rows = shared.where("salt = 0").select("key", "c", F.col("fc").alias("hub")).unionByName(join_salted(dealt, parts, ["key"], hot).select("key", "c", "hub"))
     of = classes.join(labels, classes["rep"] == labels["node"], "left").select("c", "cb", "rep", F.coalesce("label", "rep").alias("label"), "n", "size", "bits")
-    of = scratch.stored(of.select("c", "cb", "rep", F.col("label.c").alias("lc"), F.col("label.cb").alias("lcb"), "n", "size", "bits"), "of")
+    of = scratch.stored(of.select("c", "cb", F.col("label.c").alias("lc"), F.col("label.cb").alias("lcb"), "n", "size", "bits"), "of")
     edges = [F.min("lc").alias("x"), F.max("lc").alias("y"), F.min("lcb").alias("xb"), F.max("lcb").alias("yb")]
     lists = rows.join(of.select("c", "lc", "lcb"), "c").groupBy("key").agg(*edges, F.min(F.when(F.col("c") != F.col("hub"), F.col("c"))).alias("p"), F.max("c").alias("q"))
     mixed = scratch.stored(lists.where("(x <> y OR xb <> yb) AND p <> q").select("key"), "mixed")
-    members = join_salted(rows, mixed, ["key"], hot_keys(shared, ["key"])).select("hub", "c").distinct()
+    members = join_salted(rows, mixed, ["key"], hot).select("hub", "c").distinct()
     return scratch.stored(members.join(of, "c"), "members")
 
 
@@ -401,7 +402,7 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, scratch: S
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(within, F.col("others")).otherwise(F.col("others") + F.col("inside")) - 1)))
     met = met.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "cb", "n", "lc", "lcb", "bits")
     may = scratch.stored(met.groupBy("hub", "i", "j").applyInArrow(_possible_members, "hub long, i int, j int, c long, cb long"), "possible")
-    of = members.select("c", "cb", "rep", "lc", "lcb").dropDuplicates(["c", "cb"])
+    of = members.select("c", "cb", "lc", "lcb").dropDuplicates(["c", "cb"]).join(classes.select("c", "cb", "rep"), ["c", "cb"])
     cells = may.join(of, ["c", "cb"]).join(texts, ["c", "cb"]).select("hub", "i", "j", "rep", "lc", "lcb", "text")
     kind = classes.schema["rep"].dataType.simpleString()
     return cells.groupBy("hub", "i", "j").applyInArrow(_cell_links, f"u {kind}, v {kind}").distinct()
