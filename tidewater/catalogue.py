@@ -22,7 +22,11 @@ from .operators import ordered as O
 from .operators import pi, tracks
 from .operators.windowing import WindowSpec
 from .plans.sql import longest_word_udaf, run_sql, tokenize_udf
+from .session import STATE_STORE
 from .sources import readers, sinks
+from .streaming import processors as P
+from .streaming import windows as W
+from .streaming.panes import word_panes
 
 FLAGSHIP = "motivation_inner_join"
 HOUR = 3_600_000
@@ -435,3 +439,42 @@ def file_read_lines(spark, sf_dir):
     counts.write.parquet(kept)
     sinks.delete(spark, path)
     return spark.read.parquet(kept)
+
+
+# ---- streams over what is there: results up to the watermark, the greatest time
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, with the state store that stateful operators need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))  # a pattern, as the table may be one file
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS cnt FROM events WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(date_trunc('milliseconds', ts)) FROM events) GROUP BY ALL")
+def stream_tumbling_count(spark, sf_dir):
+    words = event_stream(spark, sf_dir).select("ts", F.col("event_type").alias("word"))
+    out = sinks.finished(W.word_counts(words, "1 day").select(F.col("window.start").alias("day"), F.col("word").alias("event_type"), "cnt"), "counts")
+    return out.select(ntz("day"), "event_type", "cnt")
+
+
+@query(f"""{_LEGS},
+u AS (SELECT *, unnest(range(ts0 // {HOUR}, (ts - 1) // {HOUR} + 1)) AS unit FROM g WHERE ts > ts0 AND ts < (SELECT max(epoch_us(ts) // 1000) FROM events)),
+m AS (SELECT *, greatest(ts0, unit * {HOUR}) AS started, least(ts, (unit + 1) * {HOUR}) AS ended FROM u)
+SELECT CAST(key AS VARCHAR) AS key, round(len * (ended - started) / (ts - ts0), 3) AS length, ended - started AS duration, make_timestamp(ended * 1000) AS ts FROM m""")
+def stream_to_metric(spark, sf_dir):
+    e = event_stream(spark, sf_dir)
+    p = e.select(F.col("user_id").cast("string").alias("key"), (F.col("value") * 0.001).alias("lat"), (F.col("event_id") % 1000 * 0.0001).alias("lon"), F.unix_millis("ts").alias("ts_ms"), "ts").withWatermark("ts", "0 seconds")
+    out = sinks.finished(P.to_metric_stream(p, unit_ms=HOUR), "pieces")
+    return out.select("key", F.round("length", 3).alias("length"), "duration", ntz("ts"))
+
+
+@query("""
+SELECT event_type AS key, time_bucket(INTERVAL 1 DAY, ts) AS started, max(date_trunc('milliseconds', ts)) AS stamp, count(*) AS cnt, max(struct_pack(n := length(word), word := word)).word AS longest
+FROM (SELECT event_type, ts, CAST(user_id AS VARCHAR) AS word FROM events)
+WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(date_trunc('milliseconds', ts)) FROM events) - INTERVAL 0 SECOND GROUP BY ALL
+""")
+def stream_panes(spark, sf_dir):
+    words = event_stream(spark, sf_dir).select(F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("word"), "ts")
+    out = sinks.finished(word_panes(words, WindowSpec("1 day", lateness="1 hour", stamp="latest")), "panes")
+    return out.where("pane = 'on_time'").select("key", ntz("start").alias("started"), ntz("stamp"), "cnt", "longest")

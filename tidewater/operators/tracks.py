@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import distance
 from .aggregates import pace
 from .ordered import BLOCK, HOT, HOT_ROWS, by, deal, neighbour
-from .windowing import WindowSpec
+from .windowing import WindowSpec, millis
 
 MINUTE = 60_000
 
@@ -80,6 +80,20 @@ def windowed_pace(metrics: DataFrame, spec: WindowSpec, key: str = "key") -> Dat
     return df.groupBy(key, "window").agg(pace().alias("pace")).select(key, F.col("window.end").alias("window_end"), "pace")
 
 
+def paces(metrics: DataFrame, short: str, long: str, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """(key, window_end, short_pace) and (key, window_end, long_pace). Where the long window is a multiple of the short one, it is summed from the short one's sums."""
+    size, n = millis(short), millis(long) // millis(short)
+    if millis(long) % size:
+        fast, slow = windowed_pace(metrics, WindowSpec(short), key), windowed_pace(metrics, WindowSpec(long, short), key)
+        return fast.withColumnRenamed("pace", "short_pace"), slow.withColumnRenamed("pace", "long_pace")
+    end = (F.floor(F.col("ts") / size) + 1) * size
+    sums = metrics.groupBy(key, end.alias("end")).agg(F.sum("length").alias("length"), F.sum("duration").alias("duration"))
+    at = F.timestamp_millis("end").alias("window_end")
+    fast = sums.select(key, at, F.try_divide(F.col("length") * 1000, F.col("duration")).alias("short_pace"))
+    spread = sums.withColumn("end", F.explode(F.sequence(F.col("end"), F.col("end") + (n - 1) * size, F.lit(size))))
+    return fast, spread.groupBy(key, at).agg(pace().alias("long_pace"))
+
+
 def lookup(df: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
     """df with the columns of the row of ``side`` at its key, or nulls; more than one row at a key is an error."""
     value = [c for c in side.columns if c not in on]
@@ -116,8 +130,7 @@ def alerts(metrics: DataFrame, short: str = "1 minute", long: str = "5 minutes",
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {STRATEGIES}")
     ends = [key, "window_end"]
-    fast = windowed_pace(metrics, WindowSpec(short), key).withColumnRenamed("pace", "short_pace")
-    slow = windowed_pace(metrics, WindowSpec(long, short), key).withColumnRenamed("pace", "long_pace")
+    fast, slow = paces(metrics, short, long, key)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     if strategy == "side_input":
         both = lookup(fast, slow, ends).withColumn("long_pace", zero("long_pace")).where("long_pace > 0")

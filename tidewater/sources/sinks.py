@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,16 @@ def tee(df: DataFrame, name: str, **measures: Column) -> DataFrame:
     return df.observe(name, *given)
 
 
+def finished(df: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over what is there now, in append mode, and gives its rows as a table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    writer = df.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
+    writer.start(path).awaitTermination()
+    delete(spark, f"{path}-state")
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; where spark.checkpoint.dir is unset, a temporary one if they are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
