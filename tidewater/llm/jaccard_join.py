@@ -347,7 +347,7 @@ def _named(docs: DataFrame, most_light: int) -> DataFrame:
 
 def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """c, cb, text of each class, fetched by its representative's id; where that id is repeated, the text must give the class."""
-    wanted = classes.select(F.col("rep.id").alias("_rep"), "c", "cb")
+    wanted = classes.select(F.col("rep.id").alias("_rep"), "c", "cb").hint("merge")  # grows with docs: one plan at every size
     rows = docs.join(wanted, docs["doc_id"] == wanted["_rep"]).select("text", "c", "cb")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,6 +401,8 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, scratch: S
     met = met.withColumn("block", F.when(within, F.col("others") + F.pmod(hash_, "inside")).otherwise(F.pmod(hash_, "others")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(within, F.col("others")).otherwise(F.col("others") + F.col("inside")) - 1)))
     met = met.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "cb", "n", "lc", "lcb", "bits")
+    # few bytes, much work: as many tasks as the cluster is set to, where adaptive execution would merge them by size
+    met = met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "hub", "i", "j")
     may = scratch.stored(met.groupBy("hub", "i", "j").applyInArrow(_possible_members, "hub long, i int, j int, c long, cb long"), "possible")
     of = members.select("c", "cb", "lc", "lcb").dropDuplicates(["c", "cb"]).join(classes.select("c", "cb", "rep"), ["c", "cb"])
     cells = may.join(of, ["c", "cb"]).join(texts, ["c", "cb"]).select("hub", "i", "j", "rep", "lc", "lcb", "text")
@@ -419,7 +421,7 @@ def _possible_members(cell: pa.Table) -> pa.Table:
     i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
     n, block = cell.column("n").to_numpy(), cell.column("block").to_numpy()
     label = _labels(cell)
-    bits = np.array(cell.column("bits").to_pylist(), np.int64).reshape(len(n), BITMAP_LONGS).view(U64)
+    bits = cell.column("bits").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(U64).reshape(len(n), BITMAP_LONGS)
     left = np.flatnonzero(block == i)
     right = left if i == j else np.flatnonzero(block == j)
     good = np.zeros(len(n), bool)
