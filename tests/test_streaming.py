@@ -221,6 +221,21 @@ def test_filters_keep_the_watermark(spark):
         q.stop()
 
 
+def test_decoders_move_the_watermark(spark):
+    """The greatest time of a good position less the delay; bad ones don't move it."""
+    batches = [[("", f"u\t1.0\t2.0\t{T0}")], [("", "u\tbad"), ("", f"v\t1.0\t2.0\t{T0 + 5000}")], [("", f"u\t1.0\tx\t{T0 + 10**9}")], [("", f"u\t1.0\t2.0\t{T0 + 1000}")]]
+    df = readers.positions_from_values(scripted(spark, "key string, value string", batches))
+    got = []
+    q = df.dropDuplicatesWithinWatermark(["key", "ts"]).writeStream.foreachBatch(lambda b, _: got.extend(b.collect())).start()
+    try:
+        q.processAllAvailable()
+        marks = [p["eventTime"].get("watermark") for p in q.recentProgress if p["eventTime"]]
+    finally:
+        q.stop()
+    assert datetime.fromisoformat(marks[-1].replace("Z", "+00:00")) == datetime.fromtimestamp((T0 + 4900) / 1000, UTC)
+    assert [r.key for r in got] == ["u", "v"]
+
+
 def test_tee_and_console(spark):
     df = words(spark, [("a", 0), ("b", 1)])
     teed = sinks.tee(df, "seen", words=F.count("*"), longest=F.max("word"))
