@@ -94,9 +94,9 @@ def _class_of(h: np.ndarray) -> tuple[int, int]:
 
 
 def _bitmap(h: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP_LONGS * 64, bool)
-    bits[(scramble(h) & U64(BITMAP_LONGS * 64 - 1)).astype(np.int64)] = True
-    return np.packbits(bits).view("<i8")
+    """Whether an odd number of elements falls on each bit: an element that only one of two sets has flips one bit of the difference, so large sets don't saturate it."""
+    places = (scramble(h) & U64(BITMAP_LONGS * 64 - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=BITMAP_LONGS * 64) & 1 == 1).view("<i8")
 
 
 def _sets(docs: DataFrame, most_light: int) -> DataFrame:
