@@ -20,4 +20,4 @@ def test_query_equals_sql(spark, sf, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")) == list(range(1, 11)) and "pipeline" in QUERIES
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")) == list(range(1, 14)) and "pipeline" in QUERIES

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, jaccard_join, language_id, mixing, packing, quality, token_counts, topk, warc
+from . import bpe, chat, collocations, exact_dedup, jaccard_join, language_id, mixing, packing, quality, resampling, token_counts, topk, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,13 +55,25 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), orders=1)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_sources, op3_language_id, op4_token_counts, op5_chat_format, op6_warc, op7_exact_dedup, op8_quality, op9_pack, op10_exact_top_k, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_mix_sources, op3_language_id, op4_token_counts, op5_chat_format, op6_warc, op7_exact_dedup, op8_quality, op9_pack, op10_exact_top_k, op11_bpe, op12_collocations, op13_resample, pipeline)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -141,5 +153,47 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 QUALIFY rank <= 5
+""",
+    "op13_resample": rf"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+), e AS (SELECT r, unnest(w) AS word FROM w),
+entries AS (
+  SELECT list(list_reduce(list_prepend(v, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY v) AS t FROM range(256) x(v)
+), words AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM e UNION SELECT word FROM b)),
+k AS MATERIALIZED (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(CAST(length(h) // 2 AS BIGINT)), lambda i: CAST(CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER) AS BIGINT))),
+    lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1])), 4294967295) % 10000 AS bucket FROM words, entries
+), s AS (SELECT bucket, count(*) AS s FROM e JOIN k USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (word) GROUP BY bucket),
+g AS MATERIALIZED (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * (coalesce((SELECT sum(s) FROM s), 0) + 10000) / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * (coalesce((SELECT sum(t) FROM t), 0) + 10000)))) AS BIGINT) AS gain
+  FROM (SELECT DISTINCT bucket FROM k) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)
+), f AS (SELECT r, count(*) AS n_features, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM e JOIN k USING (word) JOIN g USING (bucket) GROUP BY r),
+d AS (
+  SELECT doc_id, r, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN f USING (r)
+), c AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, n_features, weight) AS place, 10 * count(*) OVER () // 100 AS drawn FROM c WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM c LEFT JOIN o USING (r)
+""",
+    "op12_collocations": rf"""
+WITH p AS MATERIALIZED (
+  SELECT row_number() OVER () AS piece, lang, regexp_extract_all(x, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS x FROM documents)
+), g AS (
+  SELECT lang, k, w[i : i + k - 1] AS ws FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 5) t(k) WHERE len(w) >= k)
+), f AS MATERIALIZED (SELECT lang, ws, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, ws, f AS a FROM f WHERE len(ws) > 1),
+i AS (SELECT lang, ws[i : i + k - 1] AS ws, max(a) AS a FROM (SELECT lang, ws, a, k, unnest(range(1, len(ws) - k + 2)) AS i FROM c, range(2, 4) t(k) WHERE len(ws) > k) GROUP BY ALL),
+l AS (SELECT c.* FROM c LEFT JOIN i USING (lang, ws) WHERE i.a IS NULL OR 100 * i.a < 80 * c.a),
+s AS (
+  SELECT x.lang, x.ws, x.a, y.f AS l, z.f AS r, x.k, CAST((2000000::HUGEINT * x.a) // (y.f + z.f) AS BIGINT) AS score
+  FROM (SELECT lang, ws, a, unnest(range(1, len(ws))) AS k FROM l) x JOIN f y ON y.lang = x.lang AND y.ws = x.ws[1 : x.k] JOIN f z ON z.lang = x.lang AND z.ws = x.ws[x.k + 1 :]
+), b AS (SELECT lang, ws, a, unnest(min(struct_pack(score, k, l, r))) FROM s GROUP BY lang, ws, a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ws, ' ')) AS rank, array_to_string(ws, ' ') AS phrase, a, l, r, n, score
+FROM b JOIN n USING (lang) QUALIFY rank <= 2000
 """,
 }
