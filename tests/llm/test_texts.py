@@ -62,7 +62,7 @@ def test_bpe_of_any_text(parts):
     text, t = "".join(parts), Tokenizer.from_file(FILE)
     got = np.frombuffer(bpe.codec(FILE).encode(text), np.int32).tolist()
     want = t.encode(text, add_special_tokens=False).ids
-    assert got == want and bpe.codec(FILE).decode(got) == t.decode(want, skip_special_tokens=False)
+    assert got == want and bpe.decoded(got, FILE) == t.decode(want, skip_special_tokens=False)
 
 
 def test_bpe_of_long_words(library):
@@ -95,7 +95,7 @@ def test_prefixes_of_random_vocabularies():
                 tokens.append(pair[0] + pair[1])
         vocab = {t: i for i, t in enumerate(tokens)}
         c = object.__new__(bpe.Codec)
-        c.merges, c.suffix, c.names, c.pairs, c.automaton = bpe.Merges(vocab, merges, ""), "", tokens, {}, ahocorasick.Automaton()
+        c.merges, c.suffix, c.base, c.pairs, c.automaton = bpe.Merges(vocab, merges, ""), "", len(tokens), {}, ahocorasick.Automaton()
         c.length = [len(t) if c._whole(i) else 0 for i, t in enumerate(tokens)]
         for t, i in vocab.items():
             if c.length[i]:

@@ -43,7 +43,7 @@ NORMALISED, CUT = {"NFC", "Lowercase", "Replace"}, {"Split", "ByteLevel"}
 #: Stands for the end-of-word sign in the automaton; byte-level symbols never are this.
 END = "\0"
 #: Chunks and pairs of tokens whose results a worker keeps, and the longest chunk that it keeps.
-MOST_CHUNKS, MOST_PAIRS, LONGEST = 400_000, 1 << 20, 32
+MOST_CHUNKS, MOST_PAIRS, LONGEST = 150_000, 250_000, 32
 
 
 class Merges:
@@ -98,10 +98,8 @@ class Codec:
         self.any_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         vocab: dict[str, int] = model["vocab"]
         self.merges = Merges(vocab, model["merges"], self.suffix)
-        self.names: list[str | None] = [None] * (max([*vocab.values(), *self.special.values()]) + 1)
-        for name, i in (*vocab.items(), *self.special.items()):
-            self.names[i] = name
-        self.length, self.automaton = [0] * len(self.names), ahocorasick.Automaton()
+        self.base = max([*vocab.values(), *self.special.values()]) + 1
+        self.length, self.automaton = [0] * self.base, ahocorasick.Automaton()
         for name, i in vocab.items():
             if self._whole(i):
                 form = name[: -len(self.suffix)] + END if self.suffix and name.endswith(self.suffix) else name
@@ -126,7 +124,7 @@ class Codec:
     def word(self, word: str) -> list[int]:
         """The ids of a word of byte-level symbols."""
         text = word + END if self.suffix else word
-        last, length, pairs, base, most = [-1] * (len(text) + 1), self.length, self.pairs, len(self.names), MOST_PAIRS
+        last, length, pairs, base, most = [-1] * (len(text) + 1), self.length, self.pairs, self.base, MOST_PAIRS
         for end, token in self.automaton.iter(text):
             if last[end + 1] < 0:
                 before = end + 1 - length[token]
@@ -175,10 +173,6 @@ class Codec:
         known, chunk = self.chunks.get, self.chunk
         return b"".join([known(c) or chunk(c) for c in CHUNK.findall(text)])
 
-    def decode(self, ids: list[int]) -> str:
-        """As a library without a decoder does: tokens with spaces between."""
-        return " ".join([self.names[i] for i in ids])
-
 
 def _ascii_cut(file: dict) -> re.Pattern | None:
     """The file's pattern for words as it is for printable ASCII without white space, whose symbols stand for themselves; None if the file's steps are other ones."""
@@ -205,6 +199,26 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@lru_cache(maxsize=2)
+def names(path: str) -> list[str | None]:
+    """The token of each id."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    if file["decoder"]:
+        raise ValueError(f"{path} has a decoder of its own")
+    every = {**file["model"]["vocab"], **{t["content"]: t["id"] for t in file["added_tokens"]}}
+    out: list[str | None] = [None] * (max(every.values()) + 1)
+    for name, i in every.items():
+        out[i] = name
+    return out
+
+
+def decoded(ids: list[int], path: str) -> str:
+    """As a library without a decoder does: tokens with spaces between."""
+    known = names(path)
+    return " ".join([known[i] for i in ids])
+
+
 def encode(docs: DataFrame, path: str, batch_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, ids of every row. path: a tokenizer's file, at that place on each executor."""
 
@@ -227,8 +241,8 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
-        c = codec(path)
-        return pa.array([None if x is None else c.decode(x.tolist() if isinstance(x, np.ndarray) else x) for x in column.to_pylist()], pa.string())
+        rows = (column.slice(i, 1)[0].as_py() for i in range(len(column)))  # one row's ids as objects at a time
+        return pa.array([None if x is None else decoded(x, path) for x in rows], pa.string())
 
     return run(ids)
 
