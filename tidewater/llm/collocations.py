@@ -5,11 +5,11 @@ for each of its words the sorted positions where it stands (a place between piec
 a piece differ by one). Phrases don't cross documents, so every list is joined within its block, and
 a phrase's frequency is the summed length of its lists in all blocks.
 
-Levels. Words that stand at least ``least`` times over all keep their lists. The list of a phrase of k + 1 words is the merge join
-of the positions of a frequent phrase of k words with the postings of the word after it, of which only places are kept where the
-phrase's last k words are frequent too. A block gives the lengths of its lists; a window over each phrase sums them and hands
-the frequent ones back to the blocks that have them, for the next level. A phrase has one row a block there at most, so
-none is more than a fair share of the exchange: a block holds ``block_words`` words.
+Levels. Words that stand at least ``least`` times over all keep their lists. The list of a pair is the merge join of a frequent word's
+positions with the postings of the word after it, and the list of a longer phrase that of the phrase without its last word with the
+list of the frequent pair at its end; so blocks are visited twice, whatever the phrases' lengths. A visit gives the
+lengths of the lists; a window over each phrase sums them and hands the frequent pairs back to the blocks that have
+them. A phrase has one row a block there at most, so none is more than a fair share of the exchange: a block holds ``block_words`` words.
 
 Words are told apart by where they are first met (block and place in its vocabulary), which is unique, not by a hash.
 
@@ -76,11 +76,12 @@ def packed(positions: np.ndarray, counts: np.ndarray) -> bytes:
     steps = np.diff(positions, prepend=np.int32(0))
     starts = np.cumsum(counts) - counts
     steps[starts] = positions[starts]
-    return zlib.compress(steps.astype("<i4").tobytes(), 1)
+    return zlib.compress(steps.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)  # the high bytes, mostly 0, stand together
 
 
 def unpacked(data: bytes, counts: np.ndarray) -> np.ndarray:
-    steps = np.frombuffer(zlib.decompress(data), "<i4").astype(np.int64)
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    steps = np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
     total, starts = np.cumsum(steps), np.cumsum(counts) - counts
     return total - np.repeat(total[starts] - steps[starts], counts)
 
@@ -149,26 +150,47 @@ class Block:
         hit = self.at[near] == at + k
         return at[hit], phrase[hit], self.word[near[hit]]
 
-    def phrases(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted positions of the phrases ``known`` (a row of word ids each), and which ones they are."""
-        at, number = self.at, self.word
-        rows = np.searchsorted(self.ids, known)
-        prefixes = rows[:, 0]
-        for k in range(1, known.shape[1]):
-            wanted, prefixes = np.unique(prefixes * len(self.ids) + rows[:, k], return_inverse=True)
-            at, before, word = self.extend(at, number, k)
-            key = before * len(self.ids) + word
-            place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-            good = wanted[place] == key
-            at, number = at[good], place[good]
-        last = np.empty(len(known), np.int64)
-        last[prefixes] = np.arange(len(known))
-        return at, last[number]
-
-
-def _counted(block: int, ids: np.ndarray, columns: list[np.ndarray], count: np.ndarray) -> pa.RecordBatch:
-    names = [f"w{i}" for i in range(1, len(columns) + 1)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(count), block, np.int64)), *(pa.array(ids[c]) for c in columns), pa.array(count.astype(np.int32))], ["block", *names, "n"])
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted positions where a word has a neighbour, and a number for each pair."""
+        at, first, second = self.extend(self.at, self.word, 1)
+        return at, first * len(self.ids) + second
+
+    def chains(self, known: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 3 to ``longest`` words, the phrases all of whose pairs are ``known`` (a row of two word ids each), as places in ``ids``, and their lists' lengths."""
+        rows, size = np.searchsorted(self.ids, known), len(self.ids)
+        order = np.argsort(rows[:, 0] * size + rows[:, 1])
+        rows = rows[order]
+        wanted = rows[:, 0] * size + rows[:, 1]
+        at, key = self.pairs()
+        number = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+        good = wanted[number] == key
+        at, number = at[good], number[good]
+        where, phrase, words = at, number, rows
+        for k in range(3, longest + 1):  # merge join with the lists of the pairs k - 2 places on
+            near = np.searchsorted(at, where + k - 2)
+            near[near == len(at)] = 0
+            hit = at[near] == where + k - 2
+            where, last = where[hit], rows[number[near[hit]], 1]
+            key, phrase, count = np.unique(phrase[hit] * size + last, return_inverse=True, return_counts=True)
+            if not len(key):
+                return
+            words = np.column_stack((words[key // size], key % size))
+            yield words, count
+
+
+def _counted(block: int, words: np.ndarray, count: np.ndarray, longest: int) -> pa.RecordBatch:
+    """words: a row of word ids for each phrase."""
+    n, k = words.shape
+    columns = [pa.array(words[:, i]) if i < k else pa.nulls(n, pa.int64()) for i in range(longest)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int64)), *columns, pa.array(count.astype(np.int32))], ["block", *_words(longest), "n"])
+
+
+def _words(longest: int) -> list[str]:
+    return [f"w{i}" for i in range(1, longest + 1)]
+
+
+def _kind(longest: int) -> str:
+    return ", ".join(["block long", *(f"{w} long" for w in _words(longest)), "n int"])
 
 
 def _pairs(lists: DataFrame) -> DataFrame:
@@ -179,32 +201,32 @@ def _pairs(lists: DataFrame) -> DataFrame:
             for x in range(batch.num_rows):
                 block, *parts = (batch.column(c)[x].as_py() for c in ("block", "ids", "counts", "positions"))
                 b = Block(*parts)
-                _, first, second = b.extend(b.at, b.word, 1)
-                key, count = np.unique(first * len(b.ids) + second, return_counts=True)
-                yield _counted(block, b.ids, [key // len(b.ids), key % len(b.ids)], count)
+                key, count = np.unique(b.pairs()[1], return_counts=True)
+                if len(key):
+                    yield _counted(block, np.column_stack((b.ids[key // len(b.ids)], b.ids[key % len(b.ids)])), count, 2)
 
-    return lists.mapInArrow(run, "block long, w1 long, w2 long, n int")
+    return lists.mapInArrow(run, _kind(2))
 
 
-def _longer(lists: DataFrame, frequent: DataFrame, k: int) -> DataFrame:
-    """block, w1 to w(k+1), n: lengths of the lists of phrases whose first and last k words are among the frequent ones of a block (block, w1 to wk)."""
-    words = [f"w{i}" for i in range(1, k + 2)]
-    kinds = pa.schema([("block", pa.int64()), *((w, pa.int64()) for w in words), ("n", pa.int32())])
+def _longer(lists: DataFrame, pairs: DataFrame, longest: int) -> DataFrame:
+    """block, w1 to w(longest) (null beyond a phrase's end), n: lengths of the lists of phrases of 3 words and more, all of whose pairs are among a block's frequent ones (block, w1, w2)."""
 
     def run(x: pa.Table, f: pa.Table) -> pa.Table:
-        if not x.num_rows or not f.num_rows:
-            return kinds.empty_table()
-        b = Block(*(x.column(c)[0].as_py() for c in ("ids", "counts", "positions")))
-        known = np.stack([f.column(w).to_numpy() for w in words[:-1]], 1)
-        at, phrase = b.phrases(known)
-        start, first, last = b.extend(at, phrase, k)
-        both = np.isin(start + 1, at, assume_unique=True)  # the last k words stand there as a frequent phrase
-        key, count = np.unique(first[both] * len(b.ids) + last[both], return_counts=True)
-        rows = np.searchsorted(b.ids, known)
-        head = rows[key // len(b.ids)]
-        return pa.Table.from_batches([_counted(x.column("block")[0].as_py(), b.ids, [*head.T, key % len(b.ids)], count)])
+        out = []
+        if x.num_rows and f.num_rows:
+            b = Block(*(x.column(c)[0].as_py() for c in ("ids", "counts", "positions")))
+            known = np.column_stack((f.column("w1").to_numpy(), f.column("w2").to_numpy()))
+            out = [_counted(x.column("block")[0].as_py(), b.ids[words], count, longest) for words, count in b.chains(known, longest)]
+        kinds = pa.schema([("block", pa.int64()), *((w, pa.int64()) for w in _words(longest)), ("n", pa.int32())])
+        return pa.Table.from_batches(out, kinds)
+
+    return lists.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(run, _kind(longest))
+
 
-    return lists.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(run, ", ".join(["block long", *(f"{w} long" for w in words), "n int"]))
+def _frequent(counted: DataFrame, ws: list[str], least: int) -> DataFrame:
+    """The rows of phrases whose lists have ``least`` places over all blocks, with their frequency f and the first block that has them."""
+    same = Window.partitionBy(*ws)
+    return counted.select("block", *ws, F.sum(F.col("n").cast("long")).over(same).alias("f"), F.min("block").over(same).alias("first")).where(F.col("f") >= least)
 
 
 def phrases(docs: DataFrame, scratch: Scratch, longest: int, least: int, block_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -218,15 +240,12 @@ def phrases(docs: DataFrame, scratch: Scratch, longest: int, least: int, block_w
     vocabulary = each.where("number = id").select("id", "lang", "word", "f")
     found = [vocabulary.select(F.array("id").alias("ws"), "f")]
     short = scratch.stored(_kept(lists, each.select("block", "place", "id")), "short")
-    counted = _pairs(short)
-    for k in range(2, longest + 1):
-        ws = [f"w{i}" for i in range(1, k + 1)]
-        same = Window.partitionBy(*ws)
-        counted = counted.select("*", F.sum(F.col("n").cast("long")).over(same).alias("f"), F.min("block").over(same).alias("first"))
-        frequent = scratch.stored(counted.where(F.col("f") >= least), f"phrases{k}")
-        found.append(frequent.where("block = first").select(F.array(*ws).alias("ws"), "f"))
-        if k < longest:
-            counted = _longer(short, frequent.select("block", *ws), k)
+    pairs = scratch.stored(_frequent(_pairs(short), _words(2), least), "pairs")
+    found.append(pairs.where("block = first").select(F.array("w1", "w2").alias("ws"), "f"))
+    if longest > 2:
+        ws = _words(longest)
+        longer = _frequent(_longer(short, pairs.select("block", "w1", "w2"), longest), ws, least)
+        found.append(longer.where("block = first").select(F.array_compact(F.array(*ws)).alias("ws"), "f"))
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
