@@ -252,7 +252,7 @@ def phrases(docs: DataFrame, scratch: Scratch, longest: int, least: int, block_w
     return vocabulary, scratch.stored(every, "every"), lists.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def collocations(docs: DataFrame, longest: int = 4, least: int = 30, most: int = 2000, inside_percent: int = 80, scale: int = 2_000_000, block_words: int = 1 << 22) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = 4, least: int = 30, most: int = 2000, inside_percent: int = 80, scale: int = 2_000_000, block_words: int = 1 << 21) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's best phrases."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     vocabulary, every, sizes = phrases(docs, scratch, longest, least, block_words)
