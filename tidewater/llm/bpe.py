@@ -42,8 +42,8 @@ CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
 NORMALISED, CUT = {"NFC", "Lowercase", "Replace"}, {"Split", "ByteLevel"}
 #: Stands for the end-of-word sign in the automaton; byte-level symbols never are this.
 END = "\0"
-#: Chunks and pairs of tokens whose results a worker keeps, and the longest chunk that it keeps.
-MOST_CHUNKS, MOST_PAIRS, LONGEST = 150_000, 250_000, 32
+#: Chunks (in each generation) and pairs of tokens whose results a worker keeps, and the longest chunk that it keeps.
+MOST_CHUNKS, MOST_PAIRS, LONGEST = 100_000, 250_000, 32
 
 
 class Merges:
@@ -76,6 +76,27 @@ class Merges:
                 return True
 
 
+class Memo(dict):
+    """Results of short strings in two generations: when the newer one is full it becomes the older one, of which only what is asked for again stays."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def earlier(self, key: str) -> bytes | None:
+        found = self.old.get(key)
+        if found is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(key) <= LONGEST:
+            if len(self) >= MOST_CHUNKS:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+
+
 class Codec:
     """Encodes and decodes by a tokenizer's file."""
 
@@ -107,8 +128,7 @@ class Codec:
                 self.automaton.add_word(form, i)
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = Memo(), Memo()
 
     def _whole(self, token: int) -> bool:
         """Whether the token's own text is encoded as this token."""
@@ -153,19 +173,22 @@ class Codec:
 
     def chunk(self, chunk: str) -> bytes:
         """The ids of what stands between white space, as 32-bit integers."""
+        known = self.chunks.earlier(chunk)
+        if known is not None:
+            return known
         out: list[bytes] = []
         for i, part in enumerate(self.any_special.split(chunk) if self.any_special else [chunk]):
             if i % 2:
                 out.append(array("i", [self.special[part]]).tobytes())
             elif part:
                 for word in self._words(part):
-                    ids = self.words.get(word)
+                    ids = self.words.get(word) or self.words.earlier(word)
                     if ids is None:
                         ids = array("i", self.word(word)).tobytes()
-                        _keep(self.words, word, ids)
+                        self.words.keep(word, ids)
                     out.append(ids)
         ids = out[0] if len(out) == 1 else b"".join(out)
-        _keep(self.chunks, chunk, ids)
+        self.chunks.keep(chunk, ids)
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -187,13 +210,6 @@ def _ascii_cut(file: dict) -> re.Pattern | None:
     return re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9"), re.ASCII)
 
 
-def _keep(known: dict, key: str, value) -> None:
-    if len(key) <= LONGEST:
-        if len(known) >= MOST_CHUNKS:
-            known.clear()
-        known[key] = value
-
-
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -241,8 +257,9 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
-        rows = (column.slice(i, 1)[0].as_py() for i in range(len(column)))  # one row's ids as objects at a time
-        return pa.array([None if x is None else decoded(x, path) for x in rows], pa.string())
+        at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        good = column.is_valid().to_numpy(zero_copy_only=False)
+        return pa.array([decoded(values[at[i] : at[i + 1]].tolist(), path) if good[i] else None for i in range(len(column))], pa.string())
 
     return run(ids)
 
