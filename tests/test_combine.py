@@ -1,0 +1,117 @@
+"""Aggregates of one's own, and joins of times with intervals, against plain versions."""
+
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewater.operators import changelog_join as C
+from tidewater.operators import combine as X
+from tidewater.operators import interval_join as I
+
+
+def plain(rows, fn):
+    """rows: (key, *inputs); element by element."""
+    states = {}
+    for key, *inputs in rows:
+        one = [np.array([x], object) if isinstance(x, str) or x is None else np.array([x]) for x in inputs]
+        states[key] = fn.add(states.get(key, fn.create()), *one)
+    return {k: fn.extract(s) for k, s in states.items()}
+
+
+@pytest.fixture(scope="module")
+def words(spark):
+    r = random.Random(1)
+    rows = [(r.choice(["hot", "hot", "a", "b", None]), r.choice(["x", "yy", "zzz", "É", "", None])) for _ in range(4000)]
+    return rows, spark.createDataFrame(rows, "key string, word string").repartition(7)
+
+
+@pytest.mark.parametrize("fn", [X.Count(), X.MeanLength(), X.Longest()])
+@pytest.mark.parametrize("rounds", [(), (2,), X.ROUNDS])
+def test_combine_equals_plain(words, fn, rounds):
+    rows, df = words
+    got = {r.key: r.out for r in X.combine(df, ["key"], fn, ["word"], "out", rounds).collect()}
+    assert got == plain(rows, fn)
+
+
+def test_keys_of_several_columns_and_kinds(spark):
+    df = spark.range(2000).select((F.col("id") % 3).alias("k"), F.timestamp_millis(F.col("id") % 5 * 1000).alias("t"), F.when(F.col("id") % 7 > 0, F.col("id") * 0.5).alias("length"), F.lit(500).alias("duration"))
+    got = X.combine(df, ["k", "t"], X.Pace(), ["length", "duration"], "pace")
+    want = df.groupBy("k", "t").agg((F.sum("length") * 1000 / F.sum("duration")).alias("pace"))
+    assert sorted((r.k, r.t, round(r.pace, 6)) for r in got.collect()) == sorted((r.k, r.t, round(r.pace, 6)) for r in want.collect())
+
+
+def test_rows_of_a_hot_key_never_meet(spark):
+    """Each task has one state of the key, before any exchange; parts of a round have few states each."""
+    df = spark.range(0, 100_000, 1, 40).select(F.lit("hot").alias("key"), F.col("id").cast("string").alias("word"))
+    states = X.partials(df, ["key"], X.Count(), ["word"])
+    assert [r[X.STATE].n for r in states.collect()] == [2500] * 40
+    assert "Exchange" not in states._jdf.queryExecution().executedPlan().toString()
+    first = states.withColumn(X.ORIGIN, F.pmod(X.ORIGIN, F.lit(8))).groupBy("key", X.ORIGIN).count().collect()
+    assert max(r["count"] for r in first) == 5
+    assert X.combine(df, ["key"], X.Count(), ["word"], "n", (8, 2)).collect()[0].n == 100_000
+
+
+def test_states_given_out_in_between(spark):
+    df = spark.range(0, 5000, 1, 2).select((F.col("id") % 700).alias("key"), F.lit("w").alias("word"))
+    assert X.partials(df, ["key"], X.Count(), ["word"], most_keys=100).count() >= 1400
+    assert sum(r.n for r in X.combine(df, ["key"], X.Count(), ["word"], "n").collect()) == 5000
+
+
+@pytest.mark.parametrize("rounds", [(), (3, 2)])
+def test_without_keys(spark, words, rounds):
+    rows, df = words
+    of = lambda d, **more: [r.out for r in X.combine(d, [], X.Longest(), ["word"], "out", rounds, **more).collect()]
+    assert of(df) == ["zzz"] and of(df, default=True) == ["zzz"]
+    assert of(df.limit(0)) == [] and of(df.limit(0), default=True) == [None]
+    assert np.isnan(X.combine(df.limit(0), [], X.MeanLength(), ["word"], "out", default=True).first().out)
+    assert X.combine(df.limit(0), ["key"], X.Count(), ["word"], "out").collect() == []
+
+
+# ---- intervals
+
+T = 1_700_000_000
+
+
+@pytest.mark.parametrize(("low", "high"), [(0, 0), (0, 7), (1, 6), (3, 3), (5, 12), (1, 14), (7, 8), (9, 4), (0, 100_000), (12_345, 99_999)])
+def test_aligned_intervals_cover_once(spark, low, high):
+    df = spark.createDataFrame([(low, high)], "a long, b long")
+    got = df.select(F.explode(I.cover(F.col("a"), F.col("b"), F.lit(17))).alias("x")).select("x.*").collect()
+    cells = sorted(c for r in got for c in range(r.node << r.level, (r.node + 1) << r.level)) if high - low < 200 else None
+    assert cells is None or cells == list(range(low, high + 1))
+    assert sum(1 << r.level for r in got) == max(high - low + 1, 0) and len(got) <= 2 * 17
+    held = spark.createDataFrame([(c,) for c in (low, (low + high) // 2, high)], "c long").select("c", F.explode(I.ancestors(F.col("c"), F.lit(17))).alias("x")).select("c", "x.*").collect()
+    for c in {low, (low + high) // 2, high}:
+        assert len({(r.level, r.node) for r in got} & {(r.level, r.node) for r in held if r.c == c}) == (low <= c <= high)
+
+
+@pytest.mark.parametrize(("cell_s", "grid"), [(3600, 4096), (60, 3), (86_400, 7)])
+def test_times_in_intervals(spark, cell_s, grid):
+    r = random.Random(7)
+    times = [(r.choice("ab"), i, T + r.randrange(10**6)) for i in range(150)] + [("c", 999, T), ("hot", 1000, T + 5)]
+    spans = [(r.choice("ab"), i, (s := T + r.randrange(-(10**5), 10**6)), None if r.random() < 0.1 else s + r.choice([0, 1, 100, 10**4, 10**7, -5])) for i in range(150)]
+    ts = lambda c: F.timestamp_seconds(c).alias(c)
+    left = spark.createDataFrame(times, "k string, i long, at long").select("k", "i", ts("at"))
+    right = spark.createDataFrame(spans, "k string, j long, s long, e long").select("k", "j", ts("s"), ts("e"))
+    got = sorted((x.k, x.i, x.j) for x in I.stab(left, right, ["k"], "at", "s", "e", cell_s, grid).collect())
+    assert got == sorted((k, i, j) for k, i, at in times for m, j, s, e in spans if k == m and s <= at and (e is None or at < e))
+    assert I.stab(left.limit(0), right, ["k"], "at", "s", "e", cell_s, grid).count() == 0
+    assert I.stab(left, right.limit(0), ["k"], "at", "s", "e", cell_s, grid).count() == 0
+
+
+def test_one_key_and_a_version_of_ten_years(spark):
+    """A version that holds for ten years has few rows, and one key's pairs are dealt out."""
+    hour = 3600
+    left = spark.createDataFrame([("l", "K", "v", T), ("l", "K", "w", T + 10 * 365 * 24 * hour)], "pk string, join_key string, value string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    right = spark.range(3000).select(F.concat(F.lit("r"), F.col("id") % 50).alias("pk"), F.lit("K").alias("join_key"), F.col("id").cast("string").alias("value"), F.timestamp_seconds(T + F.col("id") * 29 * hour).alias("ts"))
+    span = C.versions(left).where("end IS NOT NULL").select(F.explode(I.cover(F.lit(0), F.unix_seconds("end") / hour - F.unix_seconds("start") / hour, F.lit(17))))
+    assert 0 < span.count() <= 34
+    got = defaultdict(int)
+    for r in C.changelog_join(left, right, hour).collect():
+        got[r.sign, r.left_value] += 1
+    want = defaultdict(int)
+    for r in C.changelog_join(left, right).collect():
+        want[r.sign, r.left_value] += 1
+    assert got == want and got["+", "v"] > 2900

@@ -1,0 +1,131 @@
+"""Streams of several stateful operators in one plan, and panes of any aggregate."""
+
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from test_batch import DAY, POSITION, T0, plain_alerts, random_changes, replayed, walks
+from test_streaming import BASE, FAR, M, _limit, run  # noqa: F401
+
+from tidewater.operators import combine as X
+from tidewater.operators import tracks
+from tidewater.operators.windowing import WindowSpec
+from tidewater.sources.scripted import WATERMARK, scripted
+from tidewater.streaming import panes as N
+from tidewater.streaming import processors as P
+from tidewater.streaming import windows as W
+
+
+@pytest.fixture(autouse=True)
+def _longer():
+    import signal
+
+    signal.alarm(200)
+
+
+def both(counted):
+    return Counter({k: n for k, n in counted.items() if ("-" if k[0] == "+" else "+", *k[1:]) not in counted})
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_rekeyed_join_in_one_query(spark, seed):
+    """Join keys change, and changes come out of order in several batches, as early as the watermark lets them."""
+    changes = sorted(random_changes(seed), key=lambda c: (c[4] // 4, hash(str(c)) % 97))
+    rows = [(s, p, k, v, (d + 1) * DAY, g) for s, p, k, v, d, g in changes]
+    mark = lambda at: [("left", WATERMARK, WATERMARK, "", at * DAY, False)]
+    batches = []
+    for part in range(3):
+        batches += [[r for r in rows if (r[4] // DAY - 1) // 4 == part], mark(part * 4 + 5)]
+    df = scripted(spark, "side string, pk string, join_key string, value string, ts_ms long, is_delete boolean", [*batches, mark(99), mark(100)])
+    out = run(P.rekeyed_join_stream(df.withWatermark("ts", "0 seconds")))
+    got = Counter((r.sign, r.join_key, r.left_pk, r.right_pk, r.left_value, r.right_value, r.ts_ms // DAY - 1) for r in out if WATERMARK not in (r.join_key, r.left_pk))
+    assert both(got) == both(replayed(changes))
+
+
+def test_rows_in_order_across_batches(spark):
+    """Pieces of positions that come in any order, in batches between which the watermark moves, equal the batch's."""
+    points = walks()
+    want = sorted((r.key, round(r.length, 4), r.duration, r.ts) for r in tracks.to_metric(spark.createDataFrame(points, POSITION)).collect())
+    half = sorted(p[3] for p in points)[len(points) // 2]
+    early, rest = [p for p in points if p[3] < half], [p for p in points if p[3] >= half]
+    batches = [early[::-1], [(WATERMARK, 0.0, 0.0, half)], rest[::-1], [(WATERMARK, 0.0, 0.0, FAR)], [(WATERMARK, 0.0, 0.0, FAR + 1)]]
+    df = scripted(spark, "key string, lat double, lon double, ts_ms long", batches).withWatermark("ts", "0 seconds")
+    got = run(P.to_metric_stream(df).where(F.col("key") != WATERMARK).withColumn("ms", F.unix_millis("ts")))
+    assert sorted((r.key, round(r.length, 4), r.duration, r.ms) for r in got) == want
+
+
+def test_motivation_in_one_plan(spark):
+    points = walks()
+    batches = [points[::-1], [(WATERMARK, 0.0, 0.0, FAR)], [(WATERMARK, 0.0, 0.0, FAR + 1)]]
+    make = lambda: scripted(spark, "key string, lat double, lon double, ts_ms long", batches).withWatermark("ts", "0 seconds")
+    got = sorted((r.key, r.is_up) for r in run(W.motivation(make)) if r.key != WATERMARK)
+    assert got == sorted((k, up) for k, _, up in plain_alerts(points)) and got
+
+
+# ---- panes
+
+def replay(spec, fn, batches, early, size, slide, lateness):
+    """Panes of one key, by what each micro-batch brings and the watermark of the one before. batches: (ts, *inputs) of each."""
+    windows, out, mark, top = {}, [], -1, -1
+
+    def give(start, kind):
+        w = windows[start]
+        out.append((start, kind, fn.extract(w["state"])))
+        w["fresh"] = 0
+        if not spec.accumulate:
+            w["state"] = fn.create()
+        w["ended"] |= kind == "on_time"
+
+    for batch in [*batches, [], []]:
+        mark, touched = top, []
+        for ts, *inputs in batch:
+            for start in [s for s in range(ts - ts % slide, ts - size, -slide) if s + size > ts]:
+                if mark < 0 or start + size - 1 + lateness >= mark:
+                    w = windows.setdefault(start, {"state": fn.create(), "fresh": 0, "ended": False})
+                    w["state"] = fn.add(w["state"], *[np.array([x]) for x in inputs])
+                    w["fresh"] += 1
+                    touched.append(start)
+        for start in dict.fromkeys(touched):
+            w = windows[start]
+            w["ended"] |= 0 <= mark and start + size <= mark
+            if w["ended"] or early:
+                give(start, "late" if w["ended"] else "early")
+        for start in sorted(windows):
+            w = windows[start]
+            if start + size <= mark and not w["ended"]:
+                if w["fresh"] or spec.on_empty:
+                    give(start, "on_time")
+                w["ended"] = True
+        windows = {s: w for s, w in windows.items() if s + size + lateness > mark}
+        top = max([top, *[r[0] for r in batch]])
+    return out
+
+
+@pytest.mark.parametrize("spec", [WindowSpec("10 minutes", lateness="5 minutes", accumulate=True), WindowSpec("10 minutes", "4 minutes", lateness="5 minutes"), WindowSpec("10 minutes", "5 minutes", lateness="2 minutes", accumulate=True, on_empty=False)])
+@pytest.mark.parametrize("early", [False, True])
+def test_panes_of_paces_equal_a_replay(spark, spec, early):
+    """Early, on time, late and empty panes of paces, fixed and sliding, accumulating or not."""
+    size, slide, lateness = (N.millis(x) for x in (spec.size, spec.slide or spec.size, spec.lateness))
+    steps = [[(1, 10.0), (2, 20.0)], [(9, 5.0)], [(11, 1.0), (12, 2.0)], [(3, 7.0)], [(13, 1.0), (8, 3.0)], [(15, 9.0)], [(2, 4.0), (16, 1.0)], [(24, 6.0)], [(5, 1.0), (25, 2.0)], [(60, 1.0)], [(61, 1.0)]]
+    batches = [[(BASE + m * M, length, 1000.0) for m, length in b] for b in steps]
+    df = scripted(spark, "key string, ts_ms long, length double, duration double", [[("k", *r) for r in b] for b in batches])
+    out = run(N.panes(df, spec, X.Pace(), ["length", "duration"], early=early).withColumn("from", F.unix_millis("start")))
+    flat = lambda rows: [((s - BASE) // M, k, v and round(v, 6)) for s, k, v in rows if s < BASE + 55 * M]
+    # Spark's watermark lies behind by size and lateness, so panes come one batch after it has moved, as in the replay
+    got, want = flat((r["from"], r.pane, r.value) for r in out), flat(replay(spec, X.Pace(), batches, early, size, slide, lateness))
+    assert sorted(got, key=repr) == sorted(want, key=repr) and got
+
+
+def test_global_window_ends_with_its_input(spark):
+    """A pane for each batch, and an on-time one when the bounded stream has ended, empty or not."""
+    rows = [[("k", w, i)] for i, w in enumerate(["a", "bb", "ccc", "d"])]
+    for on_empty in (True, False):
+        spec = WindowSpec(accumulate=True, on_empty=on_empty)
+        df = scripted(spark, "key string, word string, ts_ms long", rows)
+        out = N.finished_panes(N.panes(df, spec, X.Longest(), ["word"], early=True), spec, X.Longest())
+        got = sorted((r.pane, r.value) for r in out.collect())
+        assert got == [("early", "a"), ("early", "bb"), ("early", "ccc"), ("early", "ccc")] + [("on_time", "ccc")] * on_empty
+    spec = WindowSpec(on_empty=False)
+    out = N.finished_panes(N.panes(scripted(spark, "key string, word string, ts_ms long", rows), spec, X.MeanLength(), ["word"]), spec, X.MeanLength())
+    assert [(r.pane, r.value) for r in out.collect()] == [("on_time", 7 / 4)]

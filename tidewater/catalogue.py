@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import aggregates as A
 from .operators import changelog_join as C
+from .operators import combine as X
 from .operators import enrich as E
 from .operators import late_split as L
 from .operators import ordered as O
@@ -26,7 +27,7 @@ from .session import STATE_STORE
 from .sources import readers, sinks
 from .streaming import processors as P
 from .streaming import windows as W
-from .streaming.panes import word_panes
+from .streaming.panes import panes, word_panes
 
 FLAGSHIP = "motivation_inner_join"
 HOUR = 3_600_000
@@ -288,6 +289,27 @@ def notifications_py(spark, sf_dir):
     return sinks.records(out, tracks.notification_py(F.col("key"), F.col("is_up")))
 
 
+# ---- aggregates of one's own
+
+
+@query(f"{_paces('ended')} SELECT key, make_timestamp(w * 1000) AS window_end, round(pace, 6) AS pace FROM f")
+def pace_by_combiner(spark, sf_dir):
+    m = WindowSpec("1 hour").assign(metrics(spark, sf_dir).withColumn("ts", F.timestamp_millis("ts"))).select("key", F.col("window.end").alias("window_end"), "length", "duration")
+    return _pace_rows(X.combine(m, ["key", "window_end"], X.Pace(), ["length", "duration"], "pace"))
+
+
+@query(f"SELECT source, arg_max(word, (length(word), word)) AS word FROM (SELECT source, unnest(string_split_regex(text, '[^A-Za-z0-9_]+')) AS word FROM documents) WHERE word <> '' GROUP BY source")
+def longest_word_by_combiner(spark, sf_dir):
+    words = T.explode_words(table(spark, sf_dir, "documents").select("source", "text"))
+    return X.combine(words, ["source"], X.Longest(), ["word"], "word_").withColumnRenamed("word_", "word")
+
+
+@query(f"SELECT round(avg(length(word)), 9) AS mean_length {WORDS}")
+def average_word_length_by_combiner(spark, sf_dir):
+    words = T.explode_words(table(spark, sf_dir, "documents").select("text"))
+    return X.combine(words, [], X.MeanLength(), ["word"], "mean_length", default=True).select(F.round("mean_length", 9).alias("mean_length"))
+
+
 # ---- changelogs, late data, enrichment
 
 _CHANGES = """
@@ -478,3 +500,80 @@ def stream_panes(spark, sf_dir):
     words = event_stream(spark, sf_dir).select(F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("word"), "ts")
     out = sinks.finished(word_panes(words, WindowSpec("1 day", lateness="1 hour", stamp="latest")), "panes")
     return out.where("pane = 'on_time'").select("key", ntz("start").alias("started"), ntz("stamp"), "cnt", "longest")
+
+
+_UNTIL = "(SELECT max(epoch_us(ts) // 1000) FROM events)"
+
+
+def _seen(sql: str) -> str:
+    """Over the positions that the watermark has passed."""
+    return sql.replace("FROM events),\no AS", f"FROM events WHERE epoch_us(ts) // 1000 < {_UNTIL}),\no AS")
+
+
+def position_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = event_stream(spark, sf_dir)
+    return e.select(F.col("user_id").cast("string").alias("key"), (F.col("value") * 0.001).alias("lat"), (F.col("event_id") % 1000 * 0.0001).alias("lon"), F.unix_millis("ts").alias("ts_ms"), "ts").withWatermark("ts", "0 seconds")
+
+
+@query(_seen(f"{_paces('ended')} SELECT CAST(key AS VARCHAR) AS key, make_timestamp(w * 1000) AS window_end, round(pace, 6) AS pace FROM s WHERE w <= {_UNTIL}"))
+def stream_pace_panes(spark, sf_dir):
+    """Pieces by state, and panes of their sliding paces, in one plan."""
+    out = panes(P.pieces_stream(position_stream(spark, sf_dir), HOUR), WindowSpec("5 hours", "1 hour"), X.Pace(), ["length", "duration"], chained=True)
+    return sinks.finished(out, "paces").where("pane = 'on_time'").select("key", ntz("end").alias("window_end"), F.round("value", 6).alias("pace"))
+
+
+def _stream_alerts(guard: str = "f.pace > 0 AND s.pace > 0") -> str:
+    return _seen(f"SELECT CAST(key AS VARCHAR) AS key, window_end, ratio, is_up FROM ({_alerts(guard=f'{guard} AND w <= {_UNTIL}')})")
+
+
+def _alert_rows(out: DataFrame) -> DataFrame:
+    return out.select("key", ntz("window_end"), F.round("ratio", 6).alias("ratio"), "is_up")
+
+
+@query(_stream_alerts())
+def stream_motivation(spark, sf_dir):
+    """Positions to alerts in one streaming query: pieces, fixed and sliding paces, and their join."""
+    return _alert_rows(sinks.finished(W.motivation(lambda: position_stream(spark, sf_dir), "1 hour", "5 hours", HOUR), "alerts"))
+
+
+@query(_stream_alerts())
+def stream_motivation_cogroup(spark, sf_dir):
+    return _alert_rows(sinks.finished(W.motivation(lambda: position_stream(spark, sf_dir), "1 hour", "5 hours", HOUR, strategy="cogroup"), "alerts"))
+
+
+@query(_stream_alerts("s.pace > 0"))
+def stream_motivation_side_input(spark, sf_dir):
+    return _alert_rows(sinks.finished(W.motivation(lambda: position_stream(spark, sf_dir), "1 hour", "5 hours", HOUR, strategy="side_input"), "alerts"))
+
+
+@query(f"SELECT CAST(key AS VARCHAR) AS key, window_end, ratio, is_up FROM ({_alerts(guard=f's.pace <> 0 AND w * 1000 <= (SELECT max(ended) * 1000 FROM m)')})")
+def stream_motivation_sql(spark, sf_dir):
+    """The statement of ``motivation_sql`` over a stream of pieces, up to the watermark."""
+    path = f"{sinks.shared_dir(spark)}/pieces-{uuid.uuid4().hex}"
+    pieces = metrics(spark, sf_dir).withColumn("ts", F.timestamp_millis("ts")).withColumn("key", F.col("key").cast("string"))
+    pieces.write.parquet(path)
+    stream = spark.readStream.schema(pieces.schema).parquet(path).withWatermark("ts", "0 seconds")
+    both = run_sql(spark, tracks.paces_sql("1 hour", "5 hours"), metrics=stream)
+    out = sinks.finished(both, "paces")
+    sinks.delete(spark, path)
+    return _alert_rows(tracks.out_of_band(out, ["key", "window_end"]))
+
+
+_STREAM_CHANGES = f"""
+WITH c AS (SELECT user_id, event_type, CAST(event_id AS VARCHAR) AS v, event_id, epoch_us(ts) // 1000 AS ms FROM events WHERE epoch_us(ts) // 1000 < {_UNTIL}),
+a AS (SELECT user_id AS pk, ms, max(struct_pack(k := event_type, v := v)) AS x FROM c WHERE event_id % 20 <> 0 GROUP BY ALL),
+b AS (SELECT event_type AS pk, ms, max(v) AS v FROM c WHERE event_id % 20 = 0 GROUP BY ALL),
+l AS (SELECT CAST(pk AS VARCHAR) AS pk, x.k AS k, x.v AS v, ms AS s, lead(ms) OVER (PARTITION BY pk ORDER BY ms) AS e FROM a),
+r AS (SELECT pk, v, ms AS s, lead(ms) OVER (PARTITION BY pk ORDER BY ms) AS e FROM b),
+j AS (SELECT l.k AS join_key, l.pk AS left_pk, r.pk AS right_pk, l.v AS left_value, r.v AS right_value, greatest(l.s, r.s) AS s, least(l.e, r.e) AS e FROM l JOIN r ON l.k = r.pk AND (l.e IS NULL OR r.s < l.e) AND (r.e IS NULL OR l.s < r.e))
+"""
+
+
+@query(f"{_STREAM_CHANGES} SELECT '+' AS sign, join_key, left_pk, right_pk, left_value, right_value, s AS ts_ms FROM j UNION ALL SELECT '-', join_key, left_pk, right_pk, left_value, right_value, e FROM j WHERE e IS NOT NULL")
+def stream_changelog_join(spark, sf_dir):
+    """Users under the kind of their last event, which changes, joined with a row for each kind: re-keyed and joined in one streaming query."""
+    e = event_stream(spark, sf_dir)
+    right = F.col("event_id") % 20 == 0
+    side, pk = F.when(right, "right").otherwise("left"), F.when(right, F.col("event_type")).otherwise(F.col("user_id").cast("string"))
+    changes = e.select(side.alias("side"), pk.alias("pk"), F.col("event_type").alias("join_key"), F.col("event_id").cast("string").alias("value"), F.unix_millis("ts").alias("ts_ms"), F.lit(False).alias("is_delete"), "ts")
+    return sinks.finished(P.rekeyed_join_stream(changes.withWatermark("ts", "0 seconds")), "joined")

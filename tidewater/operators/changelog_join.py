@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .interval_join import stab
 from .ordered import HOT_ROWS, OWN, deal, neighbour
 
 END, OLD = f"{OWN}end", f"{OWN}old"
@@ -30,25 +31,24 @@ def versions(changes: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     return held.select("pk", "join_key", "value", F.col("ts").alias("start"), end.alias("end"))
 
 
-def changelog_join(left: DataFrame, right: DataFrame, bucket_s: int | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def changelog_join(left: DataFrame, right: DataFrame, bucket_s: float | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """sign, join_key, left_pk, right_pk, left_value, right_value, ts.
 
-    bucket_s: width of time buckets. With it, versions meet by join key and bucket (each pair in
-    the bucket of its start), so few join keys don't make few large groups.
+    bucket_s: the width of the finest cells of time. With it, versions meet by join key and aligned interval (see
+    ``interval_join``): two versions overlap if one starts while the other holds, so the starts of each side are looked
+    up in the other side's versions. A version has O(log) rows however long it holds, and few join keys don't make few large groups.
     """
     lv, rv = versions(left, hot_rows), versions(right, hot_rows)
     names = lambda df, side: df.select("join_key", *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c != "join_key"])
     lv, rv = names(lv, "left"), names(rv, "right")
-    on = ["join_key"]
     if bucket_s:
-        bucket = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / bucket_s)
-        horizon = lv.agg(F.max("left_start").alias("m")).unionByName(rv.agg(F.max("right_start").alias("m"))).agg(F.max("m").alias("horizon"))
-        spread = lambda df, side: df.crossJoin(F.broadcast(horizon)).withColumn("bucket", F.explode(F.sequence(bucket(f"{side}_start"), F.greatest(bucket(f"{side}_start"), F.floor(F.unix_seconds(F.least(F.coalesce(f"{side}_end", "horizon"), F.col("horizon")).cast("timestamp")) / bucket_s))))).drop("horizon")  # noqa: E731  # a single row is crossed
-        lv, rv, on = spread(lv, "left"), spread(rv, "right"), ["join_key", "bucket"]
+        within = stab(lv, rv, ["join_key"], "left_start", "right_start", "right_end", bucket_s)
+        after = stab(rv, lv, ["join_key"], "right_start", "left_start", "left_end", bucket_s).where("left_start < right_start")
+        both = within.unionByName(after)
+    else:
+        both = lv.join(rv, "join_key")
     start, end = F.greatest("left_start", "right_start"), F.least("left_end", "right_end")
-    both = lv.join(rv, on).withColumn("start", start).withColumn("end", end).where("end IS NULL OR start < end")
-    if bucket_s:
-        both = both.where(bucket("start") == F.col("bucket"))
+    both = both.withColumn("start", start).withColumn("end", end).where("end IS NULL OR start < end")
     events = F.array(F.struct(F.lit("+").alias("sign"), F.col("start").alias("ts")), F.struct(F.lit("-").alias("sign"), F.col("end").alias("ts")))
     out = both.withColumn("e", F.explode(events)).where("e.ts IS NOT NULL")
     return out.select("e.sign", "join_key", "left_pk", "right_pk", "left_value", "right_value", "e.ts")

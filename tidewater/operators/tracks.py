@@ -102,16 +102,23 @@ def lookup(df: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
     return df.join(once.select(*on, *[F.when(F.col("_rows") > 1, twice).otherwise(F.col(c)).alias(c) for c in value]), on, "left")
 
 
-def _paces_by_sql(metrics: DataFrame, short: str, long: str, key: str) -> DataFrame:
-    """key, window_end, short_pace, long_pace: windows, sums and join in one statement."""
-    from ..plans.sql import run_sql
+def paces_sql(short: str, long: str, key: str = "key") -> str:
+    """key, window_end, short_pace, long_pace of {metrics} (key, length, duration, ts), a table or a stream with a watermark: windows, sums and join in one statement.
 
+    The sides meet on the window's end and on its event time, so that a stream's state is bounded.
+    """
     span = lambda x: "INTERVAL '{}' {}".format(*x.split())
-    paces = "SELECT `{key}`, w.end AS window_end, try_divide(SUM(length) * 1000, SUM(duration)) AS {name} FROM (SELECT `{key}`, length, duration, {window} AS w FROM {{metrics}}) GROUP BY `{key}`, w"
+    sums = "SELECT `{key}`, w, try_divide(SUM(length) * 1000, SUM(duration)) AS {name} FROM (SELECT `{key}`, length, duration, {window} AS w FROM {{metrics}}) GROUP BY `{key}`, w"
+    paces = f"SELECT `{{key}}`, w.end AS window_end, window_time(w) AS window_at, {{name}} FROM ({sums})"
     fast = paces.format(key=key, name="short_pace", window=f"TUMBLE(ts, {span(short)})")
     slow = paces.format(key=key, name="long_pace", window=f"HOP(ts, {span(short)}, {span(long)})")
-    text = f"WITH fast AS ({fast}), slow AS ({slow}) SELECT `{key}`, window_end, short_pace, long_pace FROM fast NATURAL JOIN slow"
-    return run_sql(metrics.sparkSession, text, metrics=metrics.withColumn("ts", F.timestamp_millis("ts")))
+    return f"WITH fast AS ({fast}), slow AS ({slow}) SELECT `{key}`, window_end, short_pace, long_pace FROM fast NATURAL JOIN slow"
+
+
+def _paces_by_sql(metrics: DataFrame, short: str, long: str, key: str) -> DataFrame:
+    from ..plans.sql import run_sql
+
+    return run_sql(metrics.sparkSession, paces_sql(short, long, key), metrics=metrics.withColumn("ts", F.timestamp_millis("ts")))
 
 
 STRATEGIES = ("side_input", "cogroup", "inner_join", "own_join", "sql")
@@ -143,6 +150,11 @@ def alerts(metrics: DataFrame, short: str = "1 minute", long: str = "5 minutes",
         both = tagged.groupBy(*ends).agg(F.max("short_pace").alias("short_pace"), F.max("long_pace").alias("long_pace")).where("short_pace > 0 AND long_pace > 0")
     else:
         both = _paces_by_sql(metrics, short, long, key)
+    return out_of_band(both, ends, inclusive)
+
+
+def out_of_band(both: DataFrame, ends: list[str], inclusive: bool = False) -> DataFrame:
+    """The alerts of rows with short_pace and long_pace."""
     ratio = F.try_divide(F.col("short_pace"), F.col("long_pace"))
     inside = (ratio > 0.9) & (ratio < 1.1) if inclusive else (ratio >= 0.9) & (ratio <= 1.1)
     return both.withColumn("ratio", ratio).where(ratio.isNotNull() & ~inside).select(*ends, "ratio", (ratio > 1).alias("is_up"))
