@@ -231,25 +231,27 @@ def _frequent(counted: DataFrame, ws: list[str], least: int) -> DataFrame:
 
 def phrases(docs: DataFrame, scratch: Scratch, longest: int, least: int, block_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Frequent words (id, lang, word), frequent phrases of 1 to ``longest`` words (ws: their ids, f), and the words of each language (lang, n)."""
-    lists = scratch.stored(postings(docs, block_words), "lists")
+    spark = docs.sparkSession
+    first, second = Scratch(spark), Scratch(spark)  # what a visit of the blocks reads is deleted after it
+    lists = first.stored(postings(docs, block_words), "lists")
+    sizes = scratch.stored(lists.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
     each = lists.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x")).select("block", "lang", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     number = F.shiftleft("block", PLACE_BITS) + F.col("place")
     same = Window.partitionBy("lang", "word")
     each = each.select("block", "lang", "place", "word", number.alias("number"), F.sum(F.col("n").cast("long")).over(same).alias("f"), F.min(number).over(same).alias("id"))
-    each = scratch.stored(each.where(F.col("f") >= least), "words")
-    vocabulary = each.where("number = id").select("id", "lang", "word", "f")
-    found = [vocabulary.select(F.array("id").alias("ws"), "f")]
-    short = scratch.stored(_kept(lists, each.select("block", "place", "id")), "short")
-    pairs = scratch.stored(_frequent(_pairs(short), _words(2), least), "pairs")
-    found.append(pairs.where("block = first").select(F.array("w1", "w2").alias("ws"), "f"))
+    each = first.stored(each.where(F.col("f") >= least), "words")
+    vocabulary = scratch.stored(each.where("number = id").select("id", "lang", "word", "f"), "vocabulary")
+    short = second.stored(_kept(lists, each.select("block", "place", "id")), "short")
+    first.clear()
+    pairs = second.stored(_frequent(_pairs(short), _words(2), least), "pairs")
+    every = vocabulary.select(F.array("id").alias("ws"), "f").unionByName(pairs.where("block = first").select(F.array("w1", "w2").alias("ws"), "f"))
     if longest > 2:
         ws = _words(longest)
         longer = _frequent(_longer(short, pairs.select("block", "w1", "w2"), longest), ws, least)
-        found.append(longer.where("block = first").select(F.array_compact(F.array(*ws)).alias("ws"), "f"))
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
-    return vocabulary, scratch.stored(every, "every"), lists.groupBy("lang").agg(F.sum("n").alias("n"))
+        every = every.unionByName(longer.where("block = first").select(F.array_compact(F.array(*ws)).alias("ws"), "f"))
+    every = scratch.stored(every, "every")
+    second.clear()
+    return vocabulary, every, sizes
 
 
 def collocations(docs: DataFrame, longest: int = 4, least: int = 30, most: int = 2000, inside_percent: int = 80, scale: int = 2_000_000, block_words: int = 1 << 21) -> DataFrame:
