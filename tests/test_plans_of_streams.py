@@ -1,5 +1,6 @@
 """Streams of several stateful operators in one plan, and panes of any aggregate."""
 
+import os
 from collections import Counter
 
 import numpy as np
@@ -117,15 +118,18 @@ def test_panes_of_paces_equal_a_replay(spark, spec, early):
     assert sorted(got, key=repr) == sorted(want, key=repr) and got
 
 
-def test_global_window_ends_with_its_input(spark):
+def test_global_window_ends_with_its_input(spark, tmp_path):
     """A pane for each batch, and an on-time one when the bounded stream has ended, empty or not."""
-    rows = [[("k", w, i)] for i, w in enumerate(["a", "bb", "ccc", "d"])]
+    for i, w in enumerate(["a", "bb", "ccc", "d"]):
+        path = tmp_path / f"{i}.json"
+        path.write_text(f'{{"key": "k", "word": "{w}", "ts": "2024-01-01T00:00:0{i}Z"}}')
+        os.utime(path, (T0 / 1000 + i, T0 / 1000 + i))
+    rows = lambda: spark.readStream.schema("key string, word string, ts timestamp").option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}")
     for on_empty in (True, False):
         spec = WindowSpec(accumulate=True, on_empty=on_empty)
-        df = scripted(spark, "key string, word string, ts_ms long", rows)
-        out = N.finished_panes(N.panes(df, spec, X.Longest(), ["word"], early=True), spec, X.Longest())
+        out = N.finished_panes(N.panes(rows(), spec, X.Longest(), ["word"], early=True), spec, X.Longest())
         got = sorted((r.pane, r.value) for r in out.collect())
         assert got == [("early", "a"), ("early", "bb"), ("early", "ccc"), ("early", "ccc")] + [("on_time", "ccc")] * on_empty
     spec = WindowSpec(on_empty=False)
-    out = N.finished_panes(N.panes(scripted(spark, "key string, word string, ts_ms long", rows), spec, X.MeanLength(), ["word"]), spec, X.MeanLength())
+    out = N.finished_panes(N.panes(rows(), spec, X.MeanLength(), ["word"]), spec, X.MeanLength())
     assert [(r.pane, r.value) for r in out.collect()] == [("on_time", 7 / 4)]
