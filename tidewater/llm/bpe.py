@@ -38,6 +38,12 @@ from .token_counts import by_bytes, sizes
 
 #: Between these, texts are encoded chunk by chunk: they are starters that compose with nothing, and no word holds one.
 CHUNK = re.compile(r"[^ \t\n\r\f\v]+")
+#: ASCII that Python splits at and patterns for white space don't.
+SEPARATOR = re.compile("[\x1c-\x1f]").search
+#: Printable ASCII without the space, and Latin letters with marks (and the signs of multiplication and division).
+PLAIN = re.compile("[!-~À-ÿ]*").fullmatch
+#: The symbols of bytes (as Latin-1 characters) in byte-level vocabularies: printable ones stand for themselves, the others follow from U+0100 on.
+SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 #: Steps that treat chunks as they treat the whole text.
 NORMALISED, CUT = {"NFC", "Lowercase", "Replace"}, {"Split", "ByteLevel"}
 #: Stands for the end-of-word sign in the automaton; byte-level symbols never are this.
@@ -115,7 +121,7 @@ class Codec:
         self.normalise = library.normalizer.normalize_str if library.normalizer else str
         self.cut = library.pre_tokenizer.pre_tokenize_str
         self.suffix, self.special = model["end_of_word_suffix"] or "", {t["content"]: t["id"] for t in file["added_tokens"]}
-        self.ascii = _ascii_cut(file)
+        self.plain = _plain_cut(file)
         self.any_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         vocab: dict[str, int] = model["vocab"]
         self.merges = Merges(vocab, model["merges"], self.suffix)
@@ -167,8 +173,9 @@ class Codec:
 
     def _words(self, part: str) -> list[str]:
         """The words of a text without special tokens or white space, in byte-level symbols."""
-        if self.ascii and part.isascii() and part.isprintable():
-            return self.ascii.findall(part.lower())
+        if self.plain and PLAIN(part):
+            words = self.plain.findall(part.lower())
+            return words if part.isascii() else [w.encode().decode("latin-1").translate(SYMBOLS) for w in words]
         return [w for w, _ in self.cut(self.normalise(part))]
 
     def chunk(self, chunk: str) -> bytes:
@@ -177,7 +184,7 @@ class Codec:
         if known is not None:
             return known
         out: list[bytes] = []
-        for i, part in enumerate(self.any_special.split(chunk) if self.any_special else [chunk]):
+        for i, part in enumerate(self.any_special.split(chunk) if self.any_special and self.any_special.search(chunk) else [chunk]):
             if i % 2:
                 out.append(array("i", [self.special[part]]).tobytes())
             elif part:
@@ -194,11 +201,11 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """The ids of a text, as 32-bit integers."""
         known, chunk = self.chunks.get, self.chunk
-        return b"".join([known(c) or chunk(c) for c in CHUNK.findall(text)])
+        return b"".join([known(c) or chunk(c) for c in (text.split() if text.isascii() and not SEPARATOR(text) else CHUNK.findall(text))])
 
 
-def _ascii_cut(file: dict) -> re.Pattern | None:
-    """The file's pattern for words as it is for printable ASCII without white space, whose symbols stand for themselves; None if the file's steps are other ones."""
+def _plain_cut(file: dict) -> re.Pattern | None:
+    """The file's pattern for words as it is for PLAIN texts, whose characters are composed and lower-cased one by one; None if the file's steps are other ones."""
     cuts, normal = file["pre_tokenizer"], file["normalizer"]
     if not cuts or not normal or [s["type"] for s in cuts.get("pretokenizers", [])] != ["Split", "ByteLevel"] or [s["type"] for s in normal.get("normalizers", [])] != ["NFC", "Replace", "Lowercase"]:
         return None
@@ -207,7 +214,7 @@ def _ascii_cut(file: dict) -> re.Pattern | None:
     if not split["invert"] or split["behavior"] != "Removed" or level["add_prefix_space"] or level["use_regex"] or replaced["pattern"].get("Regex") != r"\s+":
         return None
     # without the pattern's own classes it is an ordinary one
-    return re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9"), re.ASCII)
+    return re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "A-Za-zÀ-ÖØ-öø-ÿ").replace(r"\p{N}", "0-9"))
 
 
 @lru_cache(maxsize=2)
