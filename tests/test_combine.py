@@ -115,3 +115,19 @@ def test_one_key_and_a_version_of_ten_years(spark):
     for r in C.changelog_join(left, right).collect():
         want[r.sign, r.left_value] += 1
     assert got == want and got["+", "v"] > 2900
+
+
+# ---- redistribution
+
+
+def test_one_line_spreads_and_runs_place_alike(spark):
+    from tidewater.operators.redistribute import redistribute
+
+    lines = spark.range(0, 8000, 1, 2).select(F.when(F.col("id") % 10 > 0, "same line").otherwise(F.col("id").cast("string")).alias("line"), F.create_map(F.lit("k"), F.lit(1)).alias("m"))
+    places = lambda df: sorted((r.p, r.line) for r in redistribute(df, 8).select(F.spark_partition_id().alias("p"), "line").collect())
+    once = places(lines)
+    sizes = [sum(p == i for p, _ in once) for i in range(8)]
+    assert sum(sizes) == 8000 and max(sizes) < 1.25 * min(sizes)
+    # the same rows of each task in another order
+    assert places(lines.sortWithinPartitions(F.col("line").desc())) == once
+    assert redistribute(lines.limit(0), 4).count() == 0

@@ -133,3 +133,43 @@ def test_global_window_ends_with_its_input(spark, tmp_path):
     spec = WindowSpec(on_empty=False)
     out = N.finished_panes(N.panes(rows(), spec, X.MeanLength(), ["word"]), spec, X.MeanLength())
     assert [(r.pane, r.value) for r in out.collect()] == [("on_time", 7 / 4)]
+
+
+def test_joins_of_windows_with_defaults_and_one_side_value(spark):
+    """Full outer with a default for what is missing; left with a look-up where a second value is an error."""
+    left = [("a", BASE, 1.0), ("b", BASE, 2.0)]
+    right = [("a", BASE, 10.0), ("c", BASE, 30.0)]
+
+    def side(rows):
+        df = scripted(spark, "key string, ts_ms long, value double", [[(k, t + 1, v) for k, t, v in rows], [(WATERMARK, FAR, 0.0)], [(WATERMARK, FAR + 1, 0.0)]])
+        return df.withWatermark("ts", "0 seconds").select("key", F.timestamp_millis(F.lit(BASE + 5)).alias("window_end"), "value", F.col("ts").alias("clock"))
+
+    flat = lambda out: sorted((r.key, r.left_value, r.right_value) for r in out if r.key != WATERMARK)
+    assert flat(run(P.window_join_stream(side(left), side(right), left_default=0.0, right_default=-1.0))) == [("a", 1.0, 10.0), ("b", 2.0, -1.0), ("c", 0.0, 30.0)]
+    assert flat(run(P.window_join_stream(side(left), side(right), full=False, right_default=-1.0))) == [("a", 1.0, 10.0), ("b", 2.0, -1.0)]
+    with pytest.raises(Exception, match="more than one value for the key a"):
+        run(P.window_join_stream(side(left), side([*right, ("a", BASE, 11.0)]), full=False, once=True))
+
+
+def test_top_k_state_has_k_rows():
+    import pandas as pd
+
+    held = []
+    for i in range(0, 10**6, 10**5):
+        held = P.best(held, pd.DataFrame({"cnt": [(j * 7919) % 1000 for j in range(i, i + 10**5)], "word": [f"w{j}" for j in range(i, i + 10**5)]}), 3)
+        assert len(held) == 3
+    assert held == sorted((((j * 7919) % 1000, f"w{j}") for j in range(10**6)), reverse=True)[:3]
+
+
+def test_a_drained_stream_of_calls_gives_every_row(spark, tmp_path):
+    """A flush by size leaves no timer, a rest that waits for hours is served when the input has ended, and times are kept."""
+    from tidewater.operators import enrich as E
+
+    words = ["a", "bb", "ccc", "aa", "c", "bbb", "aa"]
+    for i, w in enumerate(words):
+        path = tmp_path / f"{i}.json"
+        path.write_text(f'{{"value": "{w}", "ts": "2024-01-01T00:00:0{i}Z"}}')
+        os.utime(path, (T0 / 1000 + i, T0 / 1000 + i))
+    rows = spark.readStream.schema("value string, ts timestamp").option("maxFilesPerTrigger", 2).json(f"file://{tmp_path}")
+    out = P.finished_calls(rows, E.lengths_service, buckets=2, batch=2, wait_ms=10**7)
+    assert sorted((r.value, r.output, r.ts.second) for r in out.collect()) == sorted((w, len(w), i) for i, w in enumerate(words))

@@ -51,11 +51,6 @@ def top_k(counts: DataFrame, k: int, by: str = "cnt", item: str = "word", per: t
     return counts.withColumn(place, F.row_number().over(Window.partitionBy(*per).orderBy(*order))).where(F.col(place) <= k).drop(place)
 
 
-def top_k_array(k: int, by: str = "cnt", item: str = "word") -> Column:
-    """Aggregate for streams, where ranking windows don't exist."""
-    return F.slice(F.sort_array(F.collect_list(F.struct(by, item)), asc=False), 1, k)
-
-
 def running_longest(df: DataFrame, word: str, order: list[Column], per: tuple[str, ...] = (), hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """A result for each element: the longest word so far, the greatest of them on ties."""
     w = F.col(word)

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.aggregates import longest, pace, top_k_array
+from ..operators.aggregates import longest, pace
 from ..operators.combine import Pace
 from ..operators.windowing import WindowSpec
 from .panes import panes
-from .processors import pieces_stream, window_join_stream
+from .processors import pieces_stream, top_k_stream, window_join_stream
 
 #: Parts that a window's words are dealt into before its most frequent are taken; no state row holds more than a part.
 SALTS = 1024
@@ -25,12 +25,8 @@ def word_counts(words: DataFrame, window: str | None, delay: str = "0 seconds")
 
 
 def top_k_by_window(words: DataFrame, k: int, window: str, delay: str = "0 seconds") -> DataFrame:
-    """window, word, cnt of the k most frequent words: counts, then the k of each of SALTS parts of the words, then the k of those, each on the window before."""
-    counts = word_counts(words, window, delay)
-    parts = counts.groupBy(F.window(F.window_time("window"), window), F.pmod(F.xxhash64("word"), F.lit(SALTS)).alias("salt")).agg(top_k_array(k).alias("top"))
-    parts = parts.select("window", F.explode("top").alias("t")).select("window", "t.word", "t.cnt")
-    best = parts.groupBy(F.window(F.window_time("window"), window)).agg(top_k_array(k).alias("top"))
-    return best.select("window", F.explode("top").alias("t")).select("window", "t.word", "t.cnt")
+    """window, word, cnt of the k most frequent words: counts, then the k of each of SALTS parts of the words, then the k of those, in states of k rows."""
+    return top_k_stream(word_counts(words, window, delay), k, SALTS)
 
 
 def sliding_mean_length(words: DataFrame, size: str, slide: str, delay: str = "0 seconds") -> DataFrame:
