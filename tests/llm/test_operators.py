@@ -365,14 +365,15 @@ def test_features_are_the_counts_of_plain_n_grams():
         assert sorted(found.values()) == sorted(own.values())
 
 
-def test_learned_languages_and_samples_are_bounded(spark):
+def test_samples_are_bounded_and_every_language_is_learned(spark):
     rows = [(i, f"text {chr(97 + i % 26) * 4}", f"l{i % 50:02}" if i % 3 else "common", "s", 0) for i in range(3000)]
     df = spark.createDataFrame(rows * 2, DOCS).repartition(5)
-    model = language_id.train(df, per_language=4, most_languages=7)
-    assert len(model.languages) == 7 and "common" in model.languages
+    model = language_id.train(df, per_language=4, most_rows=102)
+    assert len(model.languages) == 51 and "common" in model.languages
     may = df.where(language_id.remainder(F.col("doc_id")) != 1).select("doc_id", "lang")
-    got = language_id.sample(may, 4, 7)
-    assert len(got) == len(set(got)) == 28
+    got, n = language_id.sample(may, 4, 102)
+    assert n == 51 and len(got) == len(set(got)) == 102
+    assert len(language_id.sample(may, 4, 10**6)[0]) == 204 and len(language_id.sample(may, 4, 1)[0]) == 51
 
 
 def test_temperature_sharpens_and_softens():

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,6 +123,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def strongest(i: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` sparse features (numbers i, rising, values x) of greatest value, ties to the smaller number; all, if there are no more."""
+    if len(i) <= most:
+        return i, x
+    at = np.sort(np.lexsort((i, -x))[:most])
+    return i[at], x[at]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Arrow batches in parts, so that only so many rows are Python objects at a time."""
     for b in batches:

@@ -6,8 +6,8 @@ to the text's length; document frequencies are counted over all learnable docume
 weights come from follow-the-regularised-leader (FTRL-proximal, per-coordinate rates,
 L1 and L2 penalties) on a bounded sample, ``per_language`` documents of each language
 with the least hash of their id; a fifth of the sample is kept apart to fit the temperature
-that calibrates the scores. The ``most_languages`` languages of most documents are learned, ties by
-code point, so the model's size is bounded by features times that. Prediction reads whole texts.
+that calibrates the scores. Every language is learned; the sample's rows and bytes and the model's
+weights are bounded by parameters (see ``train``). Prediction reads whole texts.
 
 Cases: a text that is null or has no letter is ``und`` with score 0, and so is every text if
 nothing can be learned from; ties go to the first language in code point order; repeated
@@ -24,10 +24,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, stored
+from .common import MOST_HOT, free_name, hot_keys, join_salted, stored, strongest
 from .shingles import U64, numbers, scramble
 
 BITS, ORDERS, BLOCKS = 17, (1, 2, 3), 64
@@ -65,14 +65,14 @@ def features(text: str | None) -> Iterator[np.ndarray]:
 class Model:
     """table: idf times weight for each feature and language."""
 
-    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float) -> None:
-        self.languages, self.table, self.bias, self.temperature = languages, table.astype(np.float32), bias, temperature
+    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float, merged: int = 0) -> None:
+        self.languages, self.table, self.bias, self.temperature, self.merged = languages, table.astype(np.float32), bias, temperature, merged
 
     def predict(self, text: str | None) -> tuple[str, float]:
         total, n = 0.0, 0
         if self.languages:
             for h in features(text):
-                total, n = total + np.take(self.table, h, axis=0).sum(0, dtype=np.float64), n + len(h)
+                total, n = total + np.take(self.table, h >> self.merged, axis=0).sum(0, dtype=np.float64), n + len(h)
         if not n:
             return UNKNOWN, 0.0
         p = softmax((total * (SCALE / n) + self.bias) / self.temperature)
@@ -127,32 +127,40 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def sample(may: DataFrame, per_language: int, most_languages: int) -> list[tuple]:
-    """Ids of ``per_language`` documents of each learned language, those of the least hash of their id.
+def sample(may: DataFrame, per_language: int, most_rows: int) -> tuple[list, int]:
+    """Ids of ``per_language`` documents of each language, those of the least hash of their id, and how many languages there are.
 
-    Counts a language give the hash below which about 1.5 times as many lie (and all of them where
-    there are few), so no language is sorted or gathered; what lies below is cut to the number here.
+    Many languages get equal shares of ``most_rows``, one document at least. Counts a language give the hash below which about 1.5
+    times as many lie (and all of them where there are few), so no language is sorted or gathered; what lies below is cut to the number here.
     """
-    counts = may.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages)
-    wanted = 1.5 * per_language + 50
+    counts = stored(may.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = counts.count()
+    share = max(min(per_language, most_rows // max(languages, 1)), 1)
+    wanted = 1.5 * share + 50
     place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
-    below = may.join(F.broadcast(counts), "lang").where(place * F.col("n") <= wanted).groupBy("doc_id").agg(F.min("lang").alias("lang"))  # most_languages rows
-    rows = below.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).collect()
-    rows.sort(key=lambda r: (r["h"], str(r["doc_id"])))
-    taken: dict[str, list] = {}
-    for r in rows:
-        own = taken.setdefault(r["lang"], [])
-        if len(own) < per_language:
-            own.append(r["doc_id"])
-    return [x for own in taken.values() for x in own]
-
-
-def train(docs: DataFrame, per_language: int = 400, most_languages: int = 64) -> Model:
-    """Learns from the documents whose remainder isn't 1, and of these from text and lang alone."""
+    if languages <= MOST_HOT:
+        known = may.join(F.broadcast(counts), "lang")  # a row for each language
+    else:
+        known = join_salted(may, counts, ["lang"], hot_keys(may, ["lang"], counts.withColumnRenamed("n", "rows")))
+    below = known.where(place * F.col("n") <= wanted).groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.col("doc_id").cast("string")))  # few rows of each
+    rows = below.select("doc_id", rank.alias("rank")).where(F.col("rank") <= share).select("doc_id").collect()  # share of each language
+    return [r["doc_id"] for r in rows], languages
+
+
+def train(docs: DataFrame, per_language: int = 400, most_rows: int = 25_600, most_bytes: int = 256 << 20, most_weights: int = 1 << 23) -> Model:
+    """Learns from the documents whose remainder isn't 1, and of these from text and lang alone.
+
+    Every language is learned. The sample has ``per_language`` documents of each, in all about most_rows; of a text the most frequent features
+    are learned from, at most so many that all of the sample's have ``most_bytes``. With more than most_weights / 2^17 languages
+    features are merged, by the first bits of their number, so that the model has ``most_weights`` weights.
+    """
     may = docs.select("doc_id", "text", "lang").where((remainder(F.col("doc_id")) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    wanted = set(sample(may.select("doc_id", "lang"), per_language, most_languages))
+    ids, n_languages = sample(may.select("doc_id", "lang"), per_language, most_rows)
+    wanted = set(ids)
     if not wanted:
         return Model([], np.zeros((1, 0)), np.zeros(0), 1.0)
+    most = max(most_bytes // (8 * len(wanted)), 1)
     size = 1 << BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +178,8 @@ def train(docs: DataFrame, per_language: int = 400, most_languages: int = 64) ->
                 if own and doc_id in wanted and doc_id not in given:
                     given.add(doc_id)
                     i, c = np.unique(np.concatenate(own), return_counts=True)
-                    out.append((doc_id, lang, i.astype("<i4").tobytes(), (c / c.sum()).astype("<f4").tobytes()))
+                    i, x = strongest(i, c / c.sum(), most)
+                    out.append((doc_id, lang, i.astype("<i4").tobytes(), x.astype("<f4").tobytes()))
             if out:
                 yield _rows([(None, None, 0, *x) for x in out], b.schema.field("doc_id").type)
         yield _rows([(k, zlib.compress(x.astype("<i4").tobytes(), 1), n_docs, None, None, None, None) for k, x in enumerate(df.reshape(BLOCKS, -1))], b.schema.field("doc_id").type if n_docs else pa.null())
@@ -190,18 +199,21 @@ def train(docs: DataFrame, per_language: int = 400, most_languages: int = 64) ->
     for r in found.where("block IS NOT NULL").select("block", "df", "n_docs").groupBy("block").applyInArrow(add, "block int, df binary, n_docs long").collect():
         at = size // BLOCKS
         df[r["block"] * at : (r["block"] + 1) * at], n_docs = np.frombuffer(r["df"], "<i8"), r["n_docs"]
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
-    learned = found.where("block IS NULL").groupBy("id").agg(F.min(F.struct("lang", "i", "x")).alias("f")).select("id", "f.*").collect()  # the sample
+    learned = found.where("block IS NULL").groupBy("id").agg(F.min(F.struct("lang", "i", "x")).alias("f")).select("id", "f.*").collect()  # the sample, most_bytes
     learned.sort(key=lambda r: (str(r["id"])))
     languages = sorted({r["lang"] for r in learned})
+    merged = max(len(languages) * size // most_weights, 1).bit_length() - 1 if len(languages) * size > most_weights else 0
+    merged += (len(languages) * (size >> merged)) > most_weights
+    small = size >> merged
+    idf = np.log((1 + n_docs) / (1 + np.minimum(df.reshape(small, -1).sum(1), n_docs))) + 1
     rows = []
     for r in learned:
-        i = np.frombuffer(r["i"], "<i4").astype(np.int64)
-        rows.append((i, np.frombuffer(r["x"], "<f4") * idf[i] * SCALE, languages.index(r["lang"])))
+        i, at = np.unique(np.frombuffer(r["i"], "<i4").astype(np.int64) >> merged, return_inverse=True)
+        rows.append((i, np.bincount(at, np.frombuffer(r["x"], "<f4")) * idf[i] * SCALE, languages.index(r["lang"])))
     apart, fit = rows[::5], [x for k, x in enumerate(rows) if k % 5]
-    w, bias = ftrl(fit or rows, len(languages), size)
+    w, bias = ftrl(fit or rows, len(languages), small)
     logits = np.array([x @ w[i] + bias for i, x, _ in apart])
-    return Model(languages, w * idf[:, None], bias, fit_temperature(logits, np.array([y for *_, y in apart])))
+    return Model(languages, w * idf[:, None], bias, fit_temperature(logits, np.array([y for *_, y in apart])), merged)
 
 
 def _guarded(run):
@@ -241,21 +253,21 @@ def has_letter(text: Column) -> Column:
     return has(text)
 
 
-def identify(docs: DataFrame, per_language: int = 400) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row."""
-    predict = predictor(docs.sparkSession, train(docs, per_language))
+def identify(docs: DataFrame, **sizes: int) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row. sizes: those of ``train``."""
+    predict = predictor(docs.sparkSession, train(docs, **sizes))
     p = docs.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), predict("text").alias("p"))
     return p.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def keep_identified(docs: DataFrame, per_language: int = 400) -> DataFrame:
+def keep_identified(docs: DataFrame, **sizes: int) -> DataFrame:
     """The rows of ``docs`` whose text has a language; those without a letter or a text go.
 
     The model's choice and score reject nothing. Where nothing can be learned, the letters alone decide.
     """
     if docs.isEmpty():
         return docs
-    model = train(docs, per_language)
+    model = train(docs, **sizes)
     if not model.languages:
         return docs.where(has_letter(docs["text"]))
     predict = predictor(docs.sparkSession, model)

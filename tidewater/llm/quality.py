@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import strongest
 from .shingles import OF_WORD, U64, scramble, text_words
 
 BITS, GRADES = 18, 3
@@ -96,13 +97,14 @@ def grade(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", g.alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL")
 
 
-def train(docs: DataFrame, rated: DataFrame, sample: int = 4000) -> OrdinalModel:
-    """rated: doc_id, grade (0 to GRADES - 1)."""
+def train(docs: DataFrame, rated: DataFrame, sample: int = 4000, most_bytes: int = 256 << 20) -> OrdinalModel:
+    """rated: doc_id, grade (0 to GRADES - 1). Of a rated text the features of greatest value are learned from, at most so many that all of the sample's have ``most_bytes``."""
+    most = max(most_bytes // (8 * sample), 1)
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [features(t) for t in b.column("text").to_pylist()]
+            found = [strongest(*features(t), most) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())], ["doc_id", "i", "x"])
 
     chosen = chosen.groupBy("doc_id", "grade").agg(F.count("*").alias("times"))  # ``sample`` rows at most

@@ -1,7 +1,7 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
 Index. Vectors are turned into integers, floor(scale * x), and dealt into bands by their norm (from
-approximate quantiles), greatest first, and in a band into cells by hash. A cell's postings (one for
+approximate quantiles), greatest first, and a band into cells by its own number of rows, so that vectors of one norm, or repeated ones, fill no cell beyond it. A cell's postings (one for
 each vector and component that isn't 0) are stored once, by segments of descending quantised impact
 (|value| within a power of 2 of the greatest), each as lists by component; so are the norms of
 what a vector still has after each segment. All blocks of queries read that table.
@@ -168,18 +168,22 @@ def search_cell(queries: pa.Table, stored_cell: pa.Table, k: int) -> tuple[list,
 class Index:
     """The stored postings of vectors (vec_id, embedding)."""
 
-    def __init__(self, vectors: DataFrame, scale: int = 256) -> None:
+    def __init__(self, vectors: DataFrame, is_query: Column, scale: int = 256) -> None:
         squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
         self.rows = stored(to_integers(vectors, scale).withColumn("norm", F.sqrt(squares)), "vectors")
-        n = self.rows.count()
-        cells = max(-(-n // (CELL_ROWS * BANDS)), 1)  # in a band
-        bands = min(BANDS, -(-n // CELL_ROWS) or 1)
-        edges = sorted(set(self.rows.approxQuantile("norm", [i / bands for i in range(1, bands)], 0.001)), reverse=True) if bands > 1 else []
+        at = F.array(*[F.lit(i / BANDS) for i in range(1, BANDS)])
+        found = self.rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("queries"), F.max("norm").alias("top"), F.percentile_approx("norm", at, 1000).alias("edges")).first()
+        n, self.blocks = found["n"], -(-found["queries"] // CELL_QUERIES) or 1
+        edges = sorted(set(found["edges"] or []), reverse=True) if n > CELL_ROWS else []
         band = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e > F.col("norm"))) if edges else F.lit(0)
-        dealt = self.rows.select("vec_id", "v", "norm", band.cast("int").alias("band"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(cells)).cast("int").alias("cell"))
+        banded = self.rows.select("vec_id", "v", "norm", band.cast("int").alias("band"))
+        sizes = banded.groupBy("band").agg(F.count("*").alias("n"), F.max("norm").alias("top")).collect() if edges else [found]  # BANDS rows at most
+        self.bands = {(r["band"] if edges else 0): (-(-10 * r["n"] // (9 * CELL_ROWS)) or 1, float(r["top"] or 0)) for r in sizes}  # cells (a hash fills them to 9 tenths, so that none passes CELL_ROWS), and the greatest norm
+        cells = F.element_at(F.create_map(*[F.lit(x) for b, (c, _) in self.bands.items() for x in (b, c)]), F.col("band"))
+        # a row's place in the stored table, so that repeated vectors are dealt out too
+        dealt = banded.withColumn("cell", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), cells).cast("int"))
         kind = self.rows.schema["vec_id"].dataType.simpleString()
-        self.tops = {r["band"]: r["top"] for r in dealt.groupBy("band").agg(F.max("norm").alias("top")).collect()}  # BANDS rows
-        self.cells, self.kind = cells, kind
+        self.kind = kind
         schema = f"band int, cell int, ids array<{kind}>, segment int, impact long, starts binary, rows binary, vals binary, rest binary"
         self.postings = stored(dealt.groupBy("band", "cell").applyInArrow(index_cell, schema), "postings")
 
@@ -197,22 +201,25 @@ class Index:
         return queries.groupBy("band", "cell", "block").cogroup(postings.groupBy("in_band", "in_cell", "for_block")).applyInArrow(cell, f"query_id {kind}, vec_id {kind}, score long")
 
 
-def _searched(vectors: DataFrame, is_query: Column, k: int, scale: int) -> tuple[DataFrame, int]:
-    """What the cells found, and the number of (query, cell) searches that the bands alone didn't rule out."""
-    index = Index(vectors, scale)
+def _searched(vectors: DataFrame, is_query: Column, k: int, scale: int, counted: bool = False) -> tuple[DataFrame, int]:
+    """What the cells found, and the number of (query, cell) searches that the bands alone didn't rule out (if ``counted``)."""
+    index = Index(vectors, is_query, scale)
     queries = index.rows.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "norm")).alias("q")).select("vec_id", "q.v", "q.norm")
-    queries = stored(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(-(-queries.count() // CELL_QUERIES) or 1)).cast("int")), "queries")
-    first = index.search(queries.select("vec_id", "v", F.lit(None).cast("long").alias("floor"), F.lit(0).alias("band"), F.lit(0).alias("cell"), "block"), k)
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(index.blocks)).cast("int"))
+    start = min(index.bands)
+    first = index.search(queries.select("vec_id", "v", F.lit(None).cast("long").alias("floor"), F.lit(start).alias("band"), F.lit(0).alias("cell"), "block"), k)
     first = stored(first, "first")
+    if list(index.bands.values())[0][0] == len(index.bands) == 1:
+        return first, queries.count() if counted else 0
     # the k-th best of the first cell; fewer there give no floor
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     floors = first.where("vec_id IS NOT NULL").withColumn("place", place).where(F.col("place") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
-    tops = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(float(t)).alias("top")) for b, t in sorted(index.tops.items())] or [F.struct(F.lit(0).alias("band"), F.lit(0.0).alias("top"))])
-    may = F.filter(tops, lambda t: F.col("floor").isNull() | (F.col("norm") * t["top"] * (1 + 1e-9) >= F.col("floor")))
-    rest = queries.join(floors, "vec_id", "left").withColumn("band", F.explode(F.transform(may, lambda t: t["band"])))
-    rest = rest.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(index.cells - 1)))).where("band > 0 OR cell > 0")
+    every = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(c).alias("cells"), F.lit(t).alias("top")) for b, (c, t) in sorted(index.bands.items())])
+    may = F.filter(every, lambda t: F.col("floor").isNull() | (F.col("norm") * t["top"] * (1 + 1e-9) >= F.col("floor")))
+    rest = queries.join(floors, "vec_id", "left").withColumn("in", F.explode(may))
+    rest = rest.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("in.cells") - 1))).withColumn("band", F.col("in.band")).where((F.col("band") > start) | (F.col("cell") > 0))
     rest = stored(rest.select("vec_id", "v", "floor", "band", "cell", "block"), "searches")
-    return first.unionByName(index.search(rest, k)), queries.count() + rest.count()
+    return first.unionByName(index.search(rest, k)), queries.count() + rest.count() if counted else 0
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
@@ -224,9 +231,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
 
 def proof_report(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> dict[str, int]:
     """How many searches of a query in a cell there could be, were made, and stopped on proof before the last segment."""
-    found, made = _searched(vectors, is_query, k, scale)
-    rows = to_integers(vectors, scale)
-    n, m = rows.count(), rows.where(is_query).select("vec_id").distinct().count()
+    found, made = _searched(vectors, is_query, k, scale, counted=True)
+    index = Index(vectors, is_query, scale)
+    m = index.rows.where(is_query).select("vec_id").distinct().count()
     stopped = found.where("vec_id IS NULL").agg(F.sum("score")).first()[0] or 0
-    bands = min(BANDS, -(-n // CELL_ROWS) or 1)
-    return {"possible": m * bands * max(-(-n // (CELL_ROWS * BANDS)), 1), "made": made, "stopped": stopped}
+    return {"possible": m * sum(c for c, _ in index.bands.values()), "made": made, "stopped": stopped}
