@@ -1,13 +1,14 @@
 """What is gathered on the driver or in a cell has a bound, whatever the rows are like."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 from test_operators import DOCS
 
-from tidewater.llm import common, language_id, quality, topk
+from tidewater.llm import common, jaccard_join, language_id, quality, topk
 
 
 def test_strongest_features():
@@ -78,3 +79,17 @@ def test_vectors_of_one_norm_and_repeated_ones_fill_no_cell(spark):
         scores = (np.floor(256 * data) @ np.floor(256 * np.array(mine))).astype(int)
         want = sorted((-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True) if i != q)[:5]
         assert sorted(got[q], key=lambda x: x[2]) == [(*w, n + 1) for n, w in enumerate(want)]
+
+
+def test_many_texts_under_one_id(spark):
+    """Each row is shingled once, not once for each class of its id."""
+    r = random.Random(9)
+    texts = [" ".join(str(r.randrange(10**6)) for _ in range(20)) for _ in range(1500)]
+    texts += [t + " more" for t in texts[:300]]
+    got = {}
+    for name, ids in (("one", [7] * len(texts)), ("many", range(len(texts)))):
+        df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(ids, texts, strict=True)], DOCS).repartition(4)
+        began = time.monotonic()
+        got[name] = jaccard_join.near_duplicate_components(df).groupBy("component_id").count().collect(), time.monotonic() - began
+    assert got["one"][0] == [(7, len(texts))] and sorted(x["count"] for x in got["many"][0]) == [1] * 1200 + [2] * 300
+    assert got["one"][1] < 3 * got["many"][1] + 5

@@ -346,16 +346,20 @@ def _named(docs: DataFrame, most_light: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """c, cb, text of each class, fetched by its representative's id; where that id is repeated, the text must give the class."""
+    """c, cb, text of each class, fetched by its representative's id; where ids are repeated, by id and class, which each row gives once."""
     wanted = classes.select(F.col("rep.id").alias("_rep"), "c", "cb").hint("merge")  # grows with docs: one plan at every size
-    rows = docs.join(wanted, docs["doc_id"] == wanted["_rep"]).select("text", "c", "cb")
+    if not _repeats(docs):
+        return docs.join(wanted, docs["doc_id"] == wanted["_rep"]).select("text", "c", "cb")
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            keep = [_class_of(shingle_set(t, WORDS)) == (c, d) for t, c, d in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            c = [_class_of(shingle_set(t, WORDS)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in c], pa.int64()), pa.array([y for _, y in c], pa.int64())], ["_rep", "text", "c", "cb"])
 
-    return rows.mapInArrow(own, "text string, c long, cb long").dropDuplicates(["c", "cb"]) if _repeats(docs) else rows
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(classed, f"_rep {kind}, text string, c long, cb long")
+    once = rows.groupBy("_rep", "c", "cb").agg(F.first("text").alias("text"))
+    return once.join(wanted, ["_rep", "c", "cb"]).select("text", "c", "cb")
 
 
 def _repeats(docs: DataFrame) -> bool:
