@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,48 @@ def test_components_of_random_sets(spark):
     assert taken(jaccard_join.near_duplicate_components(df), "doc_id", "n_shingles", "component_id") == plain_components(rows)
 
 
+def test_bitmaps_of_large_sets_rule_out_no_link():
+    """Sets around 1,024 and 2,048 shingles, where a bitmap is twice as wide as the next; of sets of 9,000, what shares a quarter only is ruled out."""
+    r = random.Random(6)
+    sets = []
+    for size in (1000, 1030, 1900, 2060, 2600):
+        base = np.array([r.getrandbits(64) for _ in range(size)], np.uint64)
+        for _ in range(8):
+            h = base[np.array([r.random() for _ in base]) > r.choice((0.02, 0.08, 0.12))]
+            more = np.array([r.getrandbits(64) for _ in range(r.randint(0, size // 10))], np.uint64)
+            sets.append(np.unique(np.concatenate((h, more))))
+    shared = np.array([r.getrandbits(64) for _ in range(2250)], np.uint64)
+    large = [np.unique(np.concatenate((shared, np.array([r.getrandbits(64) for _ in range(6750)], np.uint64)))) for _ in range(4)]
+    sets += large
+    k = len(sets)
+    maps = [jaccard_join._bitmap(h) for h in sets]
+    assert len({len(x) for x in maps}) == 4
+    zero, c = [0] * k, list(range(k))
+    cell = {"hub": zero, "i": zero, "j": [1] * k, "block": [x % 2 for x in c], "c": c, "cb": c, "n": [len(h) for h in sets], "lc": c, "lcb": zero, "bits": [x.tolist() for x in maps]}
+    got = set(jaccard_join._possible_members(pa.table(cell)).column("c").to_pylist())
+    want = set()
+    for x in range(0, k, 2):
+        for y in range(1, k, 2):
+            both = len(np.intersect1d(sets[x], sets[y]))
+            if 100 * both >= 80 * (len(sets[x]) + len(sets[y]) - both):
+                want |= {x, y}
+    assert 10 < len(want) and want <= got and not got & set(range(k - len(large), k))
+
+
+def test_long_texts_match_brute_force(spark):
+    r = random.Random(16)
+    rows = []
+    for size in (1000, 1040, 2080):
+        base = [f"w{r.randrange(5000)}" for _ in range(size)]
+        for _ in range(7):
+            w = list(base) + [f"x{i}" for i in range(r.randint(0, 60))]
+            for _ in range(r.choice((5, 20, 24, 30))):
+                w[r.randrange(size)] = f"v{r.randrange(400)}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert taken(jaccard_join.near_duplicate_components(df), "doc_id", "n_shingles", "component_id") == plain_components(rows)
+
+
 def test_salted_lists_and_small_blocks_lose_no_link(spark, monkeypatch):
     """All that is done for long lists, on short ones; the boundary at both ends."""
     r = random.Random(4)

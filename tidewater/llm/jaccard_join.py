@@ -54,6 +54,7 @@ from .shingles import U64, numbers, scramble, shingle_set
 WORDS = 5
 #: Counters of the frequency sketch, in blocks; its size is fixed whatever the corpus.
 SKETCH_BITS, BLOCKS = 20, 256
+#: The least size of a bitmap.
 BITMAP_LONGS = 16
 #: Members of a block of a hub's and the bytes of their sets; two blocks are compared at a time.
 CELL, CELL_BYTES = 256, 4 << 20
@@ -94,9 +95,14 @@ def _class_of(h: np.ndarray) -> tuple[int, int]:
 
 
 def _bitmap(h: np.ndarray) -> np.ndarray:
-    """Whether an odd number of elements falls on each bit: an element that only one of two sets has flips one bit of the difference, so large sets don't saturate it."""
-    places = (scramble(h) & U64(BITMAP_LONGS * 64 - 1)).astype(np.int64)
-    return np.packbits(np.bincount(places, minlength=BITMAP_LONGS * 64) & 1 == 1).view("<i8")
+    """Whether an odd number of elements falls on each bit, so an element that only one of two sets has flips one bit of the difference.
+
+    There is a bit for each element, rounded up to a power of two: sets of any size tell apart what differs by a third. The exclusive or of
+    its halves is the bitmap of half the bits; sets within the size ratio have as many bits or twice as many.
+    """
+    bits = max(BITMAP_LONGS * 64, 1 << (len(h) - 1).bit_length() if len(h) else 1)
+    places = (scramble(h) & U64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=bits) & 1 == 1, bitorder="little").view("<i8")
 
 
 def _sets(docs: DataFrame, most_light: int) -> DataFrame:
@@ -119,7 +125,7 @@ def _sets(docs: DataFrame, most_light: int) -> DataFrame:
                 buckets.append(_packed(h) if 2 <= len(h) <= most_light else None)
             rows = len(n)
             ints = lambda x: pa.array(x, pa.int64())
-            bitmaps = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * BITMAP_LONGS, pa.int32()), ints(np.concatenate(bits) if bits else []))
+            bitmaps = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bits)]), pa.int32()), ints(np.concatenate(bits) if bits else []))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ints(n), ints(size), ints(c), ints(cb), bitmaps, pa.array(buckets, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], SET_COLUMNS)
         parts = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(BLOCKS, -1)]
         nulls = lambda kind: pa.nulls(BLOCKS, kind)
@@ -258,10 +264,11 @@ def _possible(na, nb, ba, bb) -> Column:
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs: a, b (classes; few b may be in most pairs). The pairs of their representatives (u, v) that link, by bitmaps and then by the texts, stored."""
+    """pairs: a, b (classes within the size ratio; few b may be in most pairs). The pairs of their representatives (u, v) that link, by bitmaps and then by the texts, stored."""
     scratch = Scratch(pairs.sparkSession)
     side = lambda x: classes.select(F.col("c").alias(x), F.col("cb").alias(f"cb_{x}"), F.col("n").alias(f"n_{x}"), F.col("rep").alias(f"rep_{x}"), F.col("bits").alias(f"bits_{x}"))
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    half = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda s, t: s.bitwiseXOR(t))).otherwise(F.col(x))
+    apart = F.aggregate(F.zip_with(half("bits_a", "bits_b"), half("bits_b", "bits_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     pairs = scratch.stored(pairs, "pairs")
     left = join_salted(pairs, side("b"), ["b"], hot_keys(pairs, ["b"])).join(side("a"), "a").where(9 * (F.col("n_a") + F.col("n_b") - apart) >= 8 * (F.col("n_a") + F.col("n_b")))
     left = scratch.stored(left.select("a", "cb_a", "rep_a", "b", "cb_b", "rep_b"), "left")
@@ -425,18 +432,23 @@ def _possible_members(cell: pa.Table) -> pa.Table:
     i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
     n, block = cell.column("n").to_numpy(), cell.column("block").to_numpy()
     label = _labels(cell)
-    bits = cell.column("bits").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(U64).reshape(len(n), BITMAP_LONGS)
-    left = np.flatnonzero(block == i)
-    right = left if i == j else np.flatnonzero(block == j)
+    bits = cell.column("bits").combine_chunks()
+    width = bits.value_lengths().to_numpy(zero_copy_only=False)
+    start, longs = np.cumsum(width) - width, bits.flatten().to_numpy(zero_copy_only=False).view(U64)
     good = np.zeros(len(n), bool)
-    for at in range(0, len(left), 16):
-        x = left[at : at + 16]
-        both = n[x, None].astype(np.int64) + n[None, right]
-        apart = np.bitwise_count(bits[x, None, :] ^ bits[None, right, :]).sum(2, dtype=np.int64)
-        may = (9 * (both - apart) >= 8 * both) & (label[x, None] != label[None, right])
-        may &= 5 * np.minimum(n[x, None], n[None, right]) >= 4 * np.maximum(n[x, None], n[None, right])
-        good[x] |= may.any(1)
-        good[right] |= may.any(0)
+    for w in np.unique(width):  # with those of twice the width, which are folded
+        own, wide = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        at = np.concatenate((own, wide))
+        maps = np.concatenate((longs[start[own, None] + np.arange(w)], np.bitwise_xor.reduce(longs[start[wide, None] + np.arange(2 * w)].reshape(-1, 2, w), axis=1)))
+        left, right = np.flatnonzero(block[at] == i), np.flatnonzero(block[at] == j)
+        for k in range(0, len(left), 16):
+            x, y = at[left[k : k + 16]], at[right]
+            both = n[x, None].astype(np.int64) + n[None, y]
+            apart = np.bitwise_count(maps[left[k : k + 16], None, :] ^ maps[None, right, :]).sum(2, dtype=np.int64)
+            may = (9 * (both - apart) >= 8 * both) & (label[x, None] != label[None, y])
+            may &= (5 * np.minimum(n[x, None], n[None, y]) >= 4 * np.maximum(n[x, None], n[None, y])) & ((width[x, None] == w) | (width[None, y] == w))
+            good[x] |= may.any(1)
+            good[y] |= may.any(0)
     return cell.select(["hub", "i", "j", "c", "cb"]).filter(pa.array(good))
 
 
