@@ -27,6 +27,16 @@ def test_query_equals_sql(spark, sf, name):
     assert rows == sorted(map(repr, want))
 
 
+def test_streams_leave_the_sessions_state_store(spark, sf):
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    own, other = spark.conf.get(setting), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(setting, other)
+    try:
+        assert catalogue.QUERIES["stream_to_metric"](spark, sf).count() and spark.conf.get(setting) == other
+    finally:
+        spark.conf.set(setting, own)
+
+
 def test_entry_without_corpus_operators():
     code = "import sys; sys.modules['tidewater.llm'] = None; import __spark_entry__ as e; assert e.queries() and not any(k.startswith('op') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)

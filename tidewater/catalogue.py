@@ -23,7 +23,6 @@ from .operators import ordered as O
 from .operators import pi, tracks
 from .operators.windowing import WindowSpec
 from .plans.sql import longest_word_udaf, run_sql, tokenize_udf
-from .session import STATE_STORE
 from .sources import readers, sinks
 from .streaming import processors as P
 from .streaming import windows as W
@@ -467,8 +466,7 @@ def file_read_lines(spark, sf_dir):
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream, with the state store that stateful operators need."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    """The events as a stream."""
     schema = table(spark, sf_dir, "events").schema
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))  # a pattern, as the table may be one file
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.geo import try_parse_position
+from ..session import STATE_STORE
 
 
 def records(df: DataFrame, value: Column, key: Column | None = None) -> DataFrame:
@@ -69,11 +70,19 @@ def tee(df: DataFrame, name: str, **measures: Column) -> DataFrame:
 
 
 def finished(df: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over what is there now, in append mode, and gives its rows as a table in the shared folder."""
-    spark = df.sparkSession
+    """Runs a stream over what is there now, in append mode, and gives its rows as a table in the shared folder.
+
+    It runs with the state store that stateful operators need; the session's own setting is as before afterwards.
+    """
+    spark, setting = df.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
-    writer.start(path).awaitTermination()
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, STATE_STORE)
+    try:
+        writer.start(path).awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     delete(spark, f"{path}-state")
     return spark.read.schema(df.schema).parquet(path)
 
