@@ -1,0 +1,33 @@
+"""What queries exchange, hold and give where their tables are large."""
+
+from pyspark.sql import functions as F
+
+from tidewater.operators import tracks
+from tidewater.operators.windowing import WindowSpec
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _positions(spark):
+    return spark.range(400).select((F.col("id") % 4).alias("key"), (F.col("id") * 0.001).alias("lat"), F.lit(0.0).alias("lon"), (F.col("id") * 1_000_000).alias("ts"))
+
+
+def test_long_windows_take_one_exchange_of_the_pieces(spark):
+    m = tracks.to_metric(_positions(spark), unit_ms=3_600_000, hot_rows=10)
+    exchanges = lambda df: _plan(df).count("Exchange hashpartitioning")
+    fast, slow = tracks.paces(m, "1 hour", "5 hours")
+    assert exchanges(fast) == exchanges(slow) == exchanges(m) + 1
+    assert exchanges(tracks.windowed_pace(m, WindowSpec("5 hours", "1 hour"))) == exchanges(m) + 1
+
+
+def test_positions_that_become_many_pieces_keep_their_partitions(spark):
+    assert "REPARTITION_BY_NUM" in _plan(tracks.to_metric(_positions(spark), hot_rows=10))
+    assert "REPARTITION_BY_NUM" not in _plan(tracks.to_metric(_positions(spark), hot_rows=None))
+
+
+def test_paces_are_not_broadcast(spark):
+    m = tracks.to_metric(_positions(spark), unit_ms=3_600_000)
+    for strategy in ("side_input", "cogroup", "inner_join"):
+        assert "Broadcast" not in _plan(tracks.alerts(m, "1 hour", "5 hours", strategy))
