@@ -1,9 +1,14 @@
 """What queries exchange, hold and give where their tables are large."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewater.operators import tracks
+from tidewater.operators.combine import Pace
 from tidewater.operators.windowing import WindowSpec
+from tidewater.streaming import processors as P
+from tidewater.streaming.panes import Panes
 
 
 def _plan(df):
@@ -31,3 +36,60 @@ def test_paces_are_not_broadcast(spark):
     m = tracks.to_metric(_positions(spark), unit_ms=3_600_000)
     for strategy in ("side_input", "cogroup", "inner_join"):
         assert "Broadcast" not in _plan(tracks.alerts(m, "1 hour", "5 hours", strategy))
+
+
+class _Map(dict):
+    """A map state that counts how often it is read whole."""
+
+    reads = 0
+
+    def iterator(self):
+        self.reads += 1
+        return iter([((k,), (v,)) for k, v in self.items()])
+
+    containsKey = lambda self, k: k[0] in self
+    updateValue = lambda self, k, v: self.update({k[0]: v[0]})
+    removeKey = lambda self, k: self.pop(k[0])
+
+
+def test_changelog_joins_read_a_parts_rows_once():
+    join = P.ChangelogJoin()
+    join.sides = {"left": _Map({f"u{i}": "0" for i in range(500)}), "right": _Map()}
+    due = [(ts, "right", "k", False, str(ts)) for ts in range(400)]
+    frames = list(join.ready(("k", 0), due, 1000))
+    assert len(frames) > 1 and max(map(len, frames)) < 2 * P.CHUNK
+    rows = pd.concat(frames)
+    assert len(rows) == 500 * (400 + 399) and (rows.sign == "+").sum() == 500 * 400
+    assert join.sides["left"].reads == join.sides["right"].reads == 1 and join.sides["right"] == {"k": "399"}
+
+
+class _Value:
+    value = None
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_pieces_of_long_legs_come_in_bounded_frames():
+    tracker = P.ToMetric(60_000)
+    tracker.last, n = _Value(), 200_000
+    frames = list(tracker.ready(("a",), [(30_000 + i * n * 30_000, 0.0, float(i % 2)) for i in range(5)], 1))
+    assert len(frames) == 4 and sum(map(len, frames)) == 4 * (n // 2) + 4
+    assert pd.concat(frames).duration.sum() == 4 * n * 30_000 and tracker.last.value[0] == 30_000 + 4 * n * 30_000
+
+
+def test_rows_of_windows_are_folded_once():
+    class Counting(Pace):
+        folds = 0
+
+        def fold(self, columns, starts):
+            self.folds += len(starts)
+            return super().fold(columns, starts)
+
+    fn = Counting()
+    ts = np.arange(240) * 900_000
+    found = list(Panes(WindowSpec("5 hours", "1 hour"), fn, ["length", "duration"]).by_window(pd.DataFrame({"ts_ms": ts, "length": 1.0, "duration": 2.0})))
+    assert fn.folds == 60 and len(found) == 64
+    assert {s // 3_600_000: (n, state) for s, _, n, state in found}[10] == (20, (20.0, 40.0))

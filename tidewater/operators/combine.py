@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -48,6 +49,30 @@ class CombineFn(ABC):
     @abstractmethod
     def extract(self, state: tuple) -> Any: ...
 
+    # The same for many keys at once. Sorted rows or states stand in runs, which begin at ``starts``; states are columns, one for each field.
+
+    #: Whether states are arrays of numbers without missing ones, for functions that have the three below in numpy; else arrays of objects.
+    numeric = False
+
+    def fold(self, columns: list[np.ndarray], starts: np.ndarray) -> list[np.ndarray]:
+        ends = [*starts[1:].tolist(), len(columns[0])]
+        return _columns([self.add(self.create(), *[c[a:b] for c in columns]) for a, b in zip(starts.tolist(), ends, strict=True)], len(self.create()))
+
+    def gather(self, states: list[np.ndarray], starts: np.ndarray) -> list[np.ndarray]:
+        rows = list(zip(*states, strict=True))
+        ends = [*starts[1:].tolist(), len(rows)]
+        return _columns([reduce(self.merge, rows[a:b]) for a, b in zip(starts.tolist(), ends, strict=True)], len(states))
+
+    def results(self, states: list[np.ndarray]) -> list | pa.Array:
+        return [self.extract(s) for s in zip(*states, strict=True)]
+
+
+def _columns(rows: list[tuple], fields: int) -> list[np.ndarray]:
+    out = [np.empty(len(rows), object) for _ in range(fields)]
+    for i in range(fields):
+        out[i][:] = [r[i] for r in rows]
+    return out
+
 
 def present(column: np.ndarray) -> np.ndarray:
     """The values that aren't missing."""
@@ -126,87 +151,142 @@ class Pace(CombineFn):
     def extract(self, state: tuple) -> float | None:
         return state[0] * 1000 / state[1] if state[1] else None
 
+    numeric = True
+
+    def fold(self, columns: list[np.ndarray], starts: np.ndarray) -> list[np.ndarray]:
+        return self.gather([np.nan_to_num(c.astype(float), nan=0.0, posinf=np.inf, neginf=-np.inf) for c in columns], starts)
+
+    def gather(self, states: list[np.ndarray], starts: np.ndarray) -> list[np.ndarray]:
+        return [np.add.reduceat(c, starts) if len(starts) else c[:0] for c in states]
+
+    def results(self, states: list[np.ndarray]) -> pa.Array:
+        none = states[1] == 0
+        return pa.array(states[0] * 1000 / np.where(none, 1.0, states[1]), mask=none)
+
+
+def numbered(keys: list[pa.Array], rows: int) -> np.ndarray:
+    """A number for each row, equal where the keys are; missing keys are equal."""
+    out = np.zeros(rows, np.int64)
+    for k in keys:
+        try:
+            codes = k.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        except pa.ArrowNotImplementedError:
+            seen: dict = {}
+            codes = np.fromiter((seen.setdefault(repr(x), len(seen)) for x in k.to_pylist()), np.int64, rows)
+        out = np.unique(out * (int(codes.max(initial=0)) + 1) + codes, return_inverse=True)[1]
+    return out
 
-def grouped(keys: list[pa.Array], columns: list[pa.Array]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
-    """The rows of a batch by key: the key, and its rows' columns."""
-    rows = len(columns[0]) if columns else 0
-    numbers: dict[tuple, int] = {}
-    of = np.fromiter((numbers.setdefault(k, len(numbers)) for k in zip(*(k.to_pylist() for k in keys), strict=True)), np.int64, rows) if keys else np.zeros(rows, np.int64)
-    if not keys:
-        numbers[()] = 0
-    order = np.argsort(of, kind="stable")
-    ends = np.cumsum(np.bincount(of, minlength=len(numbers)))
-    values = [c.to_numpy(zero_copy_only=False)[order] for c in columns]
-    start = 0
-    for key, end in zip(numbers, ends.tolist(), strict=True):
-        if end > start:
-            yield key, [v[start:end] for v in values]
-        start = end
 
+class _States:
+    """States of keys: a record batch of the keys and of the state's fields."""
 
-def _table(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    def __init__(self, kind: StructType, keys: int, fn: CombineFn) -> None:
+        schema = to_arrow_schema(kind)
+        self.keys, self.fn = keys, fn
+        self.fields = list(schema.field(STATE).type)
+        self.schema = pa.schema([*list(schema)[:keys], *self.fields])
+
+    def batch(self, keys: list[pa.Array], states: list) -> pa.RecordBatch:
+        own = [pa.array(s, f.type) for s, f in zip(states, self.fields, strict=True)]
+        return pa.RecordBatch.from_arrays([*(k.cast(f.type) for k, f in zip(keys, self.schema, strict=False)), *own], schema=self.schema)
+
+    def columns(self, b: pa.RecordBatch) -> list[np.ndarray]:
+        own = b.columns[self.keys :]
+        return [c.to_numpy(zero_copy_only=False) for c in own] if self.fn.numeric else _columns(list(zip(*(c.to_pylist() for c in own), strict=True)), len(own))
+
+    def gathered(self, b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        """States that stand one after the other as one."""
+        if len(starts) == b.num_rows:
+            return b
+        at = pa.array(starts)
+        return self.batch([k.take(at) for k in b.columns[: self.keys]], self.fn.gather(self.columns(b), starts))
+
+    def struct(self, b: pa.RecordBatch) -> pa.Array:
+        return pa.StructArray.from_arrays(b.columns[self.keys :], fields=self.fields)
+
+
+def _runs(of: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
 
 
 def partials(df: DataFrame, keys: list[str], fn: CombineFn, inputs: list[str], most_keys: int = MOST_KEYS) -> DataFrame:
     """keys, ORIGIN (the task), STATE: a state for each key and task, without an exchange."""
     kind = StructType([*(df.schema[k] for k in keys), *StructType.fromDDL(f"{ORIGIN} long, {STATE} struct<{fn.state}>")])
-    schema = to_arrow_schema(kind)
-    fields = schema.field(STATE).type
+    schema, n = to_arrow_schema(kind), len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        origin, states = TaskContext.get().partitionId(), {}
+        origin, states = TaskContext.get().partitionId(), _States(kind, n, fn)
+        held: pa.RecordBatch | None = None
+
+        def sort(b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+            of = numbered(b.columns[:n], b.num_rows)
+            order = np.argsort(of, kind="stable")
+            return b.take(pa.array(order)), _runs(of[order])
 
-        def given() -> pa.RecordBatch:
-            found = [dict(zip(fields.names, s, strict=True)) for s in states.values()]
-            out = _table(schema, [*([k[i] for k in states] for i in range(len(keys))), [origin] * len(states), found])
-            states.clear()
-            return out
+        def folded(b: pa.RecordBatch) -> pa.RecordBatch:
+            """With what is held."""
+            b, starts = sort(b)
+            at = pa.array(starts)
+            new = states.batch([k.take(at) for k in b.columns[:n]], fn.fold([c.to_numpy(zero_copy_only=False) for c in b.columns[n:]], starts))
+            return new if held is None else states.gathered(*sort(_joined([held, new])))
 
-        for b in batches:
-            for key, columns in grouped([b.column(i) for i in range(len(keys))], [b.column(i) for i in range(len(keys), b.num_columns)]):
-                states[key] = fn.add(states[key] if key in states else fn.create(), *columns)
-            if len(states) >= most_keys:
-                yield given()
-        if states:
-            yield given()
+        def given(b: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([origin] * b.num_rows, pa.int64()), states.struct(b)], schema=schema)
+
+        for b in together(batches):
+            held = folded(b)
+            if held.num_rows >= most_keys:
+                yield given(held)
+                held = None
+        if held is not None:
+            yield given(held)
 
     return df.select(*keys, *inputs).mapInArrow(run, kind)
 
 
+def together(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows, about; none that is empty."""
+    waiting: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            waiting.append(b)
+        if sum(w.num_rows for w in waiting) >= rows:
+            yield _joined(waiting)
+            waiting = []
+    if waiting:
+        yield _joined(waiting)
+
+
 def _merged(dealt: DataFrame, keys: list[str], fn: CombineFn, result: str | None) -> DataFrame:
     """States of a key that stand one after the other as one, or with ``result`` (a column's name) what is extracted."""
     own = [dealt.schema[k] for k in keys]
     kind = StructType([*own, *(StructType.fromDDL(f"`{result}` {fn.result}") if result else [dealt.schema[ORIGIN], dealt.schema[STATE]])])
-    schema = to_arrow_schema(kind)
-    names = to_arrow_schema(dealt.schema).field(STATE).type.names
+    schema, by = to_arrow_schema(kind), keys if result else [*keys, ORIGIN]
+    inner = StructType([*(dealt.schema[k] for k in by), dealt.schema[STATE]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        out: list[tuple] = []
-
-        def put(held: tuple) -> None:
-            key, origin, state = held
-            out.append((*key, fn.extract(state)) if result else (*key, origin, dict(zip(names, state, strict=True))))
-
-        for b in batches:
-            columns = [b.column(k).to_pylist() for k in (*keys, ORIGIN, STATE)]
-            for *key, origin, state in zip(*columns, strict=True):
-                key, state = tuple(key), tuple(state[n] for n in names)
-                if held and held[0] == key and (result or held[1] == origin):
-                    held = (key, origin, fn.merge(held[2], state))
-                    continue
-                if held:
-                    put(held)
-                held = (key, origin, state)
-            if out:
-                yield _table(schema, list(map(list, zip(*out, strict=True))))
-                out.clear()
-        if held:
-            put(held)
-            yield _table(schema, list(map(list, zip(*out, strict=True))))
+        states = _States(inner, len(by), fn)
+        held: pa.RecordBatch | None = None  # the last key's, which may go on
+
+        def given(b: pa.RecordBatch) -> pa.RecordBatch:
+            last = pa.array(fn.results(states.columns(b)), schema.field(result).type) if result else states.struct(b)
+            return pa.RecordBatch.from_arrays([*b.columns[: len(by)], last], schema=schema)
+
+        for b in together(batches):
+            flat = pa.RecordBatch.from_arrays([*(b.column(k) for k in by), *b.column(STATE).flatten()], schema=states.schema)
+            both = _joined([flat] if held is None else [held, flat])
+            one = states.gathered(both, _runs(numbered(both.columns[: len(by)], both.num_rows)))
+            held = one.slice(one.num_rows - 1)
+            if one.num_rows > 1:
+                yield given(one.slice(0, one.num_rows - 1))
+        if held is not None:
+            yield given(held)
 
     return dealt.mapInArrow(run, kind)
 

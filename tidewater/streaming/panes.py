@@ -17,6 +17,7 @@ state (``finished_panes``).
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -29,13 +30,13 @@ from pyspark.sql.types import StructType
 
 from ..operators.combine import CombineFn
 from ..operators.windowing import WindowSpec, millis
-from .ordered import clock
+from .ordered import times
 
 #: Fields of a window's state before those of the function's: when its latest row was, rows since the last pane, and whether the end has passed.
 OWN_STATE = "pane_latest long, pane_fresh long, pane_ended boolean"
 NEVER = -(1 << 62)
 #: Windows that are stored together: a key's state is read and written by so many.
-TOGETHER = 64
+TOGETHER = 1024
 
 
 def _fields(fn: CombineFn) -> str:
@@ -86,27 +87,32 @@ class Panes(StatefulProcessor):
         mark = timers.getCurrentWatermarkInMs()
         return mark + self.behind if mark > 0 else NEVER
 
-    def by_window(self, pdf: pd.DataFrame) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-        """start, latest time and inputs of the rows of each window."""
+    def by_window(self, pdf: pd.DataFrame) -> Iterator[tuple[int, int, int, tuple]]:
+        """start, latest time, number of rows and state of the rows of each window. Rows are folded by the cells that windows consist of, and cells' states merged."""
         ts = pdf.ts_ms.to_numpy("int64")
         columns = [pdf[c].to_numpy() for c in self.inputs]
-        if not self.size:
-            yield 0, int(ts.max()), columns
-            return
-        last = ts - ts % self.slide
-        for back in range(-(-self.size // self.slide)):
-            start = last - back * self.slide
-            inside = start + self.size > ts
-            for s in np.unique(start[inside]).tolist():
-                rows = inside & (start == s)
-                yield s, int(ts[rows].max()), [c[rows] for c in columns]
+        width = math.gcd(self.size, self.slide)
+        cell = ts // width * width if self.size else np.zeros_like(ts)
+        order = np.argsort(cell, kind="stable")
+        at, firsts, counts = np.unique(cell[order], return_index=True, return_counts=True)
+        latest = np.maximum.reduceat(ts[order], firsts).tolist()
+        states = zip(*(s.tolist() for s in self.fn.fold([c[order] for c in columns], firsts)), strict=True)
+        found: dict[int, tuple[int, int, tuple]] = {}
+        for c, last, n, state in zip(at.tolist(), latest, counts.tolist(), states, strict=True):
+            start = c - c % self.slide if self.size else 0
+            while start + self.size > c or not self.size:
+                w = found.get(start)
+                found[start] = (last, n, state) if w is None else (max(w[0], last), w[1] + n, self.fn.merge(w[2], state))
+                if not self.size:
+                    break
+                start -= self.slide
+        return ((start, *w) for start, w in found.items())
 
     def pane(self, key: tuple, start: int, held: list, kind: str, mark: int) -> tuple:
         end = start + self.size if self.size else None
         latest = held[0]
         stamp = latest if end is None or (self.spec.stamp != "end" and latest is not None) else end - 1
-        times = (None if x is None else pd.Timestamp(x, unit="ms", tz="UTC") for x in (start if self.size else None, end, stamp))
-        return key[0], *times, kind, self.fn.extract(tuple(held[3:])), clock(max(mark, 0))
+        return key[0], start if self.size else None, end, stamp, kind, self.fn.extract(tuple(held[3:])), max(mark, 0) + 1
 
     def give(self, key: tuple, start: int, held: list, kind: str, mark: int) -> tuple:
         """The pane of a window, whose state is then as after it."""
@@ -123,7 +129,7 @@ class Panes(StatefulProcessor):
         slots: dict[int, dict[int, list]] = {}
         touched: dict[int, list] = {}
         for pdf in rows:
-            for start, latest, columns in self.by_window(pdf) if len(pdf) else ():
+            for start, latest, n, state in self.by_window(pdf) if len(pdf) else ():
                 if self.size and start + self.size - 1 + self.lateness < now:
                     continue  # droppable
                 if start not in touched:
@@ -133,8 +139,8 @@ class Panes(StatefulProcessor):
                     touched[start] = slots[slot].setdefault(start, [None, 0, False, *self.fn.create()])
                 w = touched[start]
                 w[0] = latest if w[0] is None else max(w[0], latest)
-                w[1] += len(columns[0])
-                w[3:] = self.fn.add(tuple(w[3:]), *columns)
+                w[1] += n
+                w[3:] = self.fn.merge(tuple(w[3:]), state)
         out = []
         for start, w in touched.items():
             late = bool(self.size) and (w[2] or start + self.size <= now)
@@ -166,7 +172,10 @@ class Panes(StatefulProcessor):
         yield self._frame(out)
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["key", "start", "end", "stamp", "pane", "value", "clock"]) if rows else pd.DataFrame()
+        if not rows:
+            return pd.DataFrame()
+        columns = dict(zip(["key", "start", "end", "stamp", "pane", "value", "clock"], zip(*rows, strict=True), strict=True))
+        return pd.DataFrame({c: times(v) if c in ("start", "end", "stamp", "clock") else list(v) for c, v in columns.items()})
 
     def close(self) -> None:
         pass
