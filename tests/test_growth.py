@@ -80,7 +80,7 @@ def test_pieces_of_long_legs_come_in_bounded_frames():
     assert pd.concat(frames).duration.sum() == 4 * n * 30_000 and tracker.last.value[0] == 30_000 + 4 * n * 30_000
 
 
-def test_rows_of_windows_are_folded_once():
+def test_rows_of_windows_are_folded_once(spark):
     class Counting(Pace):
         folds = 0
 

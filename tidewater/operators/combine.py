@@ -25,8 +25,8 @@ from pyspark.sql.types import StructType
 
 from .ordered import OWN
 
-#: Parts of each round of merging but the last; keys whose states a task holds at most before it gives them out.
-ROUNDS, MOST_KEYS = (256, 16), 100_000
+#: Parts of each round of merging but the last (a key has about one state a task, so of 10,000 tasks 625 states meet in a part); keys whose states a task holds at most before it gives them out.
+ROUNDS, MOST_KEYS = (16,), 100_000
 ORIGIN, STATE = f"{OWN}origin", f"{OWN}state"
 
 
