@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tidewater.operators import tracks
 from tidewater.operators.combine import Pace
 from tidewater.operators.windowing import WindowSpec
+from tidewater.plans.sql import run_sql
+from tidewater.sources import sinks
 from tidewater.streaming import processors as P
 from tidewater.streaming.panes import Panes
 
@@ -93,3 +95,21 @@ def test_rows_of_windows_are_folded_once(spark):
     found = list(Panes(WindowSpec("5 hours", "1 hour"), fn, ["length", "duration"]).by_window(pd.DataFrame({"ts_ms": ts, "length": 1.0, "duration": 2.0})))
     assert fn.folds == 60 and len(found) == 64
     assert {s // 3_600_000: (n, state) for s, _, n, state in found}[10] == (20, (20.0, 40.0))
+
+
+def test_a_table_streams_in_steps_in_order_of_time(spark):
+    """No step has a row before the step before, and a statement over the stream gives what it gives over the table, up to the watermark."""
+    m = tracks.to_metric(_positions(spark), unit_ms=3_600_000).withColumn("ts", F.timestamp_millis("ts"))
+    stream, arrivals, path = sinks.in_steps(m, "ts", "steps", step_rows=m.count() // 5)
+    spans = spark.read.parquet(f"{path}/steps").groupBy("_step").agg(F.min("ts"), F.max("ts"), F.count("*")).orderBy("_step").collect()
+    assert len(spans) == len(arrivals) == 5 and sum(s[3] for s in spans) == m.count() and all(a[2] < b[1] for a, b in zip(spans, spans[1:], strict=False))
+    paces = lambda df: run_sql(spark, tracks.paces_sql("1 hour", "5 hours"), metrics=df).selectExpr("key", "window_end", "round(short_pace, 6)", "round(long_pace, 6)")
+    got = sinks.finished(paces(stream.withWatermark("ts", "0 seconds")), "paces", arrivals).collect()
+    end = m.agg(F.max("ts")).first()[0]
+    assert sorted(got) == sorted(r for r in paces(m).collect() if r.window_end <= end) and got
+
+
+def test_an_empty_table_streams(spark):
+    m = tracks.to_metric(_positions(spark).limit(0), unit_ms=3_600_000).withColumn("ts", F.timestamp_millis("ts"))
+    stream, arrivals, _ = sinks.in_steps(m, "ts", "steps")
+    assert sinks.finished(stream, "rows", arrivals).collect() == []

@@ -546,15 +546,13 @@ def stream_motivation_side_input(spark, sf_dir):
 
 @query(f"SELECT CAST(key AS VARCHAR) AS key, window_end, ratio, is_up FROM ({_alerts(guard=f's.pace <> 0 AND w * 1000 <= (SELECT max(ended) * 1000 FROM m)')})")
 def stream_motivation_sql(spark, sf_dir):
-    """The statement of ``motivation_sql`` over a stream of pieces, up to the watermark."""
-    path = f"{sinks.shared_dir(spark)}/pieces-{uuid.uuid4().hex}"
+    """The statement of ``motivation_sql`` over a stream of pieces that come in steps, up to the watermark."""
     pieces = metrics(spark, sf_dir).withColumn("ts", F.timestamp_millis("ts")).withColumn("key", F.col("key").cast("string"))
-    pieces.write.parquet(path)
-    stream = spark.readStream.schema(pieces.schema).parquet(path).withWatermark("ts", "0 seconds")
-    both = run_sql(spark, tracks.paces_sql("1 hour", "5 hours"), metrics=stream)
-    out = sinks.finished(both, "paces")
+    stream, arrivals, path = sinks.in_steps(pieces, "ts", "pieces")
+    both = run_sql(spark, tracks.paces_sql("1 hour", "5 hours"), metrics=stream.withWatermark("ts", "0 seconds"))
+    out = sinks.finished(_alert_rows(tracks.out_of_band(both, ["key", "window_end"])), "alerts", arrivals)
     sinks.delete(spark, path)
-    return _alert_rows(tracks.out_of_band(out, ["key", "window_end"]))
+    return out
 
 
 _STREAM_CHANGES = f"""

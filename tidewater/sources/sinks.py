@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..functions.geo import try_parse_position
 from ..session import STATE_STORE
 
+#: What keeps a stream's disk to the size of its last batches.
+SPARING = {"spark.sql.streaming.minBatchesToRetain": "2", "spark.sql.streaming.stateStore.maintenanceInterval": "10s", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Rows of a step of a table that is streamed, and steps at most.
+STEP_ROWS, MOST_STEPS = 1_000_000, 100
+
 
 def records(df: DataFrame, value: Column, key: Column | None = None) -> DataFrame:
     """key, value as strings; the key is empty unless given."""
@@ -69,22 +75,26 @@ def tee(df: DataFrame, name: str, **measures: Column) -> DataFrame:
     return df.observe(name, *given)
 
 
-def finished(df: DataFrame, name: str) -> DataFrame:
+def finished(df: DataFrame, name: str, arrivals: Iterable[Callable[[], None]] = ()) -> DataFrame:
     """Runs a stream over what is there now, in append mode, and gives its rows as a table in the shared folder.
 
     It runs with the state store that stateful operators need, and with two partitions for each core that there is (or fewer, if the session
     has fewer): each costs stores and a worker for every operator and batch. The session's own settings are as before afterwards.
+    arrivals: calls that each bring more of the input, whereupon the query goes on from its checkpoint (see ``in_steps``). What batches
+    before the last one left on disk, shuffles and versions of the state, is cleared on the way.
     """
     spark = df.sparkSession
     cores, count = spark.sparkContext.defaultParallelism, "spark.sql.shuffle.partitions"
-    own = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, count: str(min(2 * cores, int(spark.conf.get(count))))}
+    own = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, count: str(min(2 * cores, int(spark.conf.get(count)))), **SPARING}
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
     before = {k: spark.conf.get(k) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)
     try:
-        writer.start(path).awaitTermination()
+        for arrive in arrivals or [lambda: None]:
+            arrive()
+            writer.start(path).awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
@@ -92,6 +102,38 @@ def finished(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_steps(df: DataFrame, time: str, name: str, step_rows: int = STEP_ROWS) -> tuple[DataFrame, list[Callable[[], None]], str]:
+    """A stream of the rows of a table that arrive in order of ``time``, the calls that each bring its next step, and the folder to delete at the end.
+
+    A step has about ``step_rows`` rows, or the MOST_STEPS-th part of all, and none that is before the step before; so state and batches
+    have the size of a step, not of the table. Rows of a task of ``df`` stay together in each step.
+    """
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/all")
+    whole = spark.read.schema(df.schema).parquet(f"{path}/all")
+    steps, at, step = min(max(whole.count() // step_rows, 1), MOST_STEPS), F.unix_micros(time), "_step"
+    cuts = [i / steps for i in range(1, steps)]
+    bounds = sorted(set(whole.select(at.cast("double").alias("at")).approxQuantile("at", cuts, 0.1 / steps))) if cuts else []
+
+    def place(low: int, high: int) -> Column:
+        """The number of bounds that are not after a row, of which low to high are possible."""
+        middle = (low + high) // 2
+        return F.lit(low) if low == high else F.when(at < int(bounds[middle]), place(low, middle)).otherwise(place(middle + 1, high))
+
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    whole.withColumn(step, place(0, len(bounds))).coalesce(tasks).write.partitionBy(step).parquet(f"{path}/steps")
+    delete(spark, f"{path}/all")
+    files = _files(spark, path)
+    files.mkdirs(_path(spark, f"{path}/arrived/none"))  # a stream needs a folder to watch
+
+    def bring(i: int) -> None:
+        came = _path(spark, f"{path}/steps/{step}={i}")
+        if files.exists(came) and not files.rename(came, _path(spark, f"{path}/arrived/{i}")):
+            raise OSError(f"step {i} of {path} can't be moved")
+
+    return spark.readStream.schema(df.schema).parquet(f"{path}/arrived/*"), [lambda i=i: bring(i) for i in range(len(bounds) + 1)], path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; where spark.checkpoint.dir is unset, a temporary one if they are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -100,6 +142,13 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or "file://" + tempfile.mkdtemp(prefix="tidewater-")).rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def delete(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _files(spark, path).delete(_path(spark, path), True)
