@@ -2,12 +2,13 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidewater.operators import tracks
 from tidewater.operators.combine import Pace
 from tidewater.operators.windowing import WindowSpec
-from tidewater.plans.sql import run_sql
+from tidewater.plans.sql import run_sql, tokenize_udf
 from tidewater.sources import sinks
 from tidewater.streaming import processors as P
 from tidewater.streaming.panes import Panes
@@ -113,3 +114,13 @@ def test_an_empty_table_streams(spark):
     m = tracks.to_metric(_positions(spark).limit(0), unit_ms=3_600_000).withColumn("ts", F.timestamp_millis("ts"))
     stream, arrivals, _ = sinks.in_steps(m, "ts", "steps")
     assert sinks.finished(stream, "rows", arrivals).collect() == []
+
+
+def test_words_of_a_batch_are_made_in_slices(spark):
+    lines = ["a b", None, "", "c-d " * 50, "é e_f", None, *["x y z"] * 40]
+    parts = list(tokenize_udf(slice_bytes=32).func(iter([pa.array(lines), pa.array([], pa.string()), pa.array([None], pa.string())])))
+    assert [w for p in parts for w in p.to_pylist()] == [["a", "b"], [], [], ["c", "d"] * 50, ["e_f"], [], *[["x", "y", "z"]] * 40, []]
+    assert max(len(p.flatten()) for p in parts[2:]) < 40 and len(parts) == 10
+    rows = spark.createDataFrame(list(enumerate(lines)), "n int, line string").coalesce(1)
+    got = run_sql(spark, "SELECT n, {WORDS}(line) AS words FROM {rows}", {"WORDS": tokenize_udf(slice_bytes=32)}, rows=rows)
+    assert [r.words for r in got.orderBy("n").collect()] == [["a", "b"], [], [], ["c", "d"] * 50, ["e_f"], [], *[["x", "y", "z"]] * 40]

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,13 +41,22 @@ def run_sql(spark: SparkSession, text: str, udfs: dict[str, Callable] | None = N
             spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {own[name]}")
 
 
-def tokenize_udf():
-    """A vectorised scalar function: text -> array of words."""
-    from pyspark.sql.functions import pandas_udf
+#: Bytes of text, about, whose words are Python objects at a time: a batch has so many rows, whatever their length.
+SLICE_BYTES = 1 << 20
 
-    @pandas_udf("array<string>")
-    def tokenize(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda x: [w for w in re.split(r"[^A-Za-z0-9_]+", x or "") if w])
+
+def tokenize_udf(slice_bytes: int = SLICE_BYTES):
+    """A vectorised scalar function: text -> array of words."""
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("array<string>")
+    def tokenize(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lines in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(lines), 0).to_numpy(zero_copy_only=False).astype("int64"))
+            cuts = [0, *(np.flatnonzero(np.diff(ends // slice_bytes)) + 1).tolist(), len(lines)]
+            for i, j in pairwise(cuts):
+                texts = lines.slice(i, j - i).to_pylist()
+                yield pa.array([[w for w in re.split(r"[^A-Za-z0-9_]+", x or "") if w] for x in texts], pa.list_(pa.string()))
 
     return tokenize
 
