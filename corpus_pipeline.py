@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewater.llm import exact_dedup, jaccard_join, language_id, mixing, packing
 from tidewater.llm.common import stored, table
 
+#: Words whose ids a worker keeps for the last stage: it outlives the stage, beside what the others hold.
+REMEMBER = 60_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a language (null, or no letter in them) go; the model's label and score don't filter."""
@@ -35,7 +38,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of the mix."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), remember=REMEMBER)
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mixed", mixed), ("packed", packed)]

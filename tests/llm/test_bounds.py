@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from test_operators import DOCS
 
-from tidewater.llm import common, jaccard_join, language_id, quality, topk
+from tidewater.llm import common, jaccard_join, language_id, packing, quality, topk
 
 
 def test_strongest_features():
@@ -93,3 +93,17 @@ def test_many_texts_under_one_id(spark):
         got[name] = jaccard_join.near_duplicate_components(df).groupBy("component_id").count().collect(), time.monotonic() - began
     assert got["one"][0] == [(7, len(texts))] and sorted(x["count"] for x in got["many"][0]) == [1] * 1200 + [2] * 300
     assert got["one"][1] < 3 * got["many"][1] + 5
+
+
+def test_hot_keys_and_memos_take_no_workers_memory(spark):
+    """A table of hot keys is made without Python workers, and the memo of the pipeline's last stage is bounded by its own number, for speed alone."""
+    import public_tokenizers
+
+    rows = spark.range(3000).selectExpr("IF(id < 2000, unhex('0a'), unhex(hex(id))) AS h", "id")
+    hot = common.hot_keys(rows, ["h"])
+    assert "LocalTableScan" in hot._jdf.queryExecution().executedPlan().toString()
+    assert [(bytes(r.h), r._parts) for r in hot.collect()] == [(b"\n", 4)] and common.hot_keys(rows.where("id > 2000"), ["h"]) is None
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 300), x -> concat('w', x * id))) AS text")
+    one, other = (packing.pack(docs, file, **kw).drop("sequence_id").orderBy("doc_id", "piece").collect() for kw in ({}, {"remember": 20}))
+    assert one == other

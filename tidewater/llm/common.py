@@ -75,8 +75,8 @@ def hot_keys(df: DataFrame, on: list[str], counts: DataFrame | None = None) -> D
     if counts is None:
         counts = df.groupBy(*on).agg(F.count("*").alias("rows"))
     hot = counts.where(F.col("rows") > HOT_ROWS).orderBy(F.col("rows").desc()).limit(MOST_HOT).select(*on, F.ceil(F.col("rows") / HOT_ROWS).cast("int").alias("_parts"))
-    found = hot.collect()  # MOST_HOT keys at most
-    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
+    found = hot.toArrow()  # MOST_HOT keys at most; of rows Spark would make a table in workers of their own, which stay
+    return df.sparkSession.createDataFrame(found, hot.schema) if found.num_rows else None
 
 
 def join_salted(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None) -> DataFrame:

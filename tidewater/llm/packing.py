@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored
 
-SHORT = 40
+#: Letters of a word that is remembered, and such words at most.
+SHORT, REMEMBER = 40, 600_000
 #: A space that ends or breaks a run of white space is no safe boundary unless something visible follows.
 SAFE = re.compile(r"(?<!\s) (?!$)|(?<=\s) (?=\S)")
 SPACES = [chr(i) for i in range(0x3001) if chr(i).isspace()]
@@ -103,7 +104,7 @@ def splits_words(tokenizer) -> bool:
 class ByteEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, word by word where that is the same as at once."""
 
-    def __init__(self, tokenizer_file: str, remember: int = 600_000) -> None:
+    def __init__(self, tokenizer_file: str, remember: int = REMEMBER) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -128,11 +129,11 @@ class ByteEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(tokenizer_file: str) -> ByteEncoder:
+def encoder(tokenizer_file: str, remember: int = REMEMBER) -> ByteEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
-    return ByteEncoder(tokenizer_file)
+    return ByteEncoder(tokenizer_file, remember)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -141,15 +142,15 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((i, capacity) for i in range(first, n, capacity))] if n else []
 
 
-def pieces(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int, batch_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every row."""
+def pieces(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int, batch_bytes: int = 4 << 20, remember: int = REMEMBER) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece of every row. remember: words whose ids a worker keeps at most, for speed alone."""
     end = np.array([end_id], "<u4").tobytes()
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .token_counts import by_bytes, sizes
 
-        encode = encoder(tokenizer_file).batch
+        encode = encoder(tokenizer_file, remember).batch
         for b in slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             row, piece, start, length, crc = [], [], [], [], []
@@ -267,9 +268,9 @@ def ranked(pieces: DataFrame, buckets: int) -> DataFrame:
     return pieces.join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.row_number().over(own) - 1)
 
 
-def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 2, capacity: int = 1024, remember: int = REMEMBER) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    found = stored(pieces(docs, tokenizer_file, end_id, capacity), "pieces")
+    found = stored(pieces(docs, tokenizer_file, end_id, capacity, remember=remember), "pieces")
     histogram = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # capacity rows at most
     slots = Plan(histogram, capacity).slots()
     table = {n: tuple(np.array(x, "i8") for x in zip(*v, strict=True)) for n, v in slots.items()}
