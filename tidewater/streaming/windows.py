@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..operators.aggregates import longest, pace
 from ..operators.combine import Pace
 from ..operators.windowing import WindowSpec
-from .panes import panes
-from .processors import pieces_stream, top_k_stream, window_join_stream
+from .packed import packed_inner_join, packed_panes, packed_pieces_stream, packed_window_join
+from .processors import top_k_stream
 
 #: Parts that a window's words are dealt into before its most frequent are taken; no state row holds more than a part.
 SALTS = 1024
@@ -64,21 +64,20 @@ def motivation(positions: Callable[[], DataFrame], short: str = "1 minute", long
 
     positions: makes a stream of key, lat, lon, ts_ms, ts with a watermark (anew for each side, as Spark tells watermarks in a plan
     apart by where they were set). Returns key, window_end, ratio, is_up, once the watermark has passed a window's end.
+    Rows go packed from one operator to the next, by buckets of keys (see ``packed``).
     strategy: inner_join, Spark's join of streams; cogroup, full outer with 0 for a missing pace; side_input, left with a look-up
     in the long paces, where a key that stands twice at an end is an error, and a short pace of 0 is an alert.
     """
 
     def paces(spec: WindowSpec) -> DataFrame:
-        return panes(pieces_stream(positions(), unit_ms, stamp), spec, Pace(), ["length", "duration"], chained=True).select("key", F.col("end").alias("window_end"), "value", "clock")
+        return packed_panes(packed_pieces_stream(positions(), unit_ms, stamp), spec, Pace(), ["length", "duration"])
 
     fast, slow = paces(WindowSpec(short)), paces(WindowSpec(long, short))
     if strategy == "inner_join":
-        names = lambda df, side: df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
-        same = [F.col(f"left_{c}") == F.col(f"right_{c}") for c in ("key", "window_end", "clock")]  # both sides of a window's end are given at one watermark
-        both = names(fast, "left").join(names(slow, "right"), same[0] & same[1] & same[2]).withColumnsRenamed({"left_key": "key", "left_window_end": "window_end"})
+        both = packed_inner_join(fast, slow)
     elif strategy in ("cogroup", "side_input"):
         side = strategy == "side_input"
-        both = window_join_stream(fast, slow, full=not side, once=side, left_default=0.0, right_default=0.0)
+        both = packed_window_join(fast, slow, full=not side, once=side, left_default=0.0, right_default=0.0)
     else:
         raise ValueError("strategy is inner_join, cogroup or side_input")
     both = both.where("right_value > 0" if strategy == "side_input" else "left_value > 0 AND right_value > 0")
