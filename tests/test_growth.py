@@ -1,5 +1,7 @@
 """What queries exchange, hold and give where their tables are large."""
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -9,6 +11,7 @@ from tidewater.operators import tracks
 from tidewater.operators.combine import Pace
 from tidewater.operators.windowing import WindowSpec
 from tidewater.plans.sql import run_sql, tokenize_udf
+from tidewater.session import IN_MEMORY_STORE
 from tidewater.sources import sinks
 from tidewater.streaming import processors as P
 from tidewater.streaming.panes import Panes
@@ -124,3 +127,20 @@ def test_words_of_a_batch_are_made_in_slices(spark):
     rows = spark.createDataFrame(list(enumerate(lines)), "n int, line string").coalesce(1)
     got = run_sql(spark, "SELECT n, {WORDS}(line) AS words FROM {rows}", {"WORDS": tokenize_udf(slice_bytes=32)}, rows=rows)
     assert [r.words for r in got.orderBy("n").collect()] == [["a", "b"], [], [], ["c", "d"] * 50, ["e_f"], [], *[["x", "y", "z"]] * 40]
+
+
+def test_arrivals_of_steps_take_a_batch_each(spark, monkeypatch):
+    """What a watermark lets go is given with the next step, so that state is read and written once a step; Spark's own operators keep it in memory."""
+    m = tracks.to_metric(_positions(spark), unit_ms=3_600_000).withColumn("ts", F.timestamp_millis("ts"))
+    stream, arrivals, _ = sinks.in_steps(m, "ts", "steps", step_rows=m.count() // 5)
+    paces = run_sql(spark, tracks.paces_sql("1 hour", "5 hours"), metrics=stream.withWatermark("ts", "0 seconds"))
+    left = {}
+
+    def keep(_, path):
+        base = Path(path.removeprefix("file:").replace("//", "/", 1))
+        left.update(batches=max(int(p.name) for p in (base / "commits").iterdir() if p.name.isdigit()) + 1, deltas=len(list(base.glob("state/**/*.delta"))))
+
+    monkeypatch.setattr(sinks, "delete", keep)
+    conf, before = "spark.sql.streaming.noDataMicroBatches.enabled", spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
+    got = sinks.finished(paces, "paces", arrivals, IN_MEMORY_STORE).count()
+    assert got and len(arrivals) == 5 and left["batches"] == 6 and left["deltas"] and spark.conf.get(conf) == before
